@@ -45,7 +45,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, p: np.ndarray, penalty: float = 1e-4, rounds: int = 600) -> np.ndarray:
+def fit_logistic(x: np.ndarray, p: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
     """Weights (bias last) of a logistic regression on soft labels p between 0 and 1."""
     x = with_one(x)
     step = 1 / (largest_square(x) / (4 * len(x)) + penalty)
