@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import exact_dedup, language_id, mixing, packing, quality_rules, token_counts, toxicity
+from driftline.llm import exact_dedup, language_id, mixing, packing, quality_rules, secret_scan, token_counts, toxicity
 from driftline.llm.common import documents
 
 
@@ -23,6 +24,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(documents(spark, sf_dir))
+    return found.select("doc_id", "word_at", F.length("secret").alias("secret_length"), F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 9).alias("score"), "is_secret")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
