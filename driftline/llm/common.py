@@ -14,14 +14,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once, its lineage cut through the shared folder of `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, which driver and executors share.
 
     Only a session without that setting (tests, a laptop) gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once, its lineage cut through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
