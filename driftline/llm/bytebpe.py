@@ -54,53 +54,85 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-class Encoder(dict):
+class Parts(dict):
+    """Ids of parts of texts, each with the same lead (a space or nothing); emptied when full."""
+
+    def __init__(self, owner: Encoder, lead: str, most: int):
+        self.owner, self.lead, self.most = owner, lead, most
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        word = part.rstrip(".,")
+        if word.isalpha() and max(word) < "\u0250":
+            # one piece of letters, and perhaps one of punctuation
+            found = array("I", self.owner.piece((self.lead + word).encode())).tobytes()
+            if len(word) < len(part):
+                found += self.owner.marks[part[len(word) :]]
+        else:
+            found = self.owner.encode_whole(self.lead + part)
+        self[part] = found
+        return found
+
+
+class Marks(dict):
+    """Ids of short runs of punctuation."""
+
+    def __init__(self, owner: Encoder):
+        self.owner = owner
+
+    def __missing__(self, marks: str) -> bytes:
+        found = self.owner.encode_whole(marks)
+        if len(self) < 1000:
+            self[marks] = found
+        return found
+
+
+class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, the same as the tokenizers library gives.
 
-    A space that no other white space touches always starts a new piece of the split, so a text
-    is the concatenation of its space-separated parts, each (but the first) with its space; parts
-    are kept in this dict. Texts with runs of white space go through whole. Parts in letters
-    beyond Latin are left to the tokenizers library itself, whose character classes decide there;
-    the rest goes through tiktoken with the same vocabulary. The dict is emptied when full, which
-    changes no result.
+    A space or line break that no other white space touches always starts a new piece of the
+    split, and a line break is then a piece by itself. So a text is the concatenation of its
+    lines' space-separated parts, each but the first with its space; the ids of parts are kept.
+    Texts with runs of white space, or with rarer kinds of it, go through whole. What has letters beyond
+    Latin is left to the tokenizers library itself, whose character classes decide there; the
+    rest goes through tiktoken with the same vocabulary, words of letters only as one piece.
     """
 
-    RUNS = regex.compile(r"\s[ ]|[ ]\s|[ ]\Z")
-    LATIN = regex.compile(r"[\x00-ɏ‐-‧₠-₿]*\Z")
+    RARE = regex.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    LATIN = regex.compile(r"[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*\Z")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import tiktoken
 
         bpe = load(path)
-        self.path, self.most, self.library = path, most, None
+        self.path, self.library = path, None
         self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=bpe.ids, special_tokens=bpe.special)
-        self.special = bpe.special_split
+        self.special = set(bpe.special)
+        self.core = self.fast._core_bpe
+        self.piece = self.core.encode_single_piece
+        self.spaced, self.bare, self.marks = Parts(self, " ", most), Parts(self, "", most // 5), Marks(self)
+        self.line_break = self.encode_whole("\n")
 
     def encode_whole(self, text: str) -> bytes:
         if text.isascii() or self.LATIN.match(text):
-            marked = self.special is not None and self.special.search(text)
-            ids = self.fast.encode(text, allowed_special="all") if marked else self.fast.encode_ordinary(text)
-        else:
-            if self.library is None:
-                from tokenizers import Tokenizer
+            return array("I", self.core.encode(text, self.special)).tobytes()
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-                self.library = Tokenizer.from_file(self.path)
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+            self.library = Tokenizer.from_file(self.path)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[part] = self.encode_whole(" " + part)
-        return found
+    def encode_line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return b"".join([self.bare[first] if first else b"", *map(self.spaced.__getitem__, rest)])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.RUNS.search(text) or text[0] == " ":
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self.RARE.search(text):
             return self.encode_whole(text)
-        first, *rest = text.split(" ")
-        return b"".join([self.encode_whole(first), *map(self.__getitem__, rest)])
+        return self.line_break.join(map(self.encode_line, text.split("\n")))
 
 
 @cache

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -18,9 +17,9 @@ from driftline.llm import bytebpe
 SEQUENCE = 1024
 END_ID = 0
 #: Costs in tokens of padding: a cut after a sentence, a cut elsewhere inside a document, and each sequence.
-SENTENCE_CUT, HARD_CUT, PER_SEQUENCE = 1.0, 4.0, 64.0
+SENTENCE_CUT, HARD_CUT, PER_SEQUENCE = 1.0, 4.0, 96.0
 #: Without a boundary for so many tokens, cuts elsewhere are allowed at this spacing.
-HARD_EVERY = 16
+HARD_EVERY = 20
 #: Tokens that are planned together; plans settle long before the end of a block.
 BLOCK = 262_144
 #: Sequence ids of a partition start at its number times this.
@@ -32,31 +31,35 @@ def plan_cuts(ends: list[int], costs: list[float], size: int = SEQUENCE) -> list
 
     `ends` are the allowed cuts, ascending, no further than `size` apart (the first from 0), the
     last one the end of all tokens; `costs` the cost of each. A sequence costs its padding to
-    `size`, which a power of two spares, and PER_SEQUENCE. Padding is linear in the start of a
+    `size`, which a power of two of at least `size` / 8 spares, and PER_SEQUENCE. Padding is linear in the start of a
     sequence, so the best start within reach is the head of a monotone queue; starts at a power
     of two are looked up beside it. Each cut enters and leaves the queue once.
     """
-    at = [0, *ends]
-    index = {token: i for i, token in enumerate(at)}
-    powers = [1 << k for k in range(size.bit_length() - 1)]
-    powers = [p for p in powers if p < size]
+    at = np.concatenate([[0], np.asarray(ends, np.int64)])
+    where = np.full(int(at[-1]) + 1, -1, np.int64)
+    where[at] = np.arange(len(at))
+    powers = [p for k in range(size.bit_length()) if size // 8 <= (p := 1 << k) < size]
+    at_power = [np.where(at >= p, where[np.maximum(at - p, 0)], -1).tolist() for p in powers]
+    at = at.tolist()
     best, came = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque(((0.0, 0),))  # (best + start, index), ascending
-    for i in range(1, len(at)):
-        end = at[i]
-        while at[queue[0][1]] < end - size:
-            queue.popleft()
-        value, start = queue[0]
-        value += size - end
-        for power in powers:
-            j = index.get(end - power)
-            if j is not None and best[j] < value:
+    waiting, starts, head = [0.0], [0], 0  # best + start of each cut in the queue, ascending; the cuts
+    for i, (end, cost, *spared) in enumerate(zip(at, (0.0, *costs), *at_power, strict=True)):
+        if not i:
+            continue
+        while at[starts[head]] < end - size:
+            head += 1
+        value, start = waiting[head] + size - end, starts[head]
+        for j in spared:
+            if j >= 0 and best[j] < value:
                 value, start = best[j], j
-        best[i], came[i] = value + costs[i - 1] + PER_SEQUENCE, start
-        entry = best[i] + end
-        while queue and queue[-1][0] >= entry:
-            queue.pop()
-        queue.append((entry, i))
+        best[i] = value = value + cost + PER_SEQUENCE
+        came[i] = start
+        value += end
+        while len(waiting) > head and waiting[-1] >= value:
+            waiting.pop()
+            starts.pop()
+        waiting.append(value)
+        starts.append(i)
     cuts, i = [], len(at) - 1
     while i:
         cuts.append(i - 1)
