@@ -1,0 +1,281 @@
+"""Each corpus operator against brute force, exact round trips or held-out accuracy, with edge rows and empty tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from driftline.llm import bytebpe, components, exact_dedup, forest, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from driftline.llm.minimizers import gram_hashes, window_minima
+
+SF = "/root/testdata/sf0.01"
+
+
+def words(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def test_quality_rules(docs, empty):
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == docs.count()
+    want = {}
+    for r in docs.collect():
+        w, text = words(r["text"]), r["text"] or ""
+        win = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        many = Counter(win)
+        at = {j for i, x in enumerate(win) if many[x] > 1 for j in range(i, i + 8)}
+        lines = [x for x in text.split("\n") if words(x)]
+        want[r["doc_id"]] = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(at))
+    for r in got:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want[r["doc_id"]]
+        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and r["host_ok"])
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_host_verdicts_shrink(spark):
+    good, bad = " ".join(f"w{i}" for i in range(40)), "too short"
+    rows = [(i, good, "fine") for i in range(200)] + [(1000 + i, bad if i < 190 else good, "spam") for i in range(200)] + [(2000, bad, "tiny")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    rates = {r["host"]: r["host_rate"] for r in got.select("host", "host_rate").distinct().collect()}
+    assert rates["fine"] < 0.1 and 0.8 < rates["spam"] < 0.96 and rates["tiny"] < 1
+    assert got.where("host = 'spam' AND kept").count() == 0 and got.where("host = 'fine' AND NOT kept").count() == 0
+
+
+def test_exact_dedup(docs, empty):
+    rows = docs.collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    norm = [(r["text"] or "").translate(lower) for r in rows]
+    groups = {}
+    for r, t in zip(rows, norm, strict=True):
+        groups.setdefault(t, []).append(r["doc_id"])
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted((str(r["doc_id"]), str(best[t]), len(groups[t]), r["doc_id"] == best[t], hashlib.sha256(t.encode()).hexdigest()) for r, t in zip(rows, norm, strict=True))
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix_sources(docs).toPandas()
+    assert len(got) == docs.count() and (got["taken"] <= 2 * got["size"]).all()
+    assert (got["target"] <= 2 * got["source_size"] + 1e-9).all()
+    per = got.assign(source=got["source"].fillna("~")).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), most=("size", "max"))
+    assert per["target"].sum() == pytest.approx(1.5 * per["size"].sum())
+    assert ((per["taken"] - per["target"]).abs() <= per["most"]).all()
+    again = mixing.mix_sources(docs.repartition(5)).toPandas()
+    cols = ["doc_id", "size", "taken"]
+    assert got[cols].sort_values(cols).reset_index(drop=True).equals(again[cols].sort_values(cols).reset_index(drop=True))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_water_filling_by_hand(spark):
+    rows = [(i, " ".join(["w"] * 10), s) for i, s in enumerate(["a"] * 10 + ["b"] * 50 + ["c"] * 40)]
+    got = {r["source"]: r["target"] for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("source", "target").distinct().collect()}
+    # 1500 words: a is capped at 200, the other 1300 go 2 to 1
+    assert got == {"a": 200.0, "b": pytest.approx(2600 / 3), "c": pytest.approx(1300 / 3)}
+
+
+ODD = [" ", " ", "  ", "\n", "\t", " ", "'", "'s", "'re", "'r", "'ll", "'lx", "a", "the", "ing", "é", "ß", "1", "23", "½", "!", "...", "###", "<|endoftext|>", "<|endof", "日本", "😀", "́", "X", "Hello", "don't", "_", "\x1c", "\x85", "​", "漢", "٣"]
+
+
+def test_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = bytebpe.default_path()
+    library, counters, encoder = Tokenizer.from_file(path), [token_counts.Counter(path), token_counts.Counter(path, chunk=7, most=3000)], bytebpe.Encoder(path, most=50)
+    rng = random.Random(3)
+    for _ in range(1500):
+        s = "".join(rng.choice(ODD) for _ in range(rng.randint(0, 25)))
+        ids = library.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(s), "<u4").tolist() == ids
+        assert [c.count(s) for c in counters] == [len(ids)] * 2
+    text = "some words, and others; " * 300
+    running = counters[1].running(text)
+    assert running == [len(library.encode(text[: i + 7], add_special_tokens=False).ids) for i in range(0, len(text), 7)]
+
+
+def test_spans_compose_in_any_grouping():
+    c = token_counts.Counter(bytebpe.default_path(), chunk=5)
+    spans = c.spans("It's a quick, brown fox  that didn't\n\njump 123 times over the lazy dog!! 日本 ok")
+    left = spans[0]
+    for s in spans[1:]:
+        left = left.then(s)
+    right = spans[-1]
+    for s in spans[-2::-1]:
+        right = s.then(right)
+    assert left.apply(c.transducer.begin) == right.apply(c.transducer.begin) == token_counts.reduced(spans).apply(c.transducer.begin)
+
+
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bytebpe.default_path())
+    got = token_counts.token_counts(docs).collect()
+    want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got)
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def test_packing_round_trip(docs, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bytebpe.default_path())
+    unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = packing.pack(unique).toPandas()
+    texts = {r["doc_id"]: r["text"] or "" for r in unique.collect()}
+    assert set(got["doc_id"]) == set(texts)
+    for doc_id, pieces in got.sort_values("start").groupby("doc_id"):
+        ids = np.array([*library.encode(texts[doc_id], add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for p in pieces.itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    padding = total = 0
+    for _, pieces in got.sort_values("offset").groupby("sequence_id"):
+        length = int(pieces["length"].sum())
+        assert length <= 1024 and (pieces["length"].cumsum() - pieces["length"] == pieces["offset"]).all()
+        padding, total = padding + (0 if length & (length - 1) == 0 else 1024 - length), total + length
+    assert padding < 0.05 * total + 3 * 1024
+    assert packing.pack(docs).count() >= docs.count() and packing.pack(empty).count() == 0
+
+
+def test_packing_plan_is_optimal():
+    rng = random.Random(5)
+    for _ in range(60):
+        ends = sorted(rng.sample(range(1, 60), 12)) + [60]
+        ends = [e for i, e in enumerate(ends)]
+        cost = [rng.choice([0.0, 1.0, 5.0]) for _ in ends]
+        size = 32
+        if max(np.diff([0, *ends])) > size:
+            continue
+        best = {0: 0.0}
+        for e, c in zip(ends, cost, strict=True):
+            best[e] = min(v + c + packing.PER_SEQUENCE + (0 if (n := e - s) in (4, 8, 16, 32) else size - n) for s, v in best.items() if e - s <= size)
+        cuts = [ends[i] for i in packing.plan_cuts(ends, cost, size)]
+        total = sum(cost[ends.index(e)] + packing.PER_SEQUENCE + (0 if (n := e - s) in (4, 8, 16, 32) else size - n) for s, e in zip([0, *cuts], cuts, strict=False))
+        assert total == pytest.approx(best[ends[-1]])
+
+
+def test_minimizers_are_leftmost_minima():
+    h = gram_hashes(np.frombuffer(b"abcabcabcabdabcabcabcabc" * 8, np.uint8), 8)
+    at = window_minima(h, 13)
+    assert at.tolist() == [i + int(np.argmin(h[i : i + 13])) for i in range(len(h) - 12)]
+
+
+@pytest.mark.parametrize("large", [4096, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = suffix_dedup.brute_force({r["doc_id"]: (r["text"] or "").encode() for r in unique.collect()})
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.remove_repeats(unique).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 0
+    assert suffix_dedup.remove_repeats(docs).count() == docs.count() and suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def brute_links(rows):
+    sets = []
+    for r in rows:
+        w = words(r["text"])
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()))
+    links = [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b)] for i, a in enumerate(sets)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, near in enumerate(links):
+            root[i] = min([root[i], *(root[j] for j in near)])
+    return sets, links, root
+
+
+@pytest.mark.parametrize("leaf", [128, 2])
+def test_ngram_join(docs, empty, monkeypatch, leaf):
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    rows = docs.collect()
+    sets, links, root = brute_links(rows)
+    ids = [ngram_join.NO_ID if r["doc_id"] is None else r["doc_id"] for r in rows]
+    class_of = {c: min(ids[i] for i in range(len(rows)) if root[i] == c) for c in set(root)}
+    want = sorted((ids[i], class_of[root[i]], len(links[i])) for i in range(len(rows)))
+    got = sorted((ngram_join.NO_ID if r["doc_id"] is None else r["doc_id"], ngram_join.NO_ID if r["class_id"] is None else r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs).collect())
+    assert got == want and sum(map(len, links)) > 10
+    assert ngram_join.ngram_join(empty).count() == 0
+
+
+def test_ngram_join_recall_at_the_threshold():
+    """Pairs just above 0.8 meet in some run's first node."""
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(400):
+        n = int(rng.integers(10, 400))
+        shared = rng.integers(0, 2**63, n).astype(np.uint64)
+        a, b = (np.concatenate([shared, rng.integers(0, 2**63, n // 9).astype(np.uint64)]) for _ in range(2))
+        missed += not set(ngram_join.first_keys(a).tolist()) & set(ngram_join.first_keys(b).tolist())
+    assert missed == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4), (4, 5), (5, 6), (7, 7), (None, 1)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_language_id(spark, docs, empty):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language_id.language_id(table, per_language=150).join(table.select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
+    assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    edge = language_id.language_id(docs)
+    assert edge.count() == docs.count()
+    letterless = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in edge.collect()}
+    assert letterless[1000] == ("und", 0.0)
+    assert set(edge.select("lang_pred").distinct().toPandas()["lang_pred"]) <= {"en", "fr", "und"}
+    assert language_id.language_id(empty).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    big = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = toxicity.toxicity(table.join(labels.select("doc_id"), "doc_id"), labels, sample=2000).join(labels, "doc_id").toPandas()
+    held = got[got["held_out"]]
+    hit = (held["predicted"] == 1) & (held["toxic"] == 1)
+    assert hit.sum() / (held["toxic"] == 1).sum() > 0.85 and hit.sum() / max((held["predicted"] == 1).sum(), 1) > 0.9
+    assert got["score"].between(0, 1).all()
+    few = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, None, None), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    assert toxicity.toxicity(docs, few).count() == docs.count()
+    assert toxicity.toxicity(docs, few.limit(0)).where("score <> 0").count() == 0
+    assert toxicity.toxicity(empty, few).count() == 0
+
+
+def test_label_model_discounts_copies_of_a_voter():
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 3000)
+    vote = lambda accuracy: np.where(rng.random(3000) < accuracy, y, 1 - y)
+    copied = vote(0.6)
+    votes = np.stack([vote(0.9), vote(0.9), *[copied] * 6], 1).astype(np.int8)
+    model = toxicity.LabelModel(votes, y, trust=0.5)
+    assert model.shares[2:].max() < 0.4 and model.shares[:2].min() > 0.6
+    assert ((model.posterior > 0.5) == (y == 1)).mean() > 0.85
+
+
+def test_secret_scan(spark, docs, empty):
+    findings = secret_scan.checkpointed(secret_scan.labelled_findings(spark, 3000))
+    trees = secret_scan.train(findings.where("id < 2000"), most=2000)
+    held = findings.where("id >= 2000")
+    scores = secret_scan.secret_scan(held, "id", "text", "path", trees).toPandas()
+    best = scores.groupby("id")["is_secret"].max()
+    rows = held.toPandas()
+    assert ((rows["id"].map(best).fillna(False).astype(bool)) == (rows["label"] == 1)).mean() > 0.97
+    sample = scores.head(50)
+    assert np.allclose([forest.score(trees, r) for r in sample[secret_scan.FEATURES].to_numpy(float).tolist()], sample["score"])
+    text = 'see commit 3f786850e387550fdab836ed7e6dc881de23001b and api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"; ok'
+    one = spark.createDataFrame([(1, text, "src"), (2, None, None), (3, "", "x"), (4, "plain words only", None)], "doc_id long, text string, source string")
+    found = secret_scan.secret_scan(one, trees=trees)
+    assert {(r["doc_id"], r["word_at"], r["is_secret"]) for r in found.collect()} == {(1, 2, False), (1, 6, True)}
+    assert "9f86d081" not in secret_scan.redact(one, found).where("doc_id = 1").first()["text"]
+    assert secret_scan.secret_scan(docs, trees=trees).where("is_secret").count() == 0 and secret_scan.secret_scan(empty, trees=trees).count() == 0

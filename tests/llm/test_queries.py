@@ -1,0 +1,76 @@
+"""The registered queries against DuckDB, and the pipeline against its stages' own rules."""
+
+import os
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from driftline.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_duckdb(spark, name):
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    got = queries.queries()[name](spark, SF)
+    want = c.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    assert sorted(got.columns) == sorted(names)
+    order = sorted(names)
+    show = lambda cols, rows: sorted(tuple(repr(r[cols.index(n)]) for n in order) for r in rows)
+    assert show(got.columns, [tuple(r) for r in got.collect()]) == show(names, want.fetchall())
+
+
+def test_one_query_an_operator():
+    names = [n for n in __spark_entry__.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        kept.append(docs.toPandas())
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+    start = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    assert len(kept[0]) == start["text"].str.contains(r"[^\W\d_]").sum()
+    lower = kept[0]["text"].str.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    assert set(kept[1]["doc_id"]) == set(kept[0].groupby(lower)["doc_id"].max())
+
+    sets = {}
+    for r in kept[1].itertuples():
+        w = r.text.encode().split()
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert set(kept[2]["doc_id"]) == set(root.values())
+
+    times = kept[3].groupby("doc_id").size()
+    assert times.max() <= 2 and set(times.index) <= set(kept[2]["doc_id"])
+    size = kept[3]["text"].map(lambda t: len(t.encode().split()))
+    whole = kept[2]["text"].map(lambda t: len(t.encode().split())).sum()
+    assert abs(size.sum() - 1.5 * whole) < 0.15 * whole
+    tokens = defaultdict(int)
+    for r in kept[4].itertuples():
+        tokens[r.doc_id] += r.length
+    first = kept[4].groupby("doc_id")["doc_tokens"].first()
+    assert all(tokens[i] == first[i] * times[i] for i in times.index)
+
+
+def test_pipeline_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
