@@ -217,6 +217,23 @@ def test_ngram_join_recall_at_the_threshold():
     assert missed == 0
 
 
+def test_ngram_join_recall_below_large_nodes():
+    """Pairs at 0.8 of which one holds the other still meet after three levels of large nodes, and brute force then sees them as alike."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(2000):
+        n = int(rng.integers(80, 400))
+        b = rng.integers(0, 2**63, n).astype(np.uint64)
+        a = np.concatenate([b, rng.integers(0, 2**63, n // 4).astype(np.uint64)])
+        sketches = ngram_join.sketch_of(a), ngram_join.sketch_of(b)
+        nodes = set(ngram_join.first_keys(a).tolist()) & set(ngram_join.first_keys(b).tolist())
+        for _ in range(3):
+            nodes = {k for node in nodes for k in set(ngram_join.child_keys(node, sketches[0]).tolist()) & set(ngram_join.child_keys(node, sketches[1]).tolist())}
+        short = [np.frombuffer(ngram_join.short_of(s), np.uint16) for s in sketches]
+        missed += not nodes or len(np.intersect1d(*short)) < ngram_join.ALIKE * min(map(len, short))
+    assert missed == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4), (4, 5), (5, 6), (7, 7), (None, 1)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
