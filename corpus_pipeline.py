@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from driftline.llm.common import shared_folder
+from driftline.llm.common import checkpointed, lower_ascii, shared_folder
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,21 +19,35 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents with equal texts one with the largest id; a null id is less than any other."""
+    found = exact_dedup.exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    found = checkpointed(found)
+    rows = docs.select("*", F.unhex(F.sha2(lower_ascii(F.col("text")), 256)).alias("__digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text"))
+    out = rows.join(found.where("__n = 1"), same, "left_semi").select(*docs.columns)
+    repeated = found.where("__n > 1")
+    if repeated.isEmpty():
+        return out
+    order = Window.partitionBy("doc_id", "__digest").orderBy(*docs.columns)
+    one = rows.join(repeated, same, "left_semi").select("*", F.row_number().over(order).alias("__place")).where("__place = 1")
+    return out.unionByName(one.select(*docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 5-word Jaccard similarity 0.8 connect the one with the smallest id."""
-    dropped = ngram_join.ngram_join(docs).where("class_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links of 5-word Jaccard similarity 0.8 connect the one with the smallest id (null first; among those the smallest digest of the text)."""
+    key = F.coalesce("doc_id", F.lit(ngram_join.NO_ID)).alias("__id")
+    linked = checkpointed(ngram_join.ngram_join(docs, digests=True).where("root IS NOT NULL").select(key, F.col("digest").alias("__digest"), "root"))
+    first = linked.groupBy("root").agg(F.min(F.struct("__id", "__digest")).alias("first")).select("first.*")
+    dropped = linked.select("__id", "__digest").distinct().join(first, ["__id", "__digest"], "left_anti")
+    rows = docs.select("*", key, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__digest"))
+    return rows.join(dropped, ["__id", "__digest"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, repeats as rows of their own."""
-    times = mixing.mix_sources(docs).where("repeats > 0").select("doc_id", F.col("repeats").cast("int").alias("__repeats"))
-    copies = docs.join(times, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy"))
+    """Documents as often as the mix takes them, repeats as rows of their own; rows that repeat an id and a source are taken alike."""
+    times = mixing.mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("repeats").cast("int").alias("__repeats")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    copies = docs.join(times, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy"))
     return copies.select(*docs.columns)
 
 

@@ -1,14 +1,14 @@
 """The registered queries against DuckDB, and the pipeline against its stages' own rules."""
 
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from driftline.llm import queries
+from driftline.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,52 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, docs):
+    """Stages decide on rows: nothing is lost, kept or multiplied because ids are null or repeat."""
+    passage = [f"w{i}" for i in range(60)]
+    near = lambda *places: " ".join(f"x{i}" if i in places else w for i, w in enumerate(passage))
+    own = lambda k: " ".join(f"{k}v{i}" for i in range(30))
+    rows = [(None, own("a")), (None, own("b")), (None, own("a")), (2000, own("b")), (2001, own("c")), (2001, own("d")), (2002, own("c")), (None, near(59)), (2003, near()), (2004, near(0)), (2001, own("e")), (2001, own("e").upper())]
+    more = spark.createDataFrame([(i, t, "en", "s0", len(t), "x", 1, "k", "z", "b", "n", "p", 2, "d", "s") for i, t in rows], docs.schema)
+    start = docs.unionByName(more)
+    lower = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+    known = corpus_pipeline.keep_known_languages(spark, start, SF)
+    assert Counter(r["text"] for r in known.collect()) == Counter(r["text"] for r in start.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+    one = corpus_pipeline.keep_one_of_equals(spark, start, SF)
+    got = Counter((r["doc_id"], lower(r["text"])) for r in one.collect())
+    largest = {}
+    for r in start.collect():
+        t, i = lower(r["text"]), r["doc_id"]
+        largest[t] = max(largest.get(t, -1), -1 if i is None else i)
+    assert got == Counter((None if i == -1 else i, t) for t, i in largest.items())
+
+    one = one.cache()
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, one, SF)
+    before = [((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "")) for r in one.collect()]
+    sets = []
+    for _, t in before:
+        w = t.encode().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} - {()})
+    root = list(range(len(sets)))
+    for _ in range(3):
+        for a in range(len(sets)):
+            for b in range(a):
+                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    low = min(root[a], root[b])
+                    root = [low if r in (root[a], root[b]) else r for r in root]
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, []).append(before[i])
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted(min(x) for x in least.values())
+    assert (-1, near(59)) in {min(x) for x in least.values()} and any(len(x) > 2 for x in least.values())
+
+    plan = {(r["doc_id"], r["source"]): r["repeats"] for r in mixing.mix_sources(start).collect()}
+    want = Counter()
+    for r in start.collect():
+        want[r["doc_id"], r["source"], r["text"]] += plan[r["doc_id"], r["source"]]
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in corpus_pipeline.mix(spark, start, SF).collect())
+    assert got == +want and any(i is None for i, _, _ in got)
