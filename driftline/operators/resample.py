@@ -57,9 +57,9 @@ def sign_flip(days: DataFrame, keys: list[str], day_number: str, value: str, rep
     return flipped.join(seen, keys).groupBy(*keys).agg(((F.count_if(F.col("m") <= F.col("mean")) + 1) / (reps + 1)).alias("p"))
 
 
-def within_day_permutation(rows: DataFrame, day: str, signal: str, identity: list[str], value: Column, reps: int, seed: int, number: Column) -> DataFrame:
-    """Mean of as many rows a day as had the signal, drawn without replacement, per replicate. number: an integer of each row for its draws."""
-    counted = rows.select(day, value.alias("v"), number.alias("__x"), *identity, F.sum(F.col(signal).cast("int")).over(Window.partitionBy(day)).alias("k")).where("k > 0")
+def within_day_permutation(rows: DataFrame, day: str, signal: str, identity: list[str], value: Column, reps: int, seed: int, number: Column, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Mean of as many rows a day as had the signal, drawn without replacement, per key and replicate. number: an integer of each row for its draws."""
+    counted = rows.select(*keys, day, value.alias("v"), number.alias("__x"), *identity, F.sum(F.col(signal).cast("int")).over(Window.partitionBy(*keys, day)).alias("k")).where("k > 0")
     spread = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    order = Window.partitionBy("rep", day).orderBy(draw(seed, F.col("rep"), F.col("__x")), *identity)
-    return spread.select("rep", "v", "k", F.row_number().over(order).alias("r")).where("r <= k").groupBy("rep").agg((F.sum("v").cast("double") / F.count("v")).alias("mean"))
+    order = Window.partitionBy(*keys, "rep", day).orderBy(draw(seed, F.col("rep"), F.col("__x")), *identity)
+    return spread.select(*keys, "rep", "v", "k", F.row_number().over(order).alias("r")).where("r <= k").groupBy(*keys, "rep").agg((F.sum("v").cast("double") / F.count("v")).alias("mean"))

@@ -396,6 +396,13 @@ def within_day_permutation(spark, d):
     return r6(resample.within_day_permutation(f, "day", "signal", ["o", "n"], F.col("net_bp"), 10, 5, F.col("o") * 10 + F.col("n")), "mean")
 
 
+@reg.query()
+def within_day_permutation_all_rules(spark, d):
+    """Every rule, with the replicates of the other resamplings; within_day_permutation and its SQL have one rule and 10."""
+    f = fills(spark, d)
+    return r6(resample.within_day_permutation(f, "day", "signal", ["o", "n"], F.col("net_bp"), 200, 5, F.col("o") * 10 + F.col("n"), R), "mean")
+
+
 # ---- selection and sensitivity
 
 @reg.query(f"WITH {FILLS} SELECT chain, round(avg(-net_bp) FILTER (net_bp <= 0) / (avg(net_bp) FILTER (net_bp > 0) + avg(-net_bp) FILTER (net_bp <= 0)), 6) AS breakeven FROM fills GROUP BY chain")

@@ -1,13 +1,16 @@
 """Hand-computed values and metamorphic tests."""
 
+from collections import defaultdict
 from decimal import Decimal as D
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import costs, flow, ledger, pattern, simulate, stats, validation
+from driftline.operators import costs, flow, ledger, pattern, resample, simulate, stats, validation
 from driftline.operators.paper import Account, Policy
+from driftline.plans import catalogue
+from driftline.plans.views import fills
 from driftline.sources import sinks, tables
 
 
@@ -137,3 +140,27 @@ def test_csv_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.csv(spark, str(tmp_path / "o"), ["absent"])
     assert tables.synthetic(spark).count() == 600
+
+
+def draw(seed, rep, place):
+    x = (rep * 48271 + place * 16807 + seed * 69621 + 1) % resample.M
+    for a, c in ((48271, 11), (69621, 7), (16807, 3)):
+        x = (x * a + c) % resample.M
+        x = (x + (x >> 13)) % resample.M
+    return x
+
+
+def small_fills(spark):
+    return fills(spark, "/root/testdata/sf0.001").toPandas()
+
+
+def test_within_day_permutation_of_all_rules(spark):
+    """Against brute force: all rules, 200 replicates."""
+    want = defaultdict(list)
+    for (rule, _), rows in small_fills(spark).groupby(["rule", "day"]):
+        k, own = int(rows["signal"].sum()), [(int(o), int(n), v) for o, n, v in zip(rows["o"], rows["n"], rows["net_bp"], strict=True)]
+        for rep in range(200 if k else 0):
+            want[rule, rep] += [v for _, _, _, v in sorted((draw(5, rep, o * 10 + n), o, n, v) for o, n, v in own)[:k]]
+    got = {(r["rule"], r["rep"]): r["mean"] for r in catalogue.queries()["within_day_permutation_all_rules"](spark, "/root/testdata/sf0.001").collect()}
+    assert len({rule for rule, _ in got}) == 6 and len(got) == 1200 and got.keys() == want.keys()
+    assert all(abs(got[k] - sum(map(float, v)) / len(v)) < 2e-6 for k, v in want.items())
