@@ -370,8 +370,8 @@ def day_block_bootstrap(spark, d):
 PAIRS = f"{FILLS}, pd AS (SELECT rule, substr(day, 1, 7) AS m, avg(net_bp) FILTER (signal) - avg(net_bp) FILTER (NOT signal) AS diff FROM fills GROUP BY ALL HAVING count(*) FILTER (signal) > 0 AND count(*) FILTER (NOT signal) > 0)"
 
 
-def paired_days(spark, d):
-    f = fills(spark, d).groupBy("rule", F.substring("day", 1, 7).alias("m"))
+def paired_days(spark, d, block=None):
+    f = fills(spark, d).groupBy("rule", (F.substring("day", 1, 7) if block is None else block).alias("m"))
     g = f.agg(F.avg(F.when(F.col("signal"), F.col("net_bp"))).alias("a"), F.avg(F.when(~F.col("signal"), F.col("net_bp"))).alias("b"))
     return g.where("a IS NOT NULL AND b IS NOT NULL").select("rule", "m", (F.col("a") - F.col("b")).alias("diff"))
 
@@ -403,6 +403,25 @@ def within_day_permutation_all_rules(spark, d):
     return r6(resample.within_day_permutation(f, "day", "signal", ["o", "n"], F.col("net_bp"), 200, 5, F.col("o") * 10 + F.col("n"), R), "mean")
 
 
+@reg.query()
+def whole_day_block_bootstrap(spark, d):
+    """Blocks are days; those of day_block_bootstrap and its SQL are months."""
+    return r6(resample.bootstrap(fills(spark, d), R, "day", F.col("net_bp"), 200, 7), "mean", "low", "high")
+
+
+@reg.query()
+def whole_day_matched_pairs(spark, d):
+    """Pairs are days; those of matched_pair_days and its SQL are months."""
+    return r6(paired_days(spark, d, F.col("day")).groupBy("rule").agg(F.count(F.lit(1)).alias("pair_days"), F.avg("diff").alias("diff")), "diff")
+
+
+@reg.query()
+def whole_day_sign_flip(spark, d):
+    """Signs belong to days; those of sign_flip_permutation and its SQL to months."""
+    q = paired_days(spark, d, F.col("day")).select("rule", F.round(F.col("diff") * 1000).cast("long").alias("v"), (F.dense_rank().over(Window.orderBy("m")) - 1).alias("i"))
+    return r6(resample.sign_flip(q, R, "i", "v", 200, 11), "p")
+
+
 # ---- selection and sensitivity
 
 @reg.query(f"WITH {FILLS} SELECT chain, round(avg(-net_bp) FILTER (net_bp <= 0) / (avg(net_bp) FILTER (net_bp > 0) + avg(-net_bp) FILTER (net_bp <= 0)), 6) AS breakeven FROM fills GROUP BY chain")

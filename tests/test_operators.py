@@ -164,3 +164,30 @@ def test_within_day_permutation_of_all_rules(spark):
     got = {(r["rule"], r["rep"]): r["mean"] for r in catalogue.queries()["within_day_permutation_all_rules"](spark, "/root/testdata/sf0.001").collect()}
     assert len({rule for rule, _ in got}) == 6 and len(got) == 1200 and got.keys() == want.keys()
     assert all(abs(got[k] - sum(map(float, v)) / len(v)) < 2e-6 for k, v in want.items())
+
+
+def test_resampling_of_whole_days(spark):
+    """Bootstrap, pairs and sign flips against brute force over days."""
+    rows = small_fills(spark)
+    query = lambda name: {r["rule"]: r for r in catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+    boot, pairs, flips = (query(name) for name in ("whole_day_block_bootstrap", "whole_day_matched_pairs", "whole_day_sign_flip"))
+    assert len(boot) == len(pairs) == len(flips) == rows["rule"].nunique()
+    diffs = {}
+    for rule, own in rows.groupby("rule"):
+        days = [(int(g["net_bp"].sum()), len(g)) for _, g in own.groupby("day")]
+        assert boot[rule]["days"] == len(days) > 500
+        means = []
+        for rep in range(200):
+            picked = [days[draw(7, rep, i) % len(days)] for i in range(len(days))]
+            means.append(sum(s for s, _ in picked) / sum(n for _, n in picked))
+        assert [boot[rule][c] for c in ("low", "high")] == pytest.approx(np.quantile(means, [0.025, 0.975]).tolist(), abs=2e-6)
+        for day, g in own.groupby("day"):
+            if 0 < g["signal"].sum() < len(g):
+                diffs[rule, day] = g["net_bp"][g["signal"]].mean() - g["net_bp"][~g["signal"]].mean()
+    place = {day: i for i, day in enumerate(sorted({day for _, day in diffs}))}
+    for rule in pairs:
+        own = {day: v for (r, day), v in diffs.items() if r == rule}
+        assert (pairs[rule]["pair_days"], pairs[rule]["diff"]) == (len(own), pytest.approx(np.mean(list(own.values())), abs=2e-6))
+        v = {day: int(np.floor(abs(x) * 1000 + 0.5) * np.sign(x)) for day, x in own.items()}
+        hits = sum(sum(x if (draw(11, rep, place[day]) >> 8) % 2 == 0 else -x for day, x in v.items()) <= sum(v.values()) for rep in range(200))
+        assert flips[rule]["p"] == pytest.approx((hits + 1) / 201, abs=2e-6)
