@@ -10,6 +10,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Penalties tried, the smallest first.
+PENALTIES = (0.01, 0.1, 1.0, 10.0)
+
 
 def pipeline(features: list[str], kind: str = "logistic", c: float = 1.0, n: int = 100) -> Pipeline:
     """Median imputation and a classifier; logistic regression also scales, with the penalty 1 / (c n)."""
@@ -18,17 +21,50 @@ def pipeline(features: list[str], kind: str = "logistic", c: float = 1.0, n: int
     if kind == "logistic":
         stages += [StandardScaler(withMean=True, inputCol="raw__", outputCol="x__"), LogisticRegression(featuresCol="x__", labelCol="y", regParam=1 / (c * n), standardization=False)]
     else:
-        stages += [GBTClassifier(featuresCol="raw__", labelCol="y", maxDepth=2, maxIter=20, stepSize=0.04, seed=1)]
+        stages += [GBTClassifier(featuresCol="raw__", labelCol="y", maxDepth=2, maxIter=120, stepSize=0.04, seed=1)]
     return Pipeline(stages=stages)
 
 
-def out_of_fold(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], kind: str = "logistic") -> DataFrame:
-    """fold, id, y, p of each test row, predicted by a model that saw only its fold's training rows."""
+def tuned_c(train: DataFrame, features: list[str], at: str = "at") -> float:
+    """The penalty of least mean Brier loss over up to three splits by time, each tested on the rows after those it is fitted to; 1 without two splits."""
+    n = train.count()
+    count = min(3, max(0, n // 20 - 1))
+    if count < 2:
+        return 1.0
+    size = n // (count + 1)
+    starts = [n - (count - k) * size for k in range(count)]
+    wanted = set(starts)
+    # the driver gets the first row of each split
+    first = train.select(at, "id").orderBy(at, "id").rdd.zipWithIndex().filter(lambda r: r[1] in wanted).map(lambda r: (r[1], tuple(r[0]))).collectAsMap()
+    early = lambda place: F.struct(at, "id") < F.struct(*[F.lit(v).cast(train.schema[k].dataType).alias(k) for k, v in zip((at, "id"), first[place], strict=True)])
+    losses: dict[float, list[float]] = {c: [] for c in PENALTIES}
+    for start in starts:
+        left, right = train.where(early(start)), train.where(~early(start))
+        if start + size < n:
+            right = right.where(early(start + size))
+        if left.select("y").distinct().count() < 2:
+            continue
+        before = Pipeline(stages=pipeline(features).getStages()[:-1]).fit(left)
+        fitted, held = before.transform(left).cache(), before.transform(right).cache()
+        for c in PENALTIES:
+            model = pipeline(features, c=c, n=start).getStages()[-1].fit(fitted)
+            error = vector_to_array("probability")[1] - F.col("y")
+            losses[c].append(model.transform(held).agg(F.avg(error * error)).first()[0])
+        fitted.unpersist()
+        held.unpersist()
+    means = {c: sum(x) / len(x) for c, x in losses.items() if x}
+    return min(means, key=means.get) if means else 1.0
+
+
+def out_of_fold(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], kind: str = "logistic", at: str = "at") -> DataFrame:
+    """fold, id, y, p of each test row, predicted by a model that saw only its fold's training rows; the penalty of logistic regression is tuned on those too."""
     out = None
     for fold in folds:
         own = members.where(F.col("fold") == fold)
-        train = rows.join(own.where("role = 'train'"), "id")
-        model = pipeline(features, kind, n=train.count()).fit(train)
+        train = rows.join(own.where("role = 'train'"), "id").cache()
+        c = tuned_c(train, features, at) if kind == "logistic" else 1.0
+        model = pipeline(features, kind, c, train.count()).fit(train)
+        train.unpersist()
         scored = model.transform(rows.join(own.where("role = 'test'"), "id"))
         part = scored.select(F.lit(fold).alias("fold"), "id", "y", vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)

@@ -143,7 +143,7 @@ def nested_rule_selection(spark, d):
 
 def oof(spark, d, kind):
     f = frame(spark, d)
-    members, folds = validation.walk_forward(f, k=3, embargo=24 * HOUR, least=20)
+    members, folds = validation.walk_forward(f, embargo=24 * HOUR, least=20)
     return models.out_of_fold(f, members, ["f1", "f2"], [x.number for x in folds], kind)
 
 

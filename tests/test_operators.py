@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import costs, flow, ledger, pattern, resample, simulate, stats, validation
+from driftline.operators import costs, flow, ledger, models, pattern, resample, simulate, stats, validation
 from driftline.operators.paper import Account, Policy
-from driftline.plans import catalogue
+from driftline.plans import catalogue, research
 from driftline.plans.views import fills
 from driftline.sources import sinks, tables
 
@@ -191,3 +191,21 @@ def test_resampling_of_whole_days(spark):
         v = {day: int(np.floor(abs(x) * 1000 + 0.5) * np.sign(x)) for day, x in own.items()}
         hits = sum(sum(x if (draw(11, rep, place[day]) >> 8) % 2 == 0 else -x for day, x in v.items()) <= sum(v.values()) for rep in range(200))
         assert flips[rule]["p"] == pytest.approx((hits + 1) / 201, abs=2e-6)
+
+
+def test_models_do_all_rounds_and_tune_the_penalty(spark):
+    assert models.pipeline(["a"], "boosting").getStages()[-1].getMaxIter() == 120
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=400)
+    table = lambda y: spark.createDataFrame([(i, i, float(x), int(v)) for i, (x, v) in enumerate(zip(a, y, strict=True))], "id long, at long, a double, y int")
+    assert models.tuned_c(table(rng.random(400) < 0.5), ["a"]) == 0.01
+    assert models.tuned_c(table(a > 0), ["a"]) == 10.0
+    assert models.tuned_c(table(a > 0).where("id < 50"), ["a"]) == 1.0
+
+
+def test_logistic_oof_predicts_five_of_six_blocks(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.queries()["logistic_oof"](spark, sf).toPandas()
+    blocks = {r["grp"]: r["block"] for r in catalogue.queries()["fold_blocks"](spark, sf).collect()}
+    rows = research.frame(spark, sf).select("id", "grp").toPandas()
+    assert set(got["fold"]) == {1, 2, 3, 4, 5} and set(got["id"]) == set(rows["id"][rows["grp"].map(blocks) > 0]) and got["id"].is_unique
