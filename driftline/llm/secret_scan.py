@@ -24,6 +24,8 @@ DICTIONARY = r"(?i)the|and|ing|tion|user|name|file|path|data|list|index|image|co
 FEATURES = ["length", "digit_share", "upper_share", "transitions", "distinct_share", "dictionary_share", "hex_only", "digits_only", "uuid", "issued", "key_word", "hash_word", "placeholder", "assigned", "quoted", "path_like", "test_path"]
 #: Findings the forest is trained on, and the score from which a candidate is a secret.
 TRAINING, THRESHOLD = 6000, 0.5
+#: What ends the text around a run: nothing before it in a word tells of the run.
+BOUNDARY = r"[,;&{}?|@]|://"
 SCHEMA = "array<struct<at:int,word:string,before:string,before2:string,before3:string,after:string>>"
 
 
@@ -50,10 +52,39 @@ def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None,
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds the candidate itself and the numbers in FEATURES."""
+    """A row for each candidate run of a word, with the run itself and the numbers in FEATURES.
+
+    A word's main run (the last one if it ends the word, else the first; its `rank` is 0) is always a candidate; the others are
+    if they have a digit and 16 characters, or 8 after an assigned key word. Where a word has
+    several runs, the numbers come from the text around the run, between boundaries.
+    """
     core = F.regexp_extract("word", rf"({RUN}{{8,}}={{0,2}})[^A-Za-z0-9]*$", 1)
     longest = F.when(core != "", core).otherwise(F.regexp_extract("word", rf"({RUN}{{8,}}={{0,2}})", 1))
-    rows = found.select("*", longest.alias("secret"), F.concat_ws(" ", "before3", "before2", "before", "word", "after").alias("near"))
+    part = lambda k: F.regexp_extract_all("word", F.lit(rf"(?s)(.*?)({RUN}{{8,}}={{0,2}})"), F.lit(k))
+    parts = found.select("*", longest.alias("main"), part(1).alias("gaps"), part(2).alias("runs"), F.regexp_replace("word", rf"(?s)^.*{RUN}{{8,}}={{0,2}}", "").alias("rest"))
+    get = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    since = lambda i: F.regexp_replace(F.concat(get("gaps", i - 1), get("runs", i - 1), get("gaps", i)), rf"(?s)^.*(?:{BOUNDARY})", "")
+
+    def wanted(i: Column) -> Column:
+        run = F.get("runs", i)
+        assigned = F.concat_ws(" ", F.when(i == 0, F.concat_ws(" ", "before2", "before")).otherwise(F.lit("")), since(i)).rlike(rf"(?:{KEY_WORD})\S*\s*[=:]")
+        return (i + 1 == F.array_position("runs", F.col("main"))) | (run.rlike("[0-9]") & ((F.length(run) >= 16) | assigned))
+
+    places = F.when(F.size("runs") > 1, F.filter(F.sequence(F.lit(0), F.size("runs") - 1), wanted)).otherwise(F.array(F.lit(0)))
+    parts = parts.select("*", F.explode(places).alias("i"))
+    several, i = F.size("runs") > 1, F.col("i")
+    until = F.regexp_replace(F.coalesce(F.get("gaps", i + 1), F.col("rest")), rf"(?s)(?:{BOUNDARY}).*$", "")
+    first = lambda c: F.when(~several | (i == 0), F.col(c)).otherwise(F.lit("")).alias(c)
+    secret = F.when(several, F.get("runs", i)).otherwise(F.col("main"))
+    rows = parts.select(
+        *[c for c in found.columns if c not in ("word", "before", "before2", "before3")],
+        *map(first, ("before", "before2", "before3")),
+        F.when(several, F.concat(since(i), secret, until)).otherwise(F.col("word")).alias("word"),
+        F.when(several, since(i)).otherwise(F.regexp_replace("word", "[=:].*$", "")).alias("lead"),
+        secret.alias("secret"),
+        F.when(several & (i + 1 != F.array_position("runs", F.col("main"))), i + 1).otherwise(0).alias("rank"),
+    )
+    rows = rows.select("*", F.concat_ws(" ", "before3", "before2", "before", "word", "after").alias("near"))
     n = F.greatest(F.length("secret"), F.lit(1)).cast("double")
     count = lambda pattern: F.regexp_count("secret", F.lit(pattern)).cast("double")
     flag = lambda condition: condition.cast("double")
@@ -68,15 +99,15 @@ def with_features(found: DataFrame) -> DataFrame:
         "digits_only": flag(F.col("secret").rlike("^[0-9\\-]+$")),
         "uuid": flag(F.col("secret").rlike("(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")),
         "issued": flag(F.col("secret").rlike(ISSUED)),
-        "key_word": flag(F.concat_ws(" ", "before3", "before2", "before", F.regexp_replace("word", "[=:].*$", "")).rlike(KEY_WORD)),
-        "hash_word": flag(F.concat_ws(" ", "before3", "before2", "before", F.regexp_replace("word", "[=:].*$", "")).rlike(HASH_WORD)),
+        "key_word": flag(F.concat_ws(" ", "before3", "before2", "before", "lead").rlike(KEY_WORD)),
+        "hash_word": flag(F.concat_ws(" ", "before3", "before2", "before", "lead").rlike(HASH_WORD)),
         "placeholder": flag(F.col("near").rlike(PLACEHOLDER)),
         "assigned": flag(F.concat_ws(" ", "before", "word").rlike("[=:]")),
         "quoted": flag(F.col("word").rlike("[\"'`]")),
         "path_like": flag(F.col("word").rlike(r"://|^/|/.*/|\.(?:com|org|net|html?|png|jpe?g|js|css|py|md|txt)\b|@")),
         "test_path": flag(F.col("path").rlike("(?i)test|example|sample|fixture|mock|docs?/")),
     }
-    return rows.select("id", "path", "at", "secret", *[c for c in found.columns if c not in ("id", "path", "at", "word", "before", "before2", "before3", "after")], *[v.alias(k) for k, v in made.items()])
+    return rows.select("id", "path", "at", "rank", "secret", *[c for c in found.columns if c not in ("id", "path", "at", "word", "before", "before2", "before3", "after")], *[v.alias(k) for k, v in made.items()])
 
 
 def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
@@ -112,18 +143,18 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
 
 
 def train(findings: DataFrame, id_col: str = "id", text_col: str = "text", path_col: str | None = "path", label_col: str = "label", most: int = TRAINING) -> list[forest.Tree]:
-    """A forest from labelled findings, `most` at most (those first by id); each text's first candidate is the finding."""
+    """A forest from labelled findings, `most` at most (those first by id); each text's first candidate, by its word's main run, is the finding."""
     found = with_features(candidates(findings, id_col, text_col, path_col, [label_col]))
     # one row of numbers for each of at most `most` findings
-    got = found.orderBy("id", "at").limit(most).select("id", label_col, *FEATURES).toPandas().drop_duplicates("id")
+    got = found.where("rank = 0").orderBy("id", "at").limit(most).select("id", label_col, *FEATURES).toPandas().drop_duplicates("id")
     return forest.fit(got[FEATURES].to_numpy(float), got[label_col].to_numpy(int))
 
 
 def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", trees: list[forest.Tree] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: id, word_at, secret, the numbers in FEATURES, score, is_secret.
 
-    A candidate is a word with a run of 16 or more letters, digits and `+/_-` and a digit, or of 8
-    or more after an assigned key word; word_at counts words from 0. The forest, trained on the
+    A candidate is a run of 16 or more letters, digits and `+/_-` in a word with a digit, or of 8
+    or more after an assigned key word; a word gives a row for each (see with_features); word_at counts words from 0. The forest, trained on the
     driver from `labelled_findings` unless given, is part of the query as conditions over the
     numbers; nothing runs outside the JVM and nothing is shuffled. Null, empty and candidate-free
     texts give no rows; rows that repeat give their findings again; a null path is empty; whole
@@ -136,8 +167,8 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def redact(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with each text's secrets in `found` replaced by ***; ids must be unique in `df`."""
-    secrets = found.where("is_secret").groupBy(id_col).agg(F.collect_set("secret").alias("__secrets"))
+    """`df` with each text's secrets in `found` replaced by ***, longer ones first; ids must be unique in `df`."""
+    secrets = found.where("is_secret").groupBy(id_col).agg(F.reverse(F.array_sort(F.transform(F.collect_set("secret"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))).alias("__secrets"))
     joined = df.join(secrets, id_col, "left")
-    clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col(text_col), lambda t, s: F.replace(t, s, F.lit("***")))
+    clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<struct<n:int,s:string>>")), F.col(text_col), lambda t, s: F.replace(t, s["s"], F.lit("***")))
     return joined.select(*[clean.alias(text_col) if c == text_col else F.col(c) for c in df.columns])
