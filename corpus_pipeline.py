@@ -14,6 +14,8 @@ from driftline.llm.common import checkpointed, lower_ascii, shared_folder
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text tells a language; nothing but texts without a letter is rejected."""
     model = language_id.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = language_id.identify(docs, model)
     return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 

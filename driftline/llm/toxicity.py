@@ -97,7 +97,7 @@ class Voters:
         hits[p + 2] = 100 * len(strong) / len(words) if words and len(strong) / len(words) > 0.01 else 0
         hits[p + 3] = sum(near(at, SECOND_PERSON, 3) for at in places)
         hits[p + 4] = sum(near(at, SECOND_PERSON, 4) and near(at, WANTS, 4) for at in places if words[at] in LEXICONS["threat"])
-        hits[p + 5] = sum(1 for at in strong[:50] if words[at].upper() + "!" in text) if strong else 0
+        hits[p + 5] = sum(1 for word in {words[at] for at in strong} if word.upper() + "!" in text)
         mild = len(self.mild & present)
         hits[p + 7] = max(0, mild - 1)
         for i in (0, 1, 2, 3, 4, 5, 7):

@@ -309,3 +309,11 @@ def test_secret_scan_finds_every_run_of_a_word(spark):
     assert (2, c) in {(r["doc_id"], r["secret"]) for r in found.collect()}
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(rows, found).collect()}
     assert not any(s in t for i, t in clean.items() for s in (a, b, token)) and c in clean[2]
+
+
+def test_toxicity_hears_a_late_shout():
+    voters = toxicity.Voters()
+    quiet, loud = sorted(w for w in voters.strong if w.isalpha())[:2]
+    text = " ".join([quiet] * 60) + f" {loud.upper()}!"
+    votes, hits = voters.vote(text.lower().replace("!", "").split(), text)
+    assert votes[voters.lexicons + 5] == 1 and hits[voters.lexicons + 5] == 1

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -76,6 +77,12 @@ def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_keeps_texts_without_a_language_model(spark, docs):
+    rows = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.keep_known_languages(spark, rows, SF)
+    assert sorted(r["text"] for r in got.collect()) == sorted(r["text"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
 def test_pipeline_stages_with_null_and_repeated_ids(spark, docs):
     """Stages decide on rows: nothing is lost, kept or multiplied because ids are null or repeat."""
     passage = [f"w{i}" for i in range(60)]
