@@ -192,48 +192,101 @@ def brute_links(rows):
     return sets, links, root
 
 
-@pytest.mark.parametrize("leaf", [128, 2])
-def test_ngram_join(docs, empty, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf, block, depth", [(128, 256, 12), (2, 2, 12), (2, 3, 1)])
+def test_ngram_join(docs, empty, monkeypatch, leaf, block, depth):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "DEPTH", depth)
     rows = docs.collect()
     sets, links, root = brute_links(rows)
     ids = [ngram_join.NO_ID if r["doc_id"] is None else r["doc_id"] for r in rows]
     class_of = {c: min(ids[i] for i in range(len(rows)) if root[i] == c) for c in set(root)}
-    want = sorted((ids[i], class_of[root[i]], len(links[i])) for i in range(len(rows)))
-    got = sorted((ngram_join.NO_ID if r["doc_id"] is None else r["doc_id"], ngram_join.NO_ID if r["class_id"] is None else r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs).collect())
-    assert got == want and sum(map(len, links)) > 10
+    size = Counter(root)
+    want = sorted((ids[i], class_of[root[i]], size[root[i]], bool(links[i]), sum(sets[j] == sets[i] for j in links[i])) for i in range(len(rows)))
+    some = lambda x: ngram_join.NO_ID if x is None else x
+    got = ngram_join.ngram_join(docs).collect()
+    assert sorted((some(r["doc_id"]), some(r["class_id"]), r["class_rows"], r["n_links"] > 0, r["n_copies"]) for r in got) == want and sum(map(len, links)) > 10
+    assert all(r["n_copies"] <= r["n_links"] <= len(links[i]) for i in range(len(rows)) for r in got if r["doc_id"] == rows[i]["doc_id"] and size[root[i]] < 3)
     assert ngram_join.ngram_join(empty).count() == 0
 
 
 def test_ngram_join_recall_at_the_threshold():
     """Pairs just above 0.8 meet in some run's first node."""
     rng = np.random.default_rng(4)
+    runs = ngram_join.seeds(0, ngram_join.FIRST + ngram_join.SECOND)
     missed = 0
     for _ in range(400):
         n = int(rng.integers(10, 400))
         shared = rng.integers(0, 2**63, n).astype(np.uint64)
         a, b = (np.concatenate([shared, rng.integers(0, 2**63, n // 9).astype(np.uint64)]) for _ in range(2))
-        missed += not set(ngram_join.first_keys(a).tolist()) & set(ngram_join.first_keys(b).tolist())
+        missed += not set(ngram_join.first_keys(a, runs).tolist()) & set(ngram_join.first_keys(b, runs).tolist())
     assert missed == 0
 
 
 def test_ngram_join_recall_below_large_nodes():
     """Pairs at 0.8 of which one holds the other still meet after three levels of large nodes, and brute force then sees them as alike."""
     rng = np.random.default_rng(5)
+    runs = ngram_join.seeds(0, ngram_join.FIRST + ngram_join.SECOND)
     missed = 0
     for _ in range(2000):
         n = int(rng.integers(80, 400))
         b = rng.integers(0, 2**63, n).astype(np.uint64)
         a = np.concatenate([b, rng.integers(0, 2**63, n // 4).astype(np.uint64)])
-        sketches = ngram_join.sketch_of(a), ngram_join.sketch_of(b)
-        nodes = set(ngram_join.first_keys(a).tolist()) & set(ngram_join.first_keys(b).tolist())
+        short = [np.frombuffer(ngram_join.short_of(s), np.uint16) for s in (a, b)]
+        nodes = set(ngram_join.first_keys(a, runs).tolist()) & set(ngram_join.first_keys(b, runs).tolist())
         for _ in range(3):
-            nodes = {k for node in nodes for k in set(ngram_join.child_keys(node, sketches[0]).tolist()) & set(ngram_join.child_keys(node, sketches[1]).tolist())}
-        short = [np.frombuffer(ngram_join.short_of(s), np.uint16) for s in sketches]
+            nodes = {k for node in nodes for k in set(ngram_join.child_keys(node, short[0]).tolist()) & set(ngram_join.child_keys(node, short[1]).tolist())}
         missed += not nodes or len(np.intersect1d(*short)) < ngram_join.ALIKE * min(map(len, short))
     assert missed == 0
 
 
+def test_ngram_join_of_a_large_group_and_frequent_passages(spark):
+    """A group of 2,400 near copies, around and below the threshold to each other, and 1,500 texts of a few shared passages with partners at 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(2400):
+        w = list(base)
+        for at in rng.sample(range(100), rng.choice((1, 1, 2, 3))):
+            w[at] = word()
+        texts.append(w)
+    passages = [[word() for _ in range(60)] for _ in range(4)]
+    for _ in range(750):
+        w = rng.choice(passages) + [word() for _ in range(60)] + rng.choice(passages)
+        cut = rng.randint(20, 34)
+        texts += [w, w[:-cut] if rng.random() < 0.5 else w[:-8] + [word() for _ in range(8)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+
+    number: dict = {}
+    member = np.zeros((len(texts), sum(len(w) for w in texts)), np.float32)
+    for i, w in enumerate(texts):
+        member[i, [number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(len(w) - 4)]] = 1
+    member = member[:, : len(number)]
+    size = member.sum(1)
+    linked = total = 0
+    root = np.arange(len(texts))
+    near = []
+    for at in range(0, len(texts), 500):
+        common = member[at : at + 500] @ member.T
+        for i, j in np.argwhere(common >= 0.8 * (size[at : at + 500, None] + size - common) - 1e-6):
+            if at + i < j:
+                near.append((at + int(i), int(j)))
+    for i, j in near:
+        total += 1
+        linked += got[i] == got[j]
+    assert total > 100_000 and linked >= 0.999 * total
+    for _ in range(40):  # classes join nothing that links do not
+        before = root.copy()
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+        if (root == before).all():
+            break
+    assert all(root[i] == root[c] for i, c in got.items())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4), (4, 5), (5, 6), (7, 7), (None, 1)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
