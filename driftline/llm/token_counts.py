@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +15,20 @@ LIMIT = 1024
 #: Characters of a chunk, and compiled states a worker keeps before it starts anew.
 CHUNK, MOST_STATES = 16_384, 400_000
 
-LETTER, NUMBER, SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\p{White_Space}")
 CONTRACTIONS = {"s": {""}, "t": {""}, "m": {""}, "d": {""}, "r": {"e"}, "v": {"e"}, "l": {"l"}}
 
 
-def kind(char: str) -> str:
-    return "L" if LETTER.match(char) else "N" if NUMBER.match(char) else "W" if SPACE.match(char) else "O"
+class Kinds(dict):
+    """char -> L (letter), N (number), O (other) or W (white space), as the library's own split has it: what does not part from one of a kind is of it."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, char: str) -> str:
+        found = self[char] = next((kind for kind, one in (("L", "a"), ("N", "1"), ("O", "!")) if len(self.pieces(one + char)) == 1), "W")
+        return found
 
 
 class Pieces:
@@ -117,7 +124,7 @@ class Transducer:
     """
 
     def __init__(self, bpe: bytebpe.ByteBpe, most: int = MOST_STATES):
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most, self.kinds = bpe, most, Kinds(bpe.path)
         self.reset()
 
     def reset(self) -> None:
@@ -139,10 +146,10 @@ class Transducer:
     def opened(self, char: str, lead: str) -> tuple[State, int]:
         """A piece that begins with `lead` (a space or nothing) and `char`, which is no white space."""
         piece, count = self.pieces.start.feed(lead + char)
-        return self.state("A" if char == "'" and not lead else kind(char), piece, ""), count
+        return self.state("A" if char == "'" and not lead else self.kinds[char], piece, ""), count
 
     def step(self, state: State, char: str) -> tuple[State, int]:
-        mode, piece, held, to = state.mode, state.piece, state.held, kind(char)
+        mode, piece, held, to = state.mode, state.piece, state.held, self.kinds[char]
         if mode == "W":
             if to == "W":
                 piece, count = piece.feed(held)
@@ -198,24 +205,34 @@ class State(dict):
 class Span:
     """A chunk as a map from the state before it to the state after it and the tokens emitted.
 
-    After a visible ASCII character and a space the state is the same whatever was before, so the
-    map is: read `head` from the given state, then add `count` and go to `state`. A chunk without
-    such a place has only a head.
+    Where the kind of characters changes, the state after the second one is the same whatever was
+    before: it opens a piece (or, if a space, may belong to the next one). So the map is: read
+    `head` from the given state, then add `count` and go to `state`. A chunk without such a place
+    has only a head.
     """
 
     __slots__ = ("head", "count", "state")
-    MEETS = regex.compile(r"[!-~] ")
 
     def __init__(self, head: str, count: int = 0, state: State | None = None):
         self.head, self.count, self.state = head, count, state
 
     @classmethod
     def of(cls, transducer: Transducer, chunk: str) -> Span:
-        found = cls.MEETS.search(chunk)
-        if not found:
-            return cls(chunk)
-        state, count = transducer.after_space.run(chunk[found.end() :])
-        return cls(chunk[: found.end()], count, state)
+        kinds = transducer.kinds
+        for at in range(1, len(chunk)):
+            a, b = chunk[at - 1], chunk[at]
+            before, after = kinds[a], kinds[b]
+            if before == after or before == "W" or a == "'":
+                continue
+            if b == " ":
+                start = transducer.after_space
+            elif after != "W":
+                start = transducer.opened(b, "")[0]
+            else:
+                continue
+            state, count = start.run(chunk[at + 1 :])
+            return cls(chunk[: at + 1], count, state)
+        return cls(chunk)
 
     def then(self, other: Span) -> Span:
         """Composition of the maps, which is associative."""
@@ -230,19 +247,11 @@ class Span:
 
 
 def prefix_scan(spans: list[Span]) -> list[Span]:
-    """The composition of each prefix of `spans`, by doubling: each round composes independent pairs."""
-    done, step = list(spans), 1
-    while step < len(done):
-        done = done[:step] + [done[i - step].then(done[i]) for i in range(step, len(done))]
-        step *= 2
-    return done
-
-
-def reduced(spans: list[Span]) -> Span:
-    """The composition of all, as a balanced tree."""
-    while len(spans) > 1:
-        spans = [a.then(b) for a, b in zip(spans[::2], spans[1::2], strict=False)] + spans[len(spans) & ~1 :]
-    return spans[0]
+    """The composition of each prefix of `spans`: of neighbours, of the pairs' prefixes, then of those between; in each step all compositions are independent."""
+    if len(spans) < 2:
+        return list(spans)
+    pairs = prefix_scan([a.then(b) for a, b in zip(spans[::2], spans[1::2], strict=False)])
+    return [spans[0], *(pairs[i // 2] if i % 2 else pairs[i // 2 - 1].then(spans[i]) for i in range(1, len(spans)))]
 
 
 class Counter:
@@ -253,28 +262,33 @@ class Counter:
         self.transducer, self.chunk, self.special = Transducer(bpe, most), chunk, bpe.special_split
 
     def spans(self, text: str) -> list[Span]:
-        return [Span.of(self.transducer, text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
+        """Maps of the chunks; one without a place that fixes its state is read on from the map before it."""
+        out: list[Span] = []
+        heads: list[str] = []
+        for i in range(0, len(text), self.chunk):
+            span = Span.of(self.transducer, text[i : i + self.chunk])
+            if span.state is None:
+                if out:
+                    out[-1] = out[-1].then(span)
+                else:
+                    heads.append(span.head)
+            else:
+                out.append(Span("".join(heads) + span.head, span.count, span.state))
+                heads = []
+        return out or [Span("".join(heads))]
 
     def plain(self, text: str) -> int:
         if not text:
             return 0
         if self.transducer.full():
             self.transducer.reset()
-        state, count = reduced(self.spans(text)).apply(self.transducer.begin)
+        state, count = prefix_scan(self.spans(text))[-1].apply(self.transducer.begin)
         return count + self.transducer.ending(state)
 
     def count(self, text: str) -> int:
         parts = self.special.split(text) if self.special else [text]
         return sum(map(self.plain, parts)) + len(parts) - 1
 
-    def running(self, text: str) -> list[int]:
-        """Tokens up to the end of each chunk of a text without special strings, were the text to end there."""
-        out = []
-        for span in prefix_scan(self.spans(text)):
-            state, count = span.apply(self.transducer.begin)
-            out.append(count + self.transducer.ending(state))
-        return out
-
 
 @cache
 def counter(path: str) -> Counter:
