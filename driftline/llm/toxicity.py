@@ -36,7 +36,7 @@ WANTS = frozenset("should must deserve deserves hope wish will gonna".split())
 TOKEN = re.compile(r"\w+")
 #: Learned lexicons: groups of words whose share of toxic documents is far above their share of others.
 #: Besides whole words, their first STEM letters (marked by a star) can be in them, so that forms never seen count too.
-GROUPS, MIN_DOCS, MIN_LIFT, STEM = 6, 3, 12.0, 5
+GROUPS, MIN_DOCS, MIN_LIFT, STEM = 6, 4, 12.0, 5
 ABSTAIN = -1
 
 
@@ -49,7 +49,6 @@ class Voters:
     """Lexicon and pattern voters; each says 1 (toxic), 0 or abstains."""
 
     learned: list[frozenset] = field(default_factory=list)
-    mild: frozenset = frozenset()
 
     def __post_init__(self):
         self.groups: dict[str, list[int]] = {}
@@ -61,8 +60,8 @@ class Voters:
         self.stems = frozenset(w[:-1] for w in self.groups if w.endswith("*"))
         self.strong = frozenset().union(*(frozenset(LEXICONS[k]) for k in LEXICONS if k != "threat"), *self.learned)
 
-    #: After the lexicons: one strong word, several, dense, addressed to someone, a wish to harm, shouted, none at all, many mild words.
-    PATTERNS = 8
+    #: After the lexicons: several strong words, many for the length, addressed to someone, a wish to harm, shouted, none at all.
+    PATTERNS = 6
 
     @property
     def count(self) -> int:
@@ -92,24 +91,21 @@ class Voters:
         votes[: self.lexicons][hits[: self.lexicons] > 0] = 1
         p = self.lexicons
         near = lambda at, wanted, reach: any(w in wanted for w in words[max(0, at - reach) : at + reach + 1])
-        hits[p] = bool(strong)
-        hits[p + 1] = max(0, len(strong) - 1)
-        hits[p + 2] = 100 * len(strong) / len(words) if words and len(strong) / len(words) > 0.01 else 0
-        hits[p + 3] = sum(near(at, SECOND_PERSON, 3) for at in places)
-        hits[p + 4] = sum(near(at, SECOND_PERSON, 4) and near(at, WANTS, 4) for at in places if words[at] in LEXICONS["threat"])
-        hits[p + 5] = sum(1 for word in {words[at] for at in strong} if word.upper() + "!" in text)
-        mild = len(self.mild & present)
-        hits[p + 7] = max(0, mild - 1)
-        for i in (0, 1, 2, 3, 4, 5, 7):
+        hits[p] = max(0, len(strong) - 1)
+        hits[p + 1] = 100 * len(strong) / len(words) if words and len(strong) / len(words) > 0.01 else 0
+        hits[p + 2] = sum(near(at, SECOND_PERSON, 3) for at in strong)
+        hits[p + 3] = sum(near(at, SECOND_PERSON, 4) and near(at, WANTS, 4) for at in places if words[at] in LEXICONS["threat"])
+        hits[p + 4] = sum(1 for word in {words[at] for at in strong} if word.upper() + "!" in text)
+        for i in range(5):
             if hits[p + i] > 0:
                 votes[p + i] = 1
-        if not places and mild < 2:
-            hits[p + 6], votes[p + 6] = 1, 0
+        if not strong:
+            hits[p + 5], votes[p + 5] = 1, 0
         return votes, hits
 
 
-def learned_lexicons(words: list[set[str]], toxic: np.ndarray) -> tuple[list[frozenset], frozenset]:
-    """Words that mark toxic documents, in GROUPS groups of like strength, and a list of weaker ones."""
+def learned_lexicons(words: list[set[str]], toxic: np.ndarray) -> list[frozenset]:
+    """Words that mark toxic documents, in GROUPS groups of like strength."""
     bad, all_docs = Counter(), Counter()
     least = max(MIN_DOCS, round(toxic.sum() / 100))
     for found, y in zip(words, toxic, strict=True):
@@ -120,27 +116,33 @@ def learned_lexicons(words: list[set[str]], toxic: np.ndarray) -> tuple[list[fro
     p, n = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
     lift = {w: ((k + 0.1) / p) / ((all_docs[w] - k + 0.1 * n / p) / n) for w, k in bad.items() if k >= least}
     strong = sorted((w for w, x in lift.items() if x >= MIN_LIFT and bad[w] >= 0.6 * all_docs[w]), key=lambda w: (-lift[w] * math.log(bad[w]), w))
-    mild = frozenset(w for w, x in lift.items() if x >= 4 and not w.endswith("*")) - frozenset(strong)
-    return [frozenset(part) for part in np.array_split(np.array(strong, object), GROUPS) if len(part)], mild
+    return [frozenset(part) for part in np.array_split(np.array(strong, object), GROUPS) if len(part)]
 
 
 class LabelModel:
     """A latent label behind the votes: accuracies and correlations by expectation-maximisation.
 
-    Each voter has a rate of each vote under each label. Voters that agree beyond what the label
-    explains would be counted twice, so after each round pairwise correlations of the votes given
-    the label are estimated and a voter's evidence is divided by one plus the sum of its positive
-    ones. Known labels start the rounds and pull each posterior with `trust` in its log-odds.
+    Nothing but the votes and the share of toxic documents (`balance`) is known to it. The first
+    guess is the majority of a document's votes, where voters that fire together share one vote.
+    Each voter has a rate of each vote under each label, learned from how it agrees with the
+    others; a voter is taken to be no worse than chance. Voters that agree beyond what the label explains would be counted twice, so in each round pairwise
+    correlations of the votes given the label are estimated and a voter's evidence is divided by
+    one plus the sum of its positive ones.
     """
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 15, trust: float = 4.0):
-        known = np.where(labels == 1, trust, -trust)
-        self.posterior = sigmoid(known)
+    def __init__(self, votes: np.ndarray, balance: float, rounds: int = 25):
+        self.prior = float(np.clip(balance, 1e-3, 1 - 1e-3))
         shown = np.stack([votes == v for v in (ABSTAIN, 0, 1)], axis=2).astype(float)  # documents, voters, votes
-        fired = (votes == 1).astype(float)
+        fired = shown[:, :, 2]
+        centred = fired - fired.mean(0)
+        spread = np.sqrt((centred**2).mean(0)) + 1e-9
+        together = centred.T @ centred / len(votes) / np.outer(spread, spread)
+        np.fill_diagonal(together, 0)
+        weight = 1 / (1 + (np.clip(together, 0, 1) ** 2).sum(1))
+        yes, no = fired @ weight, shown[:, :, 1] @ weight
+        self.posterior = np.where(yes + no > 0, 0.05 + 0.9 * (yes > no), self.prior)
         for _ in range(rounds):
             p = np.stack([1 - self.posterior, self.posterior])
-            self.prior = float(np.clip(self.posterior.mean(), 1e-3, 1 - 1e-3))
             self.rates = np.stack([(np.einsum("d,dvk->vk", w, shown) + 0.5) / (w.sum() + 1.5) for w in p])
             expected = sum(w[:, None] * self.rates[y][None, :, 2] for y, w in enumerate(p))
             rest = fired - expected
@@ -149,22 +151,28 @@ class LabelModel:
             np.fill_diagonal(correlation, 0)
             self.shares = 1 / (1 + np.clip(correlation, 0, 1).sum(1))
             self.accuracies = self.rates[1, :, 2] / (self.rates[1, :, 2] + self.rates[0, :, 2])
-            evidence = np.log(self.rates[1] / self.rates[0]) * self.shares[:, None]
-            odds = math.log(self.prior / (1 - self.prior)) + np.einsum("dvk,vk->d", shown, evidence)
-            self.posterior = sigmoid(odds + known)
+            evidence = np.log(self.rates[1] / self.rates[0])
+            # a vote never speaks for the other label, and an abstention never for label 1
+            evidence = np.stack([np.minimum(evidence[:, 0], 0), np.minimum(evidence[:, 1], 0), np.maximum(evidence[:, 2], 0)], 1)
+            odds = math.log(self.prior / (1 - self.prior)) + np.einsum("dvk,vk->d", shown, evidence * self.shares[:, None])
+            self.posterior = sigmoid(odds)
 
 
 class Scorer:
-    """A linear classifier over voters' hits and word frequencies, fitted to the label model's posteriors."""
+    """A linear classifier over voters' hits and word frequencies, fitted to the label model's posteriors.
+
+    `toxic` has the labels of the first texts; they choose the words of the learned lexicons and give the
+    share of toxic documents. The label model and the classifier see the votes of all texts and no label.
+    """
 
     def __init__(self, texts: list[str | None], toxic: np.ndarray, vocabulary: int = VOCABULARY):
         read = [tokens(t) for t in texts]
         sets = [set(w) for w in read]
-        self.voters = Voters(*learned_lexicons(sets, toxic))
+        self.voters = Voters(learned_lexicons(sets[: len(toxic)], toxic))
         df = Counter(w for s in sets for w in s)
         self.index = {w: i for i, w in enumerate(w for w, n in sorted(df.most_common(vocabulary)) if n >= 5)}
         votes, rows = zip(*(self.describe(w, t or "") for w, t in zip(read, texts, strict=True)), strict=True)
-        self.model = LabelModel(np.stack(votes), toxic)
+        self.model = LabelModel(np.stack(votes), float(toxic.mean()))
         x = np.zeros((len(rows), self.voters.count + len(self.index)), np.float32)
         for i, (dense, at, value) in enumerate(rows):
             x[i, : len(dense)] = dense
@@ -191,29 +199,37 @@ class Scorer:
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> pd.DataFrame:
-    """At most `sample` labelled texts outside the held-out fold: those with the smallest seeded hashes of their ids."""
+    """At most `sample` labelled ids outside the held-out fold, those with the smallest seeded hashes, with one text each (the least, if an id repeats)."""
     place = F.xxhash64(F.lit("toxicity sample"), F.col("id").cast("string"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (crc32_fold(F.col("id")) != 0))
     chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).select("*", place.alias("place")).orderBy("place").limit(sample)
     # `chosen` has `sample` rows of three numbers at most
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "id")
-    return texts.toPandas().sort_values(["place", "body"], na_position="first").head(sample)
+    return texts.groupBy("id", "toxic", "place").agg(F.min("body").alias("body")).toPandas().sort_values("place")
+
+
+def unlabelled_sample(df: DataFrame, id_col: str, text_col: str, sample: int) -> list[str | None]:
+    """At most `sample` texts outside the held-out fold, those with the smallest seeded hashes of their ids; their labels, if any, are not read."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(crc32_fold(F.col("id")) != 0)
+    place = F.xxhash64(F.lit("toxicity texts"), F.col("id").cast("string"), F.col("body"))
+    return [r["body"] for r in rows.select(place.alias("place"), "body").orderBy("place").limit(sample).collect()]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer | None:
     got = labelled_sample(df, labels, id_col, text_col, label_col, sample)
     if got.empty:
         return None
-    return Scorer([t if isinstance(t, str) else None for t in got["body"]], got["toxic"].to_numpy(float))
+    texts = [t if isinstance(t, str) else None for t in got["body"]]
+    return Scorer(texts + unlabelled_sample(df, id_col, text_col, max(1, sample // 5)), got["toxic"].to_numpy(float))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
-    Voters are seed lexicons, lexicons learned from a sample of labelled documents outside the
-    held-out fold, and patterns; a generative label model turns their votes and the known labels
-    into posteriors, and a linear classifier on those scores each whole text from nothing but
-    itself. Null and empty texts get the score of a text without words; without any labelled
+    Voters are seed lexicons, lexicons of words that mark the toxic ones in a sample of labelled documents
+    outside the held-out fold, and patterns. A generative label model learns their accuracies
+    and correlations from how their votes agree over that sample and further texts, without any
+    label, and a linear classifier on its posteriors scores each whole text from nothing but itself. Null and empty texts get the score of a text without words; without any labelled
     document every score is 0. Rows that repeat are scored alike; no rows give no rows; other
     columns are ignored. Scoring has no shuffle; the sample's ids, bounded by `sample`, are broadcast.
     """
