@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,8 @@ from driftline.llm import forest
 from driftline.llm.common import checkpointed, let, words
 
 RUN = r"[A-Za-z0-9+/_\-]"
-#: A long run with a digit, or a shorter one for which a key word and an assignment stand before it.
-LONG = rf"(?=\S*[0-9])\S*{RUN}{{16,}}"
-SHORT = rf"(?=\S*[0-9])\S*{RUN}{{8,}}"
+#: A long run, or a shorter one for which a key word and an assignment stand before it; the word must have a digit.
+LONG, SHORT = rf"{RUN}{{16}}", rf"{RUN}{{8}}"
 KEY_WORD = r"(?i)secret|token|passw|pwd|api[_\-]?key|apikey|access[_\-]?key|private[_\-]?key|credential|bearer|authori[sz]ation"
 HASH_WORD = r"(?i)sha\d*|md5|commit|checksum|digest|hash|revision|etag|fingerprint|uuid|guid|serial|isbn|order|invoice|account|card|phone|ticket"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|change.?me|your[_\-]|xxxx|test|fake|redacted|12345678|abcdef"
@@ -26,14 +27,22 @@ FEATURES = ["length", "digit_share", "upper_share", "transitions", "distinct_sha
 TRAINING, THRESHOLD = 6000, 0.5
 #: What ends the text around a run: nothing before it in a word tells of the run.
 BOUNDARY = r"[,;&{}?|@]|://"
-SCHEMA = "array<struct<at:int,word:string,before:string,before2:string,before3:string,after:string>>"
+
+
+def assigned(parts: list[Column]) -> Column:
+    """Whether a key word in one of these words, which follow each other, has `=` or `:` after it in its word or at the start of the next."""
+    found = []
+    for part, following in zip(parts, [*parts[1:], F.lit("")], strict=True):
+        at = F.regexp_instr(part, F.lit(KEY_WORD))
+        found.append((at > 0) & (F.substr(part, F.greatest(at, F.lit(1))).rlike("[=:]") | following.rlike("^[=:]")))
+    return functools.reduce(lambda a, b: a | b, found)
 
 
 def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None, keep: list[str]) -> DataFrame:
-    """id, path, at (number of the word), the word and its neighbours, of each candidate in each text."""
+    """id, path, at (number of the word), the word and its neighbours, of each candidate in each text. Every pattern takes time linear in the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    may = text.rlike(LONG) | (text.rlike(KEY_WORD) & text.rlike(SHORT))
+    may = text.rlike("[0-9]") & (text.rlike(LONG) | (text.rlike(SHORT) & text.rlike(KEY_WORD)))
     rows = df.select(F.col(id_col).alias("id"), path.alias("path"), text.alias("body"), *keep).where(may)
 
     def found(w: Column) -> Column:
@@ -41,9 +50,8 @@ def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None,
         word = lambda i: F.when((i >= 0) & (i < size), F.get(w, i)).otherwise(F.lit(""))
 
         def wanted(i: Column) -> Column:
-            near = F.concat_ws(" ", word(i - 2), word(i - 1), word(i))
-            short = F.get(w, i).rlike(SHORT) & near.rlike(rf"(?:{KEY_WORD})\S*\s*[=:]")
-            return F.get(w, i).rlike(LONG) | short
+            own = F.get(w, i)
+            return own.rlike("[0-9]") & own.rlike(SHORT) & (own.rlike(LONG) | assigned([word(i - 2), word(i - 1), own]))
 
         at = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), wanted)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(i.alias("at"), F.get(w, i).alias("word"), word(i - 1).alias("before"), word(i - 2).alias("before2"), word(i - 3).alias("before3"), word(i + 1).alias("after")))
@@ -58,31 +66,30 @@ def with_features(found: DataFrame) -> DataFrame:
     if they have a digit and 16 characters, or 8 after an assigned key word. Where a word has
     several runs, the numbers come from the text around the run, between boundaries.
     """
-    core = F.regexp_extract("word", rf"({RUN}{{8,}}={{0,2}})[^A-Za-z0-9]*$", 1)
-    longest = F.when(core != "", core).otherwise(F.regexp_extract("word", rf"({RUN}{{8,}}={{0,2}})", 1))
     part = lambda k: F.regexp_extract_all("word", F.lit(rf"(?s)(.*?)({RUN}{{8,}}={{0,2}})"), F.lit(k))
-    parts = found.select("*", longest.alias("main"), part(1).alias("gaps"), part(2).alias("runs"), F.regexp_replace("word", rf"(?s)^.*{RUN}{{8,}}={{0,2}}", "").alias("rest"))
+    parts = found.select("*", part(1).alias("gaps"), part(2).alias("runs"), F.regexp_replace("word", rf"(?s)^.*{RUN}{{8,}}={{0,2}}", "").alias("rest"))
+    last = F.size("runs") - 1
+    parts = parts.select("*", F.when(F.col("rest").rlike("[A-Za-z0-9]"), 0).otherwise(last).alias("main"), F.regexp_replace("rest", rf"(?s)(?:{BOUNDARY}).*$", "").alias("ending"))
     get = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
     since = lambda i: F.regexp_replace(F.concat(get("gaps", i - 1), get("runs", i - 1), get("gaps", i)), rf"(?s)^.*(?:{BOUNDARY})", "")
+    until = lambda i: F.when(i < last, F.regexp_replace(get("gaps", i + 1), rf"(?s)(?:{BOUNDARY}).*$", "")).otherwise(F.col("ending"))
 
     def wanted(i: Column) -> Column:
         run = F.get("runs", i)
-        assigned = F.concat_ws(" ", F.when(i == 0, F.concat_ws(" ", "before2", "before")).otherwise(F.lit("")), since(i)).rlike(rf"(?:{KEY_WORD})\S*\s*[=:]")
-        return (i + 1 == F.array_position("runs", F.col("main"))) | (run.rlike("[0-9]") & ((F.length(run) >= 16) | assigned))
+        return (i == F.col("main")) | (run.rlike("[0-9]") & ((F.length(run) >= 16) | F.when(i == 0, assigned([F.col("before2"), F.col("before"), since(i)])).otherwise(assigned([since(i)]))))
 
-    places = F.when(F.size("runs") > 1, F.filter(F.sequence(F.lit(0), F.size("runs") - 1), wanted)).otherwise(F.array(F.lit(0)))
-    parts = parts.select("*", F.explode(places).alias("i"))
-    several, i = F.size("runs") > 1, F.col("i")
-    until = F.regexp_replace(F.coalesce(F.get("gaps", i + 1), F.col("rest")), rf"(?s)(?:{BOUNDARY}).*$", "")
+    places = F.when(last > 0, F.filter(F.sequence(F.lit(0), last), wanted)).otherwise(F.array(F.lit(0)))
+    places = F.transform(places, lambda i: F.struct(i.alias("i"), get("runs", i).alias("secret"), since(i).alias("since"), until(i).alias("until")))
+    parts = parts.select(*found.columns, "main", (last > 0).alias("several"), F.explode(places).alias("run"))
+    several, i = F.col("several"), F.col("run.i")
     first = lambda c: F.when(~several | (i == 0), F.col(c)).otherwise(F.lit("")).alias(c)
-    secret = F.when(several, F.get("runs", i)).otherwise(F.col("main"))
     rows = parts.select(
         *[c for c in found.columns if c not in ("word", "before", "before2", "before3")],
         *map(first, ("before", "before2", "before3")),
-        F.when(several, F.concat(since(i), secret, until)).otherwise(F.col("word")).alias("word"),
-        F.when(several, since(i)).otherwise(F.regexp_replace("word", "[=:].*$", "")).alias("lead"),
-        secret.alias("secret"),
-        F.when(several & (i + 1 != F.array_position("runs", F.col("main"))), i + 1).otherwise(0).alias("rank"),
+        F.when(several, F.concat("run.since", "run.secret", "run.until")).otherwise(F.col("word")).alias("word"),
+        F.when(several, F.col("run.since")).otherwise(F.regexp_replace("word", "(?s)[=:].*$", "")).alias("lead"),
+        F.col("run.secret").alias("secret"),
+        F.when(several & (i != F.col("main")), i + 1).otherwise(0).alias("rank"),
     )
     rows = rows.select("*", F.concat_ws(" ", "before3", "before2", "before", "word", "after").alias("near"))
     n = F.greatest(F.length("secret"), F.lit(1)).cast("double")
