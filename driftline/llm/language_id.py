@@ -18,6 +18,8 @@ from driftline.llm.linear import fit_svm, sigmoid
 UNKNOWN = "und"
 #: Documents a language may have in the sample that the machines are fitted to.
 SAMPLE_PER_LANGUAGE = 600
+#: Languages that are learned, those with most labelled documents, and documents of all of them in the sample.
+MOST_LANGUAGES, SAMPLE = 100, 20_000
 DIMENSIONS = 4096
 #: Languages close to each other (fixed values); one that is not listed is a family by itself.
 FAMILIES = {
@@ -111,16 +113,16 @@ class Hierarchy:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Hierarchy | None:
-    """Machines fitted to at most `per_language` labelled documents of each language outside the held-out fold, those with the smallest seeded hash."""
+    """Machines fitted to labelled documents outside the held-out fold: of each of the MOST_LANGUAGES most frequent languages at most `per_language`, and SAMPLE in all, those with the smallest seeded hash."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (crc32_fold(F.col("id")) != 0) & F.col("body").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
-    place = F.xxhash64(F.lit("language sample"), F.col("id").cast("string"))
-    within = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 1.3 * per_language / n + 20 / n)
-        within |= (F.col("lang") == lang) & (place <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    per_language = min(per_language, SAMPLE // len(counts))
+    place = F.xxhash64(F.lit("language sample"), F.col("id").cast("string"), F.col("body"))
+    shares = {lang: min(1.0, (1.3 * per_language + 20) / n) for lang, n in counts.items()}
+    bounds = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))])
+    within = place <= bounds[F.col("lang")]  # null, so left out, for other languages
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
