@@ -4,57 +4,86 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from driftline.llm.common import checkpointed, lower_ascii, shared_folder
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with columns named by their place, so that no name of theirs can clash with a stage's own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def rows_of(docs: DataFrame, text: Column) -> DataFrame:
+    """row (all columns), id, digest (of `text`): what tells rows apart where ids are null or repeat."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+
+
+def same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text tells a language; nothing but texts without a letter is rejected."""
+    """Documents whose text tells a language; nothing but texts without a letter (null, empty) is rejected.
+
+    Rows are judged one by one, whatever their ids, so repeated ones stay or go together; without
+    any labelled row all texts with a letter stay; all columns are kept as they are; no rows give none.
+    """
     model = language_id.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = language_id.identify(docs, model)
-    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    rows = numbered(docs)
+    judged = language_id.identify(rows, model, f"c{docs.columns.index('text')}")
+    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*rows.columns).toDF(*docs.columns)
 
 
 def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts one with the largest id; a null id is less than any other."""
-    found = exact_dedup.exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    """Of documents with equal texts one, with the largest id; a null id is less than any other, a null text an empty one.
+
+    Of rows that repeat both that id and the text the least by all columns stays; other columns have no say; no rows give none.
+    """
+    found = exact_dedup.exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     found = checkpointed(found)
-    rows = docs.select("*", F.unhex(F.sha2(lower_ascii(F.col("text")), 256)).alias("__digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text"))
-    out = rows.join(found.where("__n = 1"), same, "left_semi").select(*docs.columns)
-    repeated = found.where("__n > 1")
+    rows = rows_of(docs, lower_ascii(F.col("text"))).alias("a")
+    out = rows.join(found.where("n = 1").alias("b"), same_row("a", "b"), "left_semi").select("row.*")
+    repeated = found.where("n > 1")
     if repeated.isEmpty():
         return out
-    order = Window.partitionBy("doc_id", "__digest").orderBy(*docs.columns)
-    one = rows.join(repeated, same, "left_semi").select("*", F.row_number().over(order).alias("__place")).where("__place = 1")
-    return out.unionByName(one.select(*docs.columns))
+    many = rows.join(repeated.alias("b"), same_row("a", "b"), "left_semi")
+    one = many.groupBy("id", "digest").agg(F.min("row").alias("row"))  # combined map-side: however often a row repeats
+    return out.unionByName(one.select("row.*"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 5-word Jaccard similarity 0.8 connect the one with the smallest id (null first; among those the smallest digest of the text)."""
-    key = F.coalesce("doc_id", F.lit(ngram_join.NO_ID)).alias("__id")
-    linked = checkpointed(ngram_join.ngram_join(docs, digests=True).where("root IS NOT NULL").select(key, F.col("digest").alias("__digest"), "root"))
-    first = linked.groupBy("root").agg(F.min(F.struct("__id", "__digest")).alias("first")).select("first.*")
-    dropped = linked.select("__id", "__digest").distinct().join(first, ["__id", "__digest"], "left_anti")
-    rows = docs.select("*", key, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__digest"))
-    return rows.join(dropped, ["__id", "__digest"], "left_anti").select(*docs.columns)
+    """Of documents that links of 5-word Jaccard similarity 0.8 connect the one with the smallest id (null first; of those with that id the smallest digest of the text).
+
+    Texts without words (null, empty) have no links and stay; rows that repeat an id and a text stay or
+    go together; other columns have no say; no rows give none.
+    """
+    key = F.coalesce("doc_id", F.lit(ngram_join.NO_ID))
+    linked = checkpointed(ngram_join.ngram_join(docs, digests=True).where("root IS NOT NULL").select(key.alias("id"), "digest", "root"))
+    first = linked.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.*")
+    dropped = linked.select("id", "digest").distinct().join(first, ["id", "digest"], "left_anti")
+    rows = rows_of(docs, F.coalesce("text", F.lit(""))).withColumn("id", F.coalesce("id", F.lit(ngram_join.NO_ID)))
+    return rows.join(dropped, ["id", "digest"], "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, repeats as rows of their own; rows that repeat an id and a source are taken alike."""
-    times = mixing.mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("repeats").cast("int").alias("__repeats")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    copies = docs.join(times, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy"))
-    return copies.select(*docs.columns)
+    """Documents as often as the mix takes them, repeats as rows of their own.
+
+    Rows that repeat an id and a source are taken alike, null ids and sources among them; a null text
+    has no words and comes as often as others at its place; all columns are kept; no rows give none.
+    """
+    times = mixing.mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("repeats").cast("int").alias("repeats")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source"))
+    return rows.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences; every row is packed, null texts as empty ones, repeated rows as often as they come."""
     return packing.pack(docs)
 
 
