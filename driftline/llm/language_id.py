@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from driftline.llm.common import crc32_fold
 from driftline.llm.linear import fit_svm, sigmoid
@@ -139,7 +140,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def identify(df: DataFrame, model: Hierarchy | None, text_col: str = "text") -> DataFrame:
-    """`df` (whose columns are kept) with lang_pred and score of each whole text.
+    """`df` (whose columns are kept, but for any of these two names) with lang_pred and score of each whole text.
 
     The prediction reads nothing but the text. Null, empty and letterless texts are `und` with
     score 0, as is everything if there was nothing to learn from. Rows that repeat are judged
@@ -155,8 +156,7 @@ def identify(df: DataFrame, model: Hierarchy | None, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "lang_pred", "score"])
 
     rows = df.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -93,6 +93,13 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, docs):
     start = docs.unionByName(more)
     lower = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
+    # columns that bear the names of a stage's own
+    start = start.withColumns({"score": F.lit(0.25), "lang_pred": F.lit("mine"), "row": F.lit(7), "digest2": F.lit("x"), "repeats": F.lit(9), "root": F.lit("r")})
+    for stage in (f for _, f in corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, start, SF)
+        assert out.columns == start.columns and out.select("score", "lang_pred", "row", "repeats", "root").distinct().collect() == [(0.25, "mine", 7, 9, "r")]
+        assert stage(spark, start.limit(0), SF).count() == 0
+
     known = corpus_pipeline.keep_known_languages(spark, start, SF)
     assert Counter(r["text"] for r in known.collect()) == Counter(r["text"] for r in start.collect() if any(c.isalpha() for c in r["text"] or ""))
 
