@@ -492,18 +492,67 @@ def path_sim_single_target(spark, d):
     return r6(simulate.single_target(path_rows(spark, d), 50, 50), "gross")
 
 
-RULES = [simulate.Rule(s, st, t, tr) for s, t, tr in (("single", 50, 0), ("half", 25, 0), ("trailing", 25, 0), ("fat", 0, 30), ("ladder", 0, 40)) for st in (20, 50)]
+def grid_paths(spark, d, length=28):
+    """Paths of 168 hours with the atr of the bar before the entry and, as support, 0.5 % below the lowest of 20 bars before it."""
+    keys = ["chain"]
+    b = ts.atr(bars(spark, d), keys)
+    before = ts.ordered(keys)
+    start = b.select("chain", "at", F.lag("atr").over(before).alias("atr"), (F.min("low").over(before.rowsBetween(-20, -1)) * 0.995).alias("support"))
+    pairs = joins.range_join(start, bars(spark, d), keys, length * BAR)
+    w = Window.partitionBy("id").orderBy("at")
+    rows = pairs.select(F.concat_ws("|", "chain", F.col("at").cast("string")).alias("id"), "atr", "support", F.col("r.at").alias("at"), "r.open", "r.high", "r.low", "r.close")
+    return rows.select("*", (F.row_number().over(w) - 1).cast("long").alias("i"), F.first("open").over(w).alias("entry"))
+
+
+GRID_CELLS = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT unnest([{', '.join(repr(x) for x in g.structures)}]) AS structure), (SELECT unnest([{', '.join(repr(x) for x in g.stops)}]) AS stop), (SELECT unnest({list(g.hours)}) AS hours), (SELECT unnest({list(g.targets)}::DOUBLE[]) AS target), (SELECT unnest({list(g.trails)}::DOUBLE[]) AS trail)"
+    for g in (simulate.EXITS, *simulate.EDGES)
+)
+#: Bar by bar: each cell's level on each bar of each path, and the first bar where something ends the trade.
+GRID = f"""{BARS}, tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) AS t, row_number() OVER o AS k FROM bars WINDOW o AS (PARTITION BY chain ORDER BY at)),
+ab AS (SELECT *, CASE WHEN k >= 15 THEN avg(t) OVER (PARTITION BY chain ORDER BY at ROWS 13 PRECEDING) END AS atr0 FROM tr),
+st AS (SELECT chain, at, lag(atr0) OVER o AS atr, min(low) OVER (PARTITION BY chain ORDER BY at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) * 0.995::DOUBLE AS support FROM ab WINDOW o AS (PARTITION BY chain ORDER BY at)),
+pp AS (SELECT a.chain || '|' || a.at AS id, a.at AS since, a.atr, a.support, b.at AS bar_at, b.open, b.high, b.low, b.close, row_number() OVER w - 1 AS i, first_value(b.open) OVER w AS entry FROM st a JOIN bars b ON a.chain = b.chain AND b.at >= a.at AND b.at < a.at + {28 * BAR} WINDOW w AS (PARTITION BY a.chain, a.at ORDER BY b.at)),
+cells AS ({GRID_CELLS}),
+c0 AS (SELECT *, CASE WHEN stop = 'support' THEN support WHEN stop LIKE 'fixed%' THEN entry * (1 - stop[6:]::DOUBLE / 100) WHEN atr > 0 THEN entry - stop[4:]::DOUBLE * atr END AS s FROM pp, cells WHERE bar_at < since + hours * {HOUR}),
+c1 AS (SELECT * FROM c0 WHERE s > 0 AND s < entry AND (structure <> 'trailing' OR atr > 0)),
+c2 AS (SELECT *, min(CASE WHEN high >= entry * CASE WHEN structure = 'ladder' THEN 2.0::DOUBLE ELSE 1 + target / 100 END THEN i END) OVER g AS a, min(CASE WHEN high >= entry * 5 THEN i END) OVER g AS five,
+  greatest(entry, max(high) OVER (PARTITION BY id, structure, stop, hours, target, trail ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS top FROM c1 WINDOW g AS (PARTITION BY id, structure, stop, hours, target, trail)),
+c3 AS (SELECT *, max(CASE WHEN i >= a THEN high END) OVER (PARTITION BY id, structure, stop, hours, target, trail ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since_hit FROM c2),
+c4 AS (SELECT *, CASE WHEN structure = 'fat' AND i > 0 THEN greatest(s, top * (1 - trail / 100)) WHEN structure = 'ladder' AND i > a THEN greatest(s, top * (1 - trail / 100)) WHEN structure = 'trailing' AND i > a THEN greatest(s, since_hit - atr) ELSE s END AS level FROM c3),
+c5 AS (SELECT *, CASE WHEN structure = 'fat' THEN CASE WHEN low <= level THEN 'trail' END
+  WHEN structure = 'ladder' THEN CASE WHEN low <= level THEN CASE WHEN i > a THEN 'trail' ELSE 'stop' END END
+  WHEN a IS NULL OR i <= a THEN CASE WHEN low <= s THEN 'stop' WHEN i = a AND structure = 'single' THEN 'tp' WHEN i = a AND structure = 'half' AND low <= entry THEN 'breakeven'
+    WHEN i = a AND structure = 'half' AND high >= entry * (1 + target / 50) THEN 'tp2' WHEN i = a AND structure = 'trailing' AND low <= greatest(s, high - atr) THEN 'trail' END
+  WHEN structure = 'half' THEN CASE WHEN low <= entry THEN 'breakeven' WHEN high >= entry * (1 + target / 50) THEN 'tp2' END
+  WHEN structure = 'trailing' THEN CASE WHEN low <= level THEN 'trail' END END AS event FROM c4),
+c6 AS (SELECT *, CASE event WHEN 'tp' THEN entry * (1 + target / 100) WHEN 'tp2' THEN entry * (1 + target / 50) WHEN 'breakeven' THEN entry WHEN 'trail' THEN CASE WHEN structure = 'trailing' AND i = a THEN greatest(s, high - atr) ELSE least(level, open) END WHEN 'stop' THEN least(s, open) END AS fill FROM c5),
+c7 AS (SELECT id, structure, stop, hours, target, trail, min(i) FILTER (event IS NOT NULL) AS x, max(i) AS n, any_value(entry) AS entry, any_value(since) AS since, any_value(a) AS a, any_value(five) AS five FROM c6 GROUP BY ALL),
+c8 AS (SELECT c7.*, c6.event, coalesce(c6.fill, c6.close) AS price, c6.bar_at, CASE WHEN c6.event IS NOT NULL AND structure IN ('fat', 'ladder') THEN c6.top ELSE greatest(c6.top, c6.high) END AS best,
+  c6.bar_at + {BAR} >= c7.since + hours * {HOUR} AS complete FROM c7 JOIN c6 USING (id, structure, stop, hours, target, trail) WHERE c6.i = coalesce(x, n)),
+c9 AS (SELECT *, (price / entry - 1) * 100 AS pct, a IS NOT NULL AND (event IS NULL OR event <> 'stop') AS turned FROM c8),
+sim AS (SELECT id, structure, stop, hours, target, trail, CASE WHEN structure IN ('half', 'trailing') AND turned THEN (target + pct) / 2 WHEN structure = 'ladder' AND turned AND five < coalesce(x, n + 1) THEN 125 + 0.5::DOUBLE * pct WHEN structure = 'ladder' AND turned THEN 25 + 0.75::DOUBLE * pct ELSE pct END AS gross,
+  coalesce(event, CASE WHEN complete THEN 'time' ELSE 'open' END) AS reason, coalesce(x, n) + 1 AS bars, best / entry AS best, event IS NOT NULL OR complete AS resolved, bar_at + {BAR} AS exit_at FROM c9),
+priced AS (SELECT *, cost_bps, gross - cost_bps / 100.0::DOUBLE AS net FROM sim, (SELECT unnest([100, 200, 300]) AS cost_bps))"""
+
+
+@reg.query(f"WITH {GRID} SELECT id, structure, stop, hours, target, trail, reason, bars, resolved, exit_at, cost_bps, round(gross, 6) + 0.0::DOUBLE AS gross, round(best, 6) AS best, round(net, 6) + 0.0::DOUBLE AS net FROM priced")
+def path_sim_grid(spark, d):
+    """All 432 cells of the exit grid and 144 of the edge grid."""
+    paths = grid_paths(spark, d)
+    cells = [simulate.simulate(paths, g, BAR) for g in (simulate.EXITS, *simulate.EDGES)]
+    found = r6(simulate.with_costs(cells[0].unionByName(cells[1]).unionByName(cells[2]), list(simulate.COSTS)), "gross", "best", "net")
+    return found.withColumns({c: F.col(c) + F.lit(0.0) for c in ("gross", "net")})  # no negative zero
 
 
-@reg.query()
-def path_sim_grid(spark, d):
-    return simulate.with_costs(simulate.grid(path_rows(spark, d), RULES), [100, 200, 300])
+CELL = ["structure", "stop", "hours", "target", "trail", "cost_bps"]
 
 
-@reg.query()
+@reg.query(f"WITH {GRID} SELECT {', '.join(CELL)}, count(*) AS n, count(*) FILTER (resolved) AS resolved, round(avg(net), 4) AS mean, round(avg((net > 0)::INT::DOUBLE), 6) AS win_rate, round(avg(bars), 6) AS bars, round(max(best), 6) AS best FROM priced GROUP BY ALL")
 def grid_summary(spark, d):
-    g = path_sim_grid(spark, d)
-    return g.groupBy("rule", "cost_bps").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg("bars").alias("bars"))
+    g = path_sim_grid(spark, d).groupBy(*CELL)
+    found = g.agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.round(F.avg("net"), 4).alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg("bars").alias("bars"), F.max("best").alias("best"))
+    return r6(found, "win_rate", "bars", "best")
 
 
 @reg.query(f"WITH {PATHS} SELECT id, count(*) AS observed, max(high) AS mfe_price, min(low) AS mae_price, round((max(high) / any_value(entry) - 1) * 100, 6) AS mfe, round((min(low) / any_value(entry) - 1) * 100, 6) AS mae, min(i) FILTER (high = m) AS mfe_bar FROM (SELECT *, max(high) OVER (PARTITION BY id) AS m FROM paths) GROUP BY id")

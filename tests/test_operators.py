@@ -14,31 +14,37 @@ from driftline.plans.views import fills
 from driftline.sources import sinks, tables
 
 
-def run(bars, rule, atr=0.0):
-    o, h, low, c = map(np.array, zip(*bars, strict=True))
-    return simulate.simulate(o, h, low, c, 100.0, rule, atr)
+BAR = 300_000
 
 
-def test_single_target_stop_wins_within_a_bar():
-    assert run([(100, 120, 94, 110)], simulate.Rule("single", 5, 10))[:2] == (pytest.approx(-5), "stop")
+def simulated(spark, bars, structure, stop, hours=24, target=0.0, trail=0.0, atr=None, support=None):
+    rows = [(1, i, i * BAR, *map(float, x), 100.0, atr, support) for i, x in enumerate(bars)]
+    paths = spark.createDataFrame(rows, "id long, i long, at long, open double, high double, low double, close double, entry double, atr double, support double")
+    return simulate.simulate(paths, simulate.Grid((structure,), (stop,), (hours,), (float(target),), (float(trail),)), BAR).collect()
 
 
-def test_trailing_by_atr():
-    gross, reason, _, _ = run([(100, 106, 103, 105)], simulate.Rule("trailing", 5, 5), atr=2.0)
-    assert (gross, reason) == (pytest.approx(4.5), "trail")
+def near(row, gross, reason, **more):
+    return row["gross"] == pytest.approx(gross) and row["reason"] == reason and all(row[k] == pytest.approx(v) for k, v in more.items())
 
 
-def test_fat_tail():
-    gross, reason, _, best = run([(100, 150, 100, 140), (140, 160, 100, 115)], simulate.Rule("fat", 20, 0, 30))
-    assert (gross, reason, best) == (pytest.approx(5), "trail", pytest.approx(1.5))
+def test_simulator_by_hand(spark):
+    one = lambda *a, **k: simulated(spark, *a, **k)[0]
+    assert near(one([(100, 120, 94, 110)], "single", "fixed5", target=10), -5, "stop", bars=1, best=1.2)
+    assert near(one([(100, 106, 103, 105)], "trailing", "fixed5", target=5, atr=2.0), 4.5, "trail")
+    assert near(one([(100, 150, 100, 140), (140, 160, 100, 115)], "fat", "fixed20", trail=30), 5, "trail", best=1.5, bars=2)
+    assert near(one([(100, 210, 100, 200), (200, 510, 150, 500), (500, 520, 190, 200)], "ladder", "fixed20", trail=40), 228, "trail", best=5.1)
+    assert near(one([(100, 111, 100, 110), (110, 125, 101, 120)], "half", "fixed5", target=10), 5, "breakeven", bars=1)
+    assert near(one([(100, 111, 101, 110), (110, 125, 101, 120)], "half", "fixed5", target=10), 15, "tp2", bars=2)
+    flat = [(100, 101, 99, 100)] * 24
+    assert near(one(flat, "half", "fixed5", hours=2, target=10), 0, "time", bars=24, exit_at=24 * BAR) and near(one(flat[:20], "half", "fixed5", hours=2, target=10), 0, "open", bars=20)
+    assert near(one([(100, 101, 80, 90), (70, 71, 60, 65)], "single", "support", target=5, support=75.0), -30, "stop", bars=2)
+    assert near(one([(100, 101, 96, 98)], "single", "atr1.5", target=5, atr=2.0), -3, "stop")
+    for stop, atr, support in (("support", 1.0, None), ("support", 1.0, 100.0), ("support", 1.0, -1.0), ("atr2", None, 90.0), ("atr2", 0.0, 90.0)):
+        assert simulated(spark, flat, "single", stop, target=5, atr=atr, support=support) == []
+    assert simulated(spark, flat, "trailing", "fixed5", target=5) == []
 
 
-def test_ladder():
-    gross, _, _, best = run([(100, 210, 100, 200), (200, 510, 150, 500), (500, 520, 190, 200)], simulate.Rule("ladder", 20, 0, 40))
-    assert (gross, best) == (pytest.approx(228), pytest.approx(5.1))
-
-
-def test_closed_form_equals_fold(spark):
+def test_closed_form_equals_grid(spark):
     rng = np.random.default_rng(0)
     rows = []
     for k in range(60):
@@ -46,11 +52,12 @@ def test_closed_form_equals_fold(spark):
         for i in range(12):
             o = price
             c = o * float(np.exp(rng.normal(0, 0.1)))
-            rows.append((k, i, i, o, max(o, c) * 1.03, min(o, c) * 0.97, c, 100.0))
+            rows.append((k, i, i, o, max(o, c) * 1.03, min(o, c) * 0.97, c, 100.0, 1.0, 90.0))
             price = c
-    paths = spark.createDataFrame(rows, "id long, i long, bar long, open double, high double, low double, close double, entry double")
+    paths = spark.createDataFrame(rows, "id long, i long, at long, open double, high double, low double, close double, entry double, atr double, support double")
+    name = {"tp": "target", "open": "time"}
     a = {r["id"]: (round(r["gross"], 9), r["reason"], r["bars"]) for r in simulate.single_target(paths, 20, 20).collect()}
-    b = {r["id"]: (round(r["gross"], 9), r["reason"], r["bars"]) for r in simulate.grid(paths, [simulate.Rule("single", 20, 20)]).collect()}
+    b = {r["id"]: (round(r["gross"], 9), name.get(r["reason"], r["reason"]), r["bars"]) for r in simulate.simulate(paths, simulate.Grid(("single",), ("fixed20",), (168,), (20.0,)), BAR).collect()}
     assert a == b
 
 
