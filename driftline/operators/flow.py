@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,23 +14,24 @@ def ratio(a: Column, b: Column) -> Column:
 def flow(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Buys and sells (distinct transactions), USD, distinct traders, and the share of the largest and the top five buyers.
 
-    Two levels: per trader first, so that no group's rows are ever gathered, only its traders' sums.
+    Two levels: per trader first, then the sums; the five largest come from a rank that Spark
+    cuts off before the exchange, so that neither a group's rows nor its traders are gathered.
     """
     usd = F.col("usd").cast("decimal(18,2)")
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     counts = trades.groupBy(*keys).agg(F.count_distinct(F.when(buy, F.col("tx"))).alias("buys"), F.count_distinct(F.when(sell, F.col("tx"))).alias("sells"))
     traders = trades.groupBy(*keys, "trader").agg(F.sum(F.when(buy, usd)).alias("b"), F.sum(F.when(sell, usd)).alias("s"))
-    top = F.slice(F.sort_array(F.collect_list("b"), asc=False), 1, 5)
+    largest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("b").desc_nulls_last()))
+    top = traders.select(*keys, "b", largest.alias("__r")).where("__r <= 5").groupBy(*keys).agg(F.coalesce(F.sum("b"), F.lit(0)).cast("double").alias("top5"))
     sums = traders.groupBy(*keys).agg(
         F.coalesce(F.sum("b"), F.lit(0)).cast("double").alias("buy_usd"),
         F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("sell_usd"),
         F.count("b").alias("buyers"),
         F.count("s").alias("sellers"),
         F.coalesce(F.max("b"), F.lit(0)).cast("double").alias("largest"),
-        F.aggregate(top, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)")).cast("double").alias("top5"),
     )
     share = lambda c: F.when(F.col("buy_usd") > 0, F.col(c) / F.col("buy_usd")).otherwise(1.0)
-    return counts.join(sums, keys).select(
+    return counts.join(sums, keys).join(top, keys).select(
         *keys, "buys", "sells", "buy_usd", "sell_usd", "buyers", "sellers",
         ratio(F.col("buys"), F.col("sells")).alias("count_ratio"),
         ratio(F.col("buy_usd"), F.col("sell_usd")).alias("usd_ratio"),

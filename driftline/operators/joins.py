@@ -28,17 +28,36 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], length: int,
     return found.select(*left.columns, "r")
 
 
+def neighbour(left: DataFrame, right: DataFrame, keys: list[str], value: str, later: bool, left_at: str = "at", right_at: str = "at") -> DataFrame:
+    """`left` with __near (at, value) of the first right row of its key at or after its time (`later`), or of the last at or before it.
+
+    One window over both sides in time order, whatever the density of a key; of equal right times the least value.
+    """
+    kind = right.select(F.struct(F.col(right_at).alias("at"), F.col(value).alias("value"))).schema[0].dataType
+    sign = 1 if later else -1
+    one = left.select(*keys, (sign * F.col(left_at)).alias("__t"), F.lit(0).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(kind).alias("__r"))
+    right = right.groupBy(*keys, F.col(right_at).alias("__at")).agg(F.min(value).alias("__value"))
+    two = right.select(*keys, (sign * F.col("__at")).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__l"), F.struct(F.col("__at").alias("at"), F.col("__value").alias("value")).alias("__r"))
+    # in descending order right rows of the same time come before left ones
+    ahead = Window.partitionBy(*keys).orderBy(F.col("__t").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = one.unionByName(two).select("*", F.last("__r", ignorenulls=True).over(ahead).alias("__near"))
+    return found.where("__side = 0").select("__l.*", "__near")
+
+
 def first_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], identity: str, value: str, within: int, left_at: str = "at", right_at: str = "at") -> DataFrame:
-    """identity and the value of the first right row in [left_at, left_at + within)."""
-    pairs = range_join(left, right, keys, within, left_at, right_at)
-    return pairs.groupBy(identity).agg(F.min_by(F.col(f"r.{value}"), F.struct(f"r.{right_at}", f"r.{value}")).alias(value))
+    """identity and the value of the first right row in [left_at, left_at + within); rows without one are left out."""
+    found = neighbour(left, right, keys, value, True, left_at, right_at)
+    return found.where(F.col("__near.at") < F.col(left_at) + within).select(identity, F.col("__near.value").alias(value))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], identity: str, value: str, within: int) -> DataFrame:
-    """identity and the value of the right row closest in time, within +-`within` ms; ties: the earlier, then the smaller value."""
-    moved = left.select(*keys, identity, (F.col("at") - within).alias("at"), F.col("at").alias("__at"))
-    pairs = range_join(moved, right, keys, 2 * within + 1)
-    return pairs.groupBy(identity).agg(F.min_by(F.col(f"r.{value}"), F.struct(F.abs(F.col("r.at") - F.col("__at")), "r.at", f"r.{value}")).alias(value))
+    """identity and the value of the right row closest in time, within +-`within` ms; ties: the earlier, then the smaller value. Rows without one are left out."""
+    after = neighbour(left.select(*keys, identity, "at"), right, keys, value, True).withColumnRenamed("__near", "__after")
+    both = neighbour(after, right, keys, value, False)
+    gap = lambda c: F.abs(F.col(f"{c}.at") - F.col("at"))
+    earlier = F.col("__near").isNotNull() & (F.col("__after").isNull() | (gap("__near") <= gap("__after")))
+    chosen = both.select(identity, "at", F.when(earlier, F.col("__near")).otherwise(F.col("__after")).alias("c"))
+    return chosen.where(F.abs(F.col("c.at") - F.col("at")) <= within).select(identity, F.col("c.value").alias(value))
 
 
 def overlaps(spans: DataFrame, gaps: DataFrame, key: str, identity: str, length: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.session import checkpointed
+
 
 def tail(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, p5, p95, p99, shares at 100 and above, and the mean strictly below p99."""
@@ -53,18 +55,32 @@ def by_score(rows: DataFrame, y: str, p: str) -> DataFrame:
     return rows.groupBy(F.col(p).alias("p")).agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
 
 
+def running(rows: DataFrame, order: Column, **sums: Column) -> DataFrame:
+    """Adds each sum over all rows before a row in `order`: ranges of it are summed alone, then each range gets what is before it.
+
+    The only window without a key is over one row a range, as many as there are shuffle partitions.
+    """
+    dealt = rows.select("*", *[v.alias(f"__{k}") for k, v in sums.items()]).repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    dealt = checkpointed(dealt)  # ranges are sampled, so both uses must see the same ones
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"{k}__all") for k in sums])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", *[F.coalesce(F.sum(f"{k}__all").over(before), F.lit(0)).alias(f"{k}__all") for k in sums])
+    out = dealt.select("*", *[F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)).alias(f"{k}__in") for k in sums]).join(parts, "__part")
+    return out.select(*rows.columns, *[(F.col(f"{k}__in") + F.col(f"{k}__all")).alias(k) for k in sums])
+
+
 def roc_auc(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Area under the ROC curve; equal scores count half."""
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    s = by_score(rows, y, p).select("*", F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("below"))
+    s = running(by_score(rows, y, p), F.col("p"), below=F.col("neg"))
     return s.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def pr_auc(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Average precision over distinct scores, from the highest."""
-    w = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = by_score(rows, y, p).select("*", F.sum("pos").over(w).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(w).alias("all"))
-    return s.agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("pr_auc"))
+    s = running(by_score(rows, y, p), F.col("p").desc(), above=F.col("pos"), seen=F.col("pos") + F.col("neg"))
+    tp, every = F.col("above") + F.col("pos"), F.col("seen") + F.col("pos") + F.col("neg")
+    return s.agg((F.sum(F.col("pos") * tp / every) / F.sum("pos")).alias("pr_auc"))
 
 
 def reliability(rows: DataFrame, y: str, p: str, edges: list[float]) -> DataFrame:
@@ -96,10 +112,15 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"))
 
 
-def upper_median(value: str) -> Column:
-    """The element at floor(n / 2) of the sorted values: the larger middle one for an even count."""
-    v = F.sort_array(F.collect_list(value))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """upper_median: the element at floor(n / 2) of a key's sorted values, the larger middle one for an even count.
+
+    Equal values are counted first, so that what a key gathers is its distinct values, by a window that spills.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*keys)
+    placed = counts.select("*", F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"), F.sum("k").over(w).alias("n"))
+    return placed.where((F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("k") <= F.floor(F.col("n") / 2))).select(*keys, F.col("v").alias("upper_median"))
 
 
 def breakeven(value: str) -> Column:

@@ -42,7 +42,7 @@ def swap_classification(spark, d):
 
 @reg.query()
 def support_pattern(spark, d):
-    return pattern.find_setups(bars(spark, d), "chain")
+    return pattern.find_setups(bars(spark, d, HOUR), "chain", pattern.Settings(warm_up=40, volume=1.0, close_position=0.5, peer=0.08, max_risk=0.5, reach=1.5, ema_floor=0.5))
 
 
 SWEEP = [pattern.Settings(warm_up=40, volume=v, close_position=c, peer=p) for v in (1.0, 1.2, 1.5) for c in (0.5, 0.65) for p in (0.04, 0.08)]
@@ -50,13 +50,9 @@ SWEEP = [pattern.Settings(warm_up=40, volume=v, close_position=c, peer=p) for v
 
 @reg.query()
 def pattern_variants_sweep(spark, d):
-    """Signals of each combination of thresholds: combinations run side by side on the same bars."""
-    b = bars(spark, d)
-    out = None
-    for i, s in enumerate(SWEEP):
-        part = pattern.find_setups(b, "chain", s).groupBy("chain").agg(F.count(F.lit(1)).alias("signals")).select(F.lit(i).alias("variant"), "chain", "signals")
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("variant", "chain")
+    """Signals of each combination of thresholds, all run on a key's bars at once."""
+    found = pattern.sweep(bars(spark, d, HOUR), "chain", SWEEP)
+    return found.groupBy("variant", "chain").agg(F.count(F.lit(1)).alias("signals"), F.min("at").alias("since"), F.max("at").alias("until"))
 
 
 @reg.query(f"""WITH {BARS}, f AS (SELECT *, row_number() OVER w AS rn, avg(volume) OVER (PARTITION BY chain ORDER BY at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY chain ORDER BY at))

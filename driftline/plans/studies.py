@@ -116,7 +116,7 @@ def data_audit(spark, d):
 
 @reg.query(f"WITH {FILLS} SELECT rule, chain, list_sort(list(net_bp))[count(*) // 2 + 1] AS upper_median FROM fills GROUP BY rule, chain")
 def upper_median(spark, d):
-    return fills(spark, d).groupBy("rule", "chain").agg(stats.upper_median("net_bp").alias("upper_median"))
+    return stats.upper_median(fills(spark, d), ["rule", "chain"], "net_bp")
 
 
 # ---- outcome reports
@@ -355,24 +355,22 @@ def spearman_rank(spark, d):
 
 # ---- resampling
 
-BLOCKS = f"""{FILLS}, days AS (SELECT rule, substr(day, 1, 7) AS m, sum(net_bp) AS s, count(*) AS n FROM fills GROUP BY ALL),
+BLOCKS = f"""{FILLS}, days AS (SELECT rule, day AS m, sum(net_bp) AS s, count(*) AS n FROM fills GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY rule) AS k FROM days)"""
 
 
-@reg.query(f"""WITH {BLOCKS}, p AS (SELECT rule, rep, ({resample.draw_sql(7, 'rep', 'i')}) % k AS i FROM b, range(200) g(rep)), m AS (SELECT p.rule, rep, sum(s)::DOUBLE / sum(n) AS m FROM p JOIN b ON b.rule = p.rule AND b.i = p.i GROUP BY ALL),
+@reg.query(f"""WITH {BLOCKS}, p AS (SELECT rule, rep, ({resample.draw_sql(7, 'rep', 'i')}) % k AS i FROM b, range(1000) g(rep)), m AS (SELECT p.rule, rep, sum(s)::DOUBLE / sum(n) AS m FROM p JOIN b ON b.rule = p.rule AND b.i = p.i GROUP BY ALL),
 e AS (SELECT rule, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY rule)
 SELECT rule, round(sum(s)::DOUBLE / sum(n), 6) AS mean, count(*) AS days, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM b JOIN e USING (rule) GROUP BY rule""")
 def day_block_bootstrap(spark, d):
-    f = fills(spark, d).select("rule", F.substring("day", 1, 7).alias("m"), "net_bp")
-    return r6(resample.bootstrap(f, R, "m", F.col("net_bp"), 200, 7), "mean", "low", "high")
+    return r6(resample.bootstrap(fills(spark, d), R, "day", F.col("net_bp"), 1000, 7), "mean", "low", "high")
 
 
-PAIRS = f"{FILLS}, pd AS (SELECT rule, substr(day, 1, 7) AS m, avg(net_bp) FILTER (signal) - avg(net_bp) FILTER (NOT signal) AS diff FROM fills GROUP BY ALL HAVING count(*) FILTER (signal) > 0 AND count(*) FILTER (NOT signal) > 0)"
+PAIRS = f"{FILLS}, pd AS (SELECT rule, day AS m, avg(net_bp) FILTER (signal) - avg(net_bp) FILTER (NOT signal) AS diff FROM fills GROUP BY ALL HAVING count(*) FILTER (signal) > 0 AND count(*) FILTER (NOT signal) > 0)"
 
 
-def paired_days(spark, d, block=None):
-    f = fills(spark, d).groupBy("rule", (F.substring("day", 1, 7) if block is None else block).alias("m"))
-    g = f.agg(F.avg(F.when(F.col("signal"), F.col("net_bp"))).alias("a"), F.avg(F.when(~F.col("signal"), F.col("net_bp"))).alias("b"))
+def paired_days(spark, d):
+    g = fills(spark, d).groupBy("rule", F.col("day").alias("m")).agg(F.avg(F.when(F.col("signal"), F.col("net_bp"))).alias("a"), F.avg(F.when(~F.col("signal"), F.col("net_bp"))).alias("b"))
     return g.where("a IS NOT NULL AND b IS NOT NULL").select("rule", "m", (F.col("a") - F.col("b")).alias("diff"))
 
 
@@ -382,43 +380,41 @@ def matched_pair_days(spark, d):
 
 
 @reg.query(f"""WITH {PAIRS}, q AS (SELECT rule, round(diff * 1000)::BIGINT AS v, dense_rank() OVER (ORDER BY m) - 1 AS i FROM pd),
-x AS (SELECT rule, rep, sum(CASE WHEN ((({resample.draw_sql(11, 'rep', 'i')})) >> 8) % 2 = 0 THEN v ELSE -v END) / count(*)::DOUBLE AS m FROM q, range(200) g(rep) GROUP BY ALL), o AS (SELECT rule, sum(v) / count(*)::DOUBLE AS mean FROM q GROUP BY rule)
-SELECT rule, round((count(*) FILTER (x.m <= o.mean) + 1) / 201.0::DOUBLE, 6) AS p FROM x JOIN o USING (rule) GROUP BY rule""")
+x AS (SELECT rule, rep, sum(CASE WHEN ((({resample.draw_sql(11, 'rep', 'i')})) >> 8) % 2 = 0 THEN v ELSE -v END) / count(*)::DOUBLE AS m FROM q, range(1000) g(rep) GROUP BY ALL), o AS (SELECT rule, sum(v) / count(*)::DOUBLE AS mean FROM q GROUP BY rule)
+SELECT rule, round((count(*) FILTER (x.m <= o.mean) + 1) / 1001.0::DOUBLE, 6) AS p FROM x JOIN o USING (rule) GROUP BY rule""")
 def sign_flip_permutation(spark, d):
     q = paired_days(spark, d).select("rule", F.round(F.col("diff") * 1000).cast("long").alias("v"), (F.dense_rank().over(Window.orderBy("m")) - 1).alias("i"))
-    return r6(resample.sign_flip(q, R, "i", "v", 200, 11), "p")
+    return r6(resample.sign_flip(q, R, "i", "v", 1000, 11), "p")
 
 
-@reg.query(f"""WITH {FILLS}, c AS (SELECT o, n, day, net_bp, o * 10 + n AS x, count(*) FILTER (signal) OVER (PARTITION BY day) AS k FROM fills WHERE rule = 'r1'),
-r AS (SELECT rep, net_bp, k, row_number() OVER (PARTITION BY rep, day ORDER BY {resample.draw_sql(5, 'rep', 'x')}, o, n) AS r FROM c, range(10) g(rep) WHERE k > 0) SELECT rep::INT AS rep, round(sum(net_bp)::DOUBLE / count(*), 6) AS mean FROM r WHERE r <= k GROUP BY rep""")
+@reg.query(f"""WITH {FILLS}, c AS (SELECT rule, o, n, day, net_bp, o * 10 + n AS x, count(*) FILTER (signal) OVER (PARTITION BY rule, day) AS k FROM fills),
+r AS (SELECT rule, rep, net_bp, k, row_number() OVER (PARTITION BY rule, rep, day ORDER BY {resample.draw_sql(5, 'rep', 'x')}, o, n) AS r FROM c, range(500) g(rep) WHERE k > 0) SELECT rule, rep::INT AS rep, round(sum(net_bp)::DOUBLE / count(*), 6) AS mean FROM r WHERE r <= k GROUP BY rule, rep""")
 def within_day_permutation(spark, d):
-    f = fills(spark, d).where("rule = 'r1'")
-    return r6(resample.within_day_permutation(f, "day", "signal", ["o", "n"], F.col("net_bp"), 10, 5, F.col("o") * 10 + F.col("n")), "mean")
+    """Every rule, 500 replicates."""
+    return r6(resample.within_day_permutation(fills(spark, d), "day", "signal", ["o", "n"], F.col("net_bp"), 500, 5, F.col("o") * 10 + F.col("n"), R), "mean")
 
 
 @reg.query()
 def within_day_permutation_all_rules(spark, d):
-    """Every rule, with the replicates of the other resamplings; within_day_permutation and its SQL have one rule and 10."""
-    f = fills(spark, d)
-    return r6(resample.within_day_permutation(f, "day", "signal", ["o", "n"], F.col("net_bp"), 200, 5, F.col("o") * 10 + F.col("n"), R), "mean")
+    """As within_day_permutation, with 200 replicates."""
+    return r6(resample.within_day_permutation(fills(spark, d), "day", "signal", ["o", "n"], F.col("net_bp"), 200, 5, F.col("o") * 10 + F.col("n"), R), "mean")
 
 
 @reg.query()
 def whole_day_block_bootstrap(spark, d):
-    """Blocks are days; those of day_block_bootstrap and its SQL are months."""
+    """As day_block_bootstrap, with 200 replicates."""
     return r6(resample.bootstrap(fills(spark, d), R, "day", F.col("net_bp"), 200, 7), "mean", "low", "high")
 
 
-@reg.query()
+@reg.query(f"WITH {PAIRS} SELECT rule, count(*) AS pair_days, round(avg(diff), 6) AS diff FROM pd GROUP BY rule")
 def whole_day_matched_pairs(spark, d):
-    """Pairs are days; those of matched_pair_days and its SQL are months."""
-    return r6(paired_days(spark, d, F.col("day")).groupBy("rule").agg(F.count(F.lit(1)).alias("pair_days"), F.avg("diff").alias("diff")), "diff")
+    return matched_pair_days(spark, d)
 
 
 @reg.query()
 def whole_day_sign_flip(spark, d):
-    """Signs belong to days; those of sign_flip_permutation and its SQL to months."""
-    q = paired_days(spark, d, F.col("day")).select("rule", F.round(F.col("diff") * 1000).cast("long").alias("v"), (F.dense_rank().over(Window.orderBy("m")) - 1).alias("i"))
+    """As sign_flip_permutation, with 200 replicates."""
+    q = paired_days(spark, d).select("rule", F.round(F.col("diff") * 1000).cast("long").alias("v"), (F.dense_rank().over(Window.orderBy("m")) - 1).alias("i"))
     return r6(resample.sign_flip(q, R, "i", "v", 200, 11), "p")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "driftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +29,26 @@ def build_session(app: str = "driftline", master: str | None = None, **conf: str
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, which driver and executors share.
+
+    Only a local session without that setting (tests, a laptop) gets a folder of its own; on a
+    cluster the setting is required.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once, its lineage cut through the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
