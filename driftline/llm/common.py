@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.session import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "crc32_fold", "documents", "let", "lower_ascii", "shared_folder", "words"]
+
 #: Words are maximal runs of characters other than these six (space, tab, LF, VT, FF, CR).
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,26 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names, which driver and executors share.
-
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once, its lineage cut through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
