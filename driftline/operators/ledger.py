@@ -66,3 +66,19 @@ def high_water(keys: list[str], value: str, give_back: float) -> tuple[Column, C
     """Running maximum, and the stop that trails it."""
     peak = F.max(value).over(Window.partitionBy(*keys).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return peak, peak * (1 - give_back)
+
+
+def merge_fields(rows: DataFrame, keys: list[str], order: str, latest: list[str], earliest: list[str]) -> DataFrame:
+    """Per key the last known value of each field in `latest`, and the first of each in `earliest`; partial aggregates only."""
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in latest]
+    return rows.groupBy(*keys).agg(*last, *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in earliest])
+
+
+def transition(rows: DataFrame, states: list[str], to: str, guard: Column) -> DataFrame:
+    """Rows in one of the states move to another if the guard holds; nothing else changes."""
+    return rows.withColumn("status", F.when(F.col("status").isin(states) & guard, F.lit(to)).otherwise(F.col("status")))
+
+
+def retained(rows: DataFrame, at: str, now: int, length: int) -> DataFrame:
+    """Rows no older than `length`; a bound on a column of the scan, so that whole files are skipped."""
+    return rows.where(F.col(at) >= now - length)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -52,3 +53,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once, its lineage cut through the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished steps.
+
+    It does so when their handles on the driver are collected, which an idle driver puts off for up
+    to half an hour; an operator of many rounds calls this between them, so that disk holds a round and not all.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
