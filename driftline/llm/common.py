@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import checkpointed, shared_folder
+from driftline.session import checkpointed, release, shared_folder
 
-__all__ = ["checkpointed", "crc32_fold", "documents", "let", "lower_ascii", "shared_folder", "words"]
+__all__ = ["checkpointed", "crc32_fold", "documents", "let", "lower_ascii", "release", "shared_folder", "words"]
 
 #: Words are maximal runs of characters other than these six (space, tab, LF, VT, FF, CR).
 SPACES = r"[\x20\x09-\x0D]"
