@@ -62,9 +62,20 @@ def walk_forward(rows: DataFrame, group: str = "grp", at: str = "at", resolved:
     return out, accepted
 
 
-def violations(members: DataFrame, rows: DataFrame, group: str = "grp") -> DataFrame:
-    """Groups on both sides of a fold; none if the folds are sound."""
-    return members.join(rows.select("id", group), "id").groupBy("fold", group).agg(F.count_distinct("role").alias("sides")).where("sides > 1")
+def violations(members: DataFrame, rows: DataFrame, group: str = "grp", at: str = "at", resolved: str = "resolved_at", embargo: int = 0) -> DataFrame:
+    """One row a fold: train and test rows, groups on both sides, training rows that a sound fold would not have, and whether training ends before the test begins.
+
+    shared_groups, unpurged (resolved at or after the test's start) and embargoed (in the embargo before it) are 0 in a sound fold.
+    """
+    m = members.join(rows.select("id", group, at, resolved), "id")
+    train = F.col("role") == "train"
+    sides = m.groupBy("fold", group).agg(F.count_distinct("role").alias("sides")).groupBy("fold").agg(F.count_if(F.col("sides") > 1).alias("shared_groups"))
+    starts = m.where(~train).groupBy("fold").agg(F.min(at).alias("start"))  # a row a fold
+    found = m.join(starts, "fold").groupBy("fold").agg(
+        F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_test"), F.count_if(train & (F.col(resolved) >= F.col("start"))).alias("unpurged"),
+        F.count_if(train & (F.col(at) >= F.col("start") - embargo)).alias("embargoed"), (F.max(F.when(train, F.col(at))) < F.min(F.when(~train, F.col(at)))).alias("in_order"),
+    )
+    return found.join(sides, "fold")
 
 
 def nested_choice(members: DataFrame, grid: DataFrame, rule: str = "rule", value: str = "net", least: int = 10) -> DataFrame:

@@ -116,25 +116,40 @@ def fold_blocks(spark, d):
     return validation.blocks(frame(spark, d), "grp", "at", 6).groupBy("grp", "block").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@reg.query()
+FOLDS = f"""fr AS (SELECT o_orderkey AS id, 'g' || strftime(o_orderdate, '%Y%m') || '-' || (o_custkey % 3) AS grp, epoch_us(o_orderdate) // 1000 AS at, epoch_us(o_orderdate) // 1000 + {72 * HOUR} AS resolved_at, (o_totalprice > 250000)::INT AS y FROM orders),
+sp AS (SELECT grp, min(at) AS a, max(at) AS b FROM fr GROUP BY grp), rk AS (SELECT grp, row_number() OVER (ORDER BY a, b, grp) - 1 AS i, count(*) OVER () AS g FROM sp),
+bl AS (SELECT grp, (CASE WHEN i < (g % 6) * (g // 6 + 1) THEN i // (g // 6 + 1) ELSE g % 6 + (i - (g % 6) * (g // 6 + 1)) // (g // 6) END)::INT AS block FROM rk),
+pl AS (SELECT * FROM fr JOIN bl USING (grp)), bo AS (SELECT block, min(at) AS start, max(at) AS stop FROM pl GROUP BY block),
+members AS (SELECT f.block AS fold, p.id, p.grp, p.at, p.resolved_at, f.start, CASE WHEN p.block = f.block THEN 'test' ELSE 'train' END AS role FROM pl p, bo f WHERE f.block > 0 AND (p.block = f.block OR (p.block < f.block AND p.at < f.start - {24 * HOUR} AND p.resolved_at < f.start
+  AND NOT EXISTS (SELECT 1 FROM bo e WHERE e.block > 0 AND e.block < f.block AND p.at > e.stop AND p.at <= e.stop + {24 * HOUR}))))"""
+
+
+@reg.query(f"WITH {FOLDS} SELECT fold, role, count(*) AS n FROM members GROUP BY fold, role")
 def walk_forward_folds(spark, d):
     members, _ = validation.walk_forward(frame(spark, d), embargo=24 * HOUR, least=20)
     return members.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@reg.query()
+@reg.query(f"""WITH {FOLDS}, sd AS (SELECT fold, count(*) FILTER (sides > 1) AS shared_groups FROM (SELECT fold, grp, count(DISTINCT role) AS sides FROM members GROUP BY fold, grp) GROUP BY fold),
+st AS (SELECT fold, min(at) FILTER (role = 'test') AS begin FROM members GROUP BY fold)
+SELECT fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test, any_value(shared_groups) AS shared_groups, count(*) FILTER (role = 'train' AND resolved_at >= begin) AS unpurged, count(*) FILTER (role = 'train' AND at >= begin - {24 * HOUR}) AS embargoed,
+  max(at) FILTER (role = 'train') < min(at) FILTER (role = 'test') AS in_order FROM members JOIN sd USING (fold) JOIN st USING (fold) GROUP BY fold""")
 def fold_validation(spark, d):
     f = frame(spark, d)
     members, _ = validation.walk_forward(f, embargo=24 * HOUR, least=20)
-    return validation.violations(members, f)
+    return validation.violations(members, f, embargo=24 * HOUR)
 
 
-@reg.query()
+@reg.query(f"""WITH {FOLDS}, gr AS (SELECT o_orderkey AS id, 'r' || r AS rule, (o_orderkey * 7919 + r * 104729) % 401 - 200 AS net FROM orders, range(6) g(r)),
+sd AS (SELECT fold, rule, avg(net) FILTER (role = 'train') AS train_mean, count(*) FILTER (role = 'train') AS n_train, avg(net) FILTER (role = 'test') AS test_mean, count(*) FILTER (role = 'test') AS n_test FROM members JOIN gr USING (id) GROUP BY fold, rule),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_mean DESC, rule) AS place FROM sd WHERE n_train >= 10) SELECT fold, rule, round(train_mean, 6) AS train_mean, n_train, round(test_mean, 6) AS test_mean, n_test, round(train_mean - test_mean, 6) AS optimism FROM k WHERE place = 1""")
 def nested_rule_selection(spark, d):
+    """The rule chosen in training, what it then makes in the test, and how much the training flattered it."""
     f = frame(spark, d)
     members, _ = validation.walk_forward(f, embargo=24 * HOUR, least=20)
     grid = f.select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("r")).select("id", F.concat(F.lit("r"), F.col("r").cast("string")).alias("rule"), (F.pmod(F.col("id") * 7919 + F.col("r") * 104729, F.lit(401)) - 200).alias("net"))
-    return validation.nested_choice(members, grid)
+    chosen = validation.nested_choice(members, grid)
+    return r6(chosen.select("*", (F.col("train_mean") - F.col("test_mean")).alias("optimism")), "train_mean", "test_mean", "optimism")
 
 
 def oof(spark, d, kind):
@@ -202,9 +217,11 @@ def stream_candles(spark, d):
     return streams.replay(streams.candles(streams.events(spark, d), "6 hours"))
 
 
-@reg.query("SELECT event_id, user_id FROM events")
+@reg.query("SELECT DISTINCT event_id, user_id FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0)")
 def stream_dedup(spark, d):
+    """A third of the events come twice."""
     e = streams.events(spark, d)
+    e = e.select("*", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1))).alias("copy")).drop("copy")
     return streams.replay(streams.deduplicated(e, ["event_id"]).select("event_id", "user_id"))
 
 
@@ -212,3 +229,17 @@ def stream_dedup(spark, d):
 SELECT at, coalesce(sum(usd::DECIMAL(18,2)) FILTER (side = 'buy'), 0)::DOUBLE AS buy_usd, coalesce(sum(usd::DECIMAL(18,2)) FILTER (side = 'sell'), 0)::DOUBLE AS sell_usd FROM w WHERE at + {12 * HOUR} <= (SELECT max(at) FROM trades) GROUP BY at""")
 def stream_flow(spark, d):
     return streams.replay(streams.flow(streams.events(spark, d), "12 hours", "6 hours"))
+
+
+@reg.query("""WITH p AS (SELECT user_id, epoch_us(ts) // 1000 AS at, event_id, value + 1 AS price, first_value(value + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events),
+h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) AS k FROM p WHERE price <= e * 0.9::DOUBLE OR price >= e * 1.1::DOUBLE) SELECT user_id, at, CASE WHEN price <= e * 0.9::DOUBLE THEN 'stop' ELSE 'target' END AS first_hit FROM h WHERE k = 1""")
+def stream_first_hit(spark, d):
+    """State over the stream of events: which side of its first price each user's prices reach first."""
+    return streams.replay(streams.first_hits(streams.events(spark, d), "user_id", 0.9, 1.1))
+
+
+@reg.query("""WITH g AS (SELECT user_id, epoch_us(ts) // 1000 AS at, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, at, sum(new) OVER (PARTITION BY user_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, min(at) AS start, max(at) + 43200000 AS stop, count(*) AS n FROM s GROUP BY user_id, run HAVING max(at) + 43200000 <= (SELECT max(epoch_us(ts) // 1000) FROM events)""")
+def stream_silences(spark, d):
+    """Sessions that half a day of silence has ended."""
+    return streams.replay(streams.silences(streams.events(spark, d), "user_id", "12 hours"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from driftline.session import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one of `spark.checkpoint.dir`, or a local one where that is unset."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay(frame: DataFrame) -> DataFrame:
@@ -57,3 +62,24 @@ def silences(frame: DataFrame, key: str, gap: str, late: str = "0 seconds") -> D
     """Sessions of a key that `gap` of silence has ended."""
     s = frame.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("n"))
     return s.select(key, F.unix_millis("session_window.start").alias("start"), F.unix_millis("session_window.end").alias("stop"), "n")
+
+
+def first_hits(frame: DataFrame, key: str, stop: float, target: float) -> DataFrame:
+    """key, at (ms), first_hit (stop or target): once a key, when its price first reaches a multiple of its first price.
+
+    The state of a key is its first price and whether it is done, whatever the number of its rows.
+    """
+
+    def advance(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        price = rows["value"].to_numpy(float) + 1
+        entry, done = state.get if state.exists else (float(price[0]), False)
+        reached = np.flatnonzero((price <= entry * stop) | (price >= entry * target))
+        if len(reached) and not done:
+            at = reached[0]
+            yield pd.DataFrame({key: [of[0]], "at": [rows["ts"].iloc[at].value // 1_000_000], "first_hit": ["stop" if price[at] <= entry * stop else "target"]})
+            done = True
+        state.update((entry, done))
+
+    kind = frame.schema[key].dataType.simpleString()
+    return frame.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, at long, first_hit string", "entry double, done boolean", "append", GroupStateTimeout.NoTimeout)

@@ -1,5 +1,6 @@
 """Hand-computed values and metamorphic tests."""
 
+import time
 from collections import defaultdict
 from decimal import Decimal as D
 
@@ -7,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import costs, flow, ledger, models, pattern, resample, simulate, stats, validation
+from driftline.operators import costs, flow, joins, ledger, models, pattern, resample, simulate, stats, validation
 from driftline.operators.paper import Account, Policy
 from driftline.plans import catalogue, research
 from driftline.plans.views import fills
 from driftline.sources import sinks, tables
+from driftline.streaming import streams
 
 
 BAR = 300_000
@@ -122,7 +124,10 @@ def test_folds_are_disjoint_purged_and_embargoed(spark):
     rows = [(2 * g + i, f"g{g}", g * 72 * hour + i * hour, g * 72 * hour + i * hour + 24 * hour, i) for g in range(12) for i in range(2)]
     df = spark.createDataFrame(rows, "id long, grp string, at long, resolved_at long, y int")
     members, folds = validation.walk_forward(df, embargo=24 * hour)
-    assert folds and validation.violations(members, df).count() == 0
+    found = validation.violations(members, df, embargo=24 * hour).collect()
+    assert len(found) == len(folds) and all(r["shared_groups"] == r["unpurged"] == r["embargoed"] == 0 and r["in_order"] for r in found)
+    late = validation.violations(members, df.withColumn("resolved_at", F.lit(10**12)), embargo=10**9 * 1000).first()
+    assert late["unpurged"] == late["embargoed"] == late["n_train"]
     at = {r[0]: r for r in rows}
     for r in members.collect():
         fold = next(f for f in folds if f.number == r["fold"])
@@ -130,6 +135,32 @@ def test_folds_are_disjoint_purged_and_embargoed(spark):
             assert at[r["id"]][2] < fold.start - 24 * hour and at[r["id"]][3] < fold.start
 
 
+def test_stream_state_lasts_over_batches(spark, tmp_path):
+    """First prices and what is done are kept from one file of the stream to the next."""
+    rows = [[(1, 1, 10.0), (2, 2, 10.0), (3, 1, 9.5)], [(4, 1, 12.0), (5, 2, 10.2)], [(6, 1, 5.0), (7, 2, 7.0)]]
+    for n, part in enumerate(rows):
+        frame = spark.createDataFrame([(i, u, v - 1, 1000 * i) for i, u, v in part], "event_id long, user_id long, value double, ms long")
+        frame.select("event_id", "user_id", "value", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r["user_id"], r["at"], r["first_hit"]) for r in streams.replay(streams.first_hits(stream, "user_id", 0.9, 1.1)).collect()}
+    assert got == {(1, 4000, "target"), (2, 7000, "stop")}
+
+
+def test_neighbours_and_ranks_by_hand(spark):
+    left = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "b", 5), (4, None, 1)], "id long, k string, at long")
+    right = spark.createDataFrame([("a", 10, 1.0), ("a", 10, 0.5), ("a", 14, 2.0), ("a", 26, 3.0), ("b", 9, 4.0)], "k string, at long, v double")
+    assert {r["id"]: r["v"] for r in joins.first_at_or_after(left, right, ["k"], "id", "v", 7).collect()} == {1: 0.5, 2: 3.0, 3: 4.0}
+    assert {r["id"]: r["v"] for r in joins.nearest(left, right, ["k"], "id", "v", 6).collect()} == {1: 0.5, 2: 2.0, 3: 4.0}
+    rng = np.random.default_rng(3)
+    p, y = rng.integers(0, 50, 400) / 50, rng.integers(0, 2, 400)
+    scored = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
+    wins = sum((a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]) / ((y == 1).sum() * (y == 0).sum())
+    assert stats.roc_auc(scored, "y", "p").first()["auc"] == pytest.approx(wins)
+    assert {r["y"]: r["upper_median"] for r in stats.upper_median(scored, ["y"], "p").collect()} == {k: sorted(p[y == k])[(y == k).sum() // 2] for k in (0, 1)}
+
+
 def test_ledger(spark):
     old = spark.createDataFrame([("a", 1)], "k string, at int")
     new = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2)], "k string, at int")
