@@ -14,6 +14,14 @@ SHARE, MAX_EPOCHS = 1.5, 2
 SEED = "mix-1"
 #: A seeded place has 40 bits: two levels of 1024 bins, then 20 bits.
 BIN_BITS, PLACE_BITS = 10, 40
+#: A source's rows meet what is known of it in so many parts, as one source may hold a third of all rows.
+SALTS = 32
+
+
+def of_source(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """`rows` (key, salt, ...) with the columns of `known`, which has at most one row a key; rows of other keys go."""
+    parts = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.join(parts, ["key", "salt"])
 
 
 def mix_sources(
@@ -32,8 +40,8 @@ def mix_sources(
     bins of the bin that holds the cut, then the few rows of that one; no source's rows are ever
     sorted in one task. Null sources are one source, last in order. Places come from ids, so rows
     that repeat an id are taken or left together. A source without words has target 0. No rows
-    give no rows; other columns are ignored. The table of sources meets the rows in an ordinary
-    join, which Spark turns into a broadcast only where the table measures under its threshold.
+    give no rows; other columns are ignored. The table of sources meets the rows in a join on source and
+    salt, which Spark turns into a broadcast only where the table measures under its threshold.
     """
     place = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("long")
     rows = checkpointed(
@@ -45,7 +53,7 @@ def mix_sources(
         )
     )
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key")
-    rows = rows.select("*", key)
+    rows = rows.select("*", key, F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).cast("int").alias("salt"))
     sources = rows.groupBy("key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
 
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -73,14 +81,14 @@ def mix_sources(
     filled = checkpointed(filled)
 
     cuts = filled.select("key", "wanted", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("words_before"))
-    left = rows.select("key", "place", "id", "size")
+    left = rows.select("key", "salt", "place", "id", "size")
     for shift in (PLACE_BITS - BIN_BITS, PLACE_BITS - 2 * BIN_BITS):
         bins = left.groupBy("key", F.shiftright("place", shift).alias("bin")).agg(F.sum("size").alias("words"))
         running = F.sum("words").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
         bins = bins.select("*", F.coalesce(running, F.lit(0)).alias("run"))
         found = bins.join(cuts, "key").select("key", "wanted", "bin", "words", (F.col("words_before") + F.col("run")).alias("words_before"))
         cuts = checkpointed(found.where("words_before < wanted AND wanted <= words_before + words").select("key", "wanted", F.col("bin").alias("prefix"), "words_before"))
-        left = left.join(cuts.select("key", "prefix"), ["key"]).where(F.shiftright("place", shift) == F.col("prefix")).drop("prefix")
+        left = of_source(left, cuts.select("key", "prefix")).where(F.shiftright("place", shift) == F.col("prefix")).drop("prefix")
     running = F.sum("size").over(Window.partitionBy("key").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1))
     ends = left.select("*", F.coalesce(running, F.lit(0)).alias("run")).join(cuts, "key").where("words_before + run + size / 2.0D < wanted")
     ends = ends.groupBy("key").agg(F.max(F.struct("place", "id")).alias("end"))
@@ -88,7 +96,7 @@ def mix_sources(
 
     plan = filled.join(cuts, "key", "left").select("key", "source_size", "target", "whole", "start", "end")
     extra = F.coalesce((F.col("place") < F.col("start")) | (F.struct("place", "id") <= F.col("end")), F.lit(False))
-    mixed = rows.join(plan, "key").select("*", (F.col("whole") + extra.cast("long")).alias("repeats"))
+    mixed = of_source(rows, plan).select("*", (F.col("whole") + extra.cast("long")).alias("repeats"))
     return mixed.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
