@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from driftline.llm.common import checkpointed, lower_ascii, shared_folder
+from driftline.session import remove
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -100,10 +101,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; each result is written to the shared folder and read again."""
+    """All stages over the table of documents; each result is written to the shared folder and read again, and goes when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
