@@ -82,3 +82,15 @@ def transition(rows: DataFrame, states: list[str], to: str, guard: Column) -> Da
 def retained(rows: DataFrame, at: str, now: int, length: int) -> DataFrame:
     """Rows no older than `length`; a bound on a column of the scan, so that whole files are skipped."""
     return rows.where(F.col(at) >= now - length)
+
+
+def bisected(rows: DataFrame, identity: str, at: str, span: int, most: int, depth: int) -> DataFrame:
+    """identity, level, part: the first halving of `span` after which a row's range has `most` rows at most; rows of ranges that stay fuller after `depth` halvings are left out.
+
+    A range's rows are counted map-side at every level; a row then meets its ranges' counts.
+    """
+    lo = rows.agg(F.min(at)).first()[0] or 0
+    levels = rows.select(identity, F.col(at).alias("__at"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    placed = levels.select(identity, "level", F.expr(f"(__at - {lo}) div ({span} div shiftleft(1, level))").alias("part"))
+    full = placed.groupBy("level", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+    return placed.join(full, ["level", "part"]).groupBy(identity).agg(F.min(F.struct("level", "part")).alias("s")).select(identity, "s.level", "s.part")

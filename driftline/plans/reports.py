@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import gates, ledger, resample, screening
+from driftline.operators import gates, ledger, normalize, resample, screening
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.studies import DAY, PAIRS, ORD, order_rows, paired_days, r6
 from driftline.plans.views import BARS, FILLS, HOUR, TRADES, bars, fills, table, trades
+from driftline.session import shared_folder
+from driftline.sources import sinks, tables
 
 reg = Registry()
 K, R = ["chain"], ["rule"]
@@ -396,3 +400,49 @@ def naive_folds(spark, d):
     """Stratified folds in a shuffled order, blind to time: the baseline that the purged ones are held against."""
     order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     return table(spark, d, "labels").select("doc_id", ((F.row_number().over(order) - 1) % 5).cast("int").alias("fold"))
+
+
+# ---- sources
+
+@reg.query("SELECT p_partkey, p_brand AS pool, CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS price, p_size::DOUBLE AS liquidity, CASE WHEN p_size % 3 <> 0 THEN 'https://dexscreener.com/' || p_partkey END AS link, NULL::DOUBLE AS volume24 FROM part")
+def market_parse(spark, d):
+    """Market records as JSON text: bad prices, links that are not safe and missing fields become null."""
+    p = table(spark, d, "part")
+    raw = F.to_json(F.struct(
+        F.col("p_brand").alias("pairAddress"), F.when(F.col("p_size") % 4 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("priceUsd"),
+        F.when(F.col("p_size") % 3 == 0, "http://dexscreener.com/x").otherwise(F.concat(F.lit("https://dexscreener.com/"), F.col("p_partkey").cast("string"))).alias("url"),
+        F.struct(F.col("p_size").alias("usd")).alias("liquidity"),
+    ))
+    m = p.select("p_partkey", raw.alias("raw")).select("p_partkey", normalize.market(F.col("raw")).alias("m"))
+    return m.select("p_partkey", "m.pool", "m.price", "m.liquidity", "m.link", "m.volume24")
+
+
+@reg.query(f"WITH {TRADES}, n AS (SELECT max(at) AS now FROM trades) SELECT id FROM trades, n WHERE at > now - {6 * HOUR} ORDER BY at DESC, id LIMIT 100")
+def freshest_trades(spark, d):
+    t = trades(spark, d)
+    return tables.fresh(t, t.agg(F.max("at")).first()[0] or 0, 6 * HOUR, order=["id"]).select("id")
+
+
+@reg.query(f"WITH {BARS} SELECT chain, at, open, high, low, close, volume FROM bars")
+def json_bars_round_trip(spark, d):
+    """Bars written as a folder of JSON files, a row a key, and scanned again."""
+    rows = F.array_sort(F.collect_list(F.array(F.col("at").cast("double"), "open", "high", "low", "close", "volume"))).alias("rows")
+    path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    bars(spark, d).groupBy(F.col("chain").alias("key")).agg(rows).write.json(path)
+    return tables.json_bars(spark, path, lines=True).withColumnRenamed("key", "chain")
+
+
+@reg.query(f"WITH {FILLS} SELECT o, n, day, rule, CASE WHEN o % 2 = 0 THEN rule END AS maybe, net_bp::DOUBLE AS net FROM fills")
+def csv_round_trip(spark, d):
+    """Rows written as gzip CSV and scanned with their types checked."""
+    path = f"{shared_folder(spark)}/fills-{uuid.uuid4().hex}"
+    sinks.csv(fills(spark, d).select("o", "n", "day", "rule", F.when(F.col("o") % 2 == 0, F.col("rule")).alias("maybe"), F.col("net_bp").alias("net")), path, "gzip")
+    back = tables.csv(spark, path, ["o", "n", "day", "rule"], ["maybe", "net"], numeric=["net"])
+    return back.select(F.col("o").cast("long").alias("o"), F.col("n").cast("int").alias("n"), "day", "rule", "maybe", "net")
+
+
+@reg.query(f"WITH {TRADES}, s AS (SELECT *, min(at) OVER () AS lo FROM trades), l AS (SELECT id, at, unnest(range(13)) AS level, lo FROM s), c AS (SELECT level, (at - lo) // ({64 * DAY} // (1 << level)) AS part, count(*) AS n FROM l GROUP BY ALL), k AS (SELECT s.id, min(c.level) AS level FROM s JOIN l USING (id) JOIN c ON c.level = l.level AND c.part = (l.at - l.lo) // ({64 * DAY} // (1 << l.level)) WHERE c.n <= 50 GROUP BY s.id)\nSELECT level, count(*) AS n FROM k GROUP BY level")
+def bisected_ranges(spark, d):
+    """Rows by how often the time span is halved until a range holds 50 rows at most."""
+    t = trades(spark, d).select("id", "at")
+    return ledger.bisected(t, "id", "at", 64 * DAY, 50, 12).groupBy("level").agg(F.count(F.lit(1)).alias("n"))

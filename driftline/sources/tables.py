@@ -16,16 +16,16 @@ def csv(spark: SparkSession, path: str, required: list[str], optional: list[str]
     return raw.select(*[(F.col(c) if c in raw.columns else F.lit(None).cast("string")).try_cast(kind(c)).alias(c) for c in [*required, *optional]])
 
 
-def json_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from a folder of JSON files {key, rows: [[at, open, high, low, close, volume], ...]}."""
-    raw = spark.read.schema("key string, rows array<array<double>>").json(path, multiLine=True)
+def json_bars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Bars from a folder of JSON files {key, rows: [[at, open, high, low, close, volume], ...]}, one record a file or, with `lines`, one a line."""
+    raw = spark.read.schema("key string, rows array<array<double>>").json(path, multiLine=not lines)
     r = raw.select("key", F.explode("rows").alias("r")).where(F.size("r") == 6)
     return r.select("key", F.col("r")[0].cast("long").alias("at"), *[F.col("r")[i].alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)])
 
 
-def fresh(rows: DataFrame, now: int, within: int = 120_000, n: int = 100) -> DataFrame:
-    """The latest n rows of the last `within` ms."""
-    return rows.where((F.col("at") > now - within) & (F.col("at") <= now)).orderBy(F.col("at").desc()).limit(n)
+def fresh(rows: DataFrame, now: int, within: int = 120_000, n: int = 100, order: list[str] = ()) -> DataFrame:
+    """The latest n rows of the last `within` ms; `order` settles ties."""
+    return rows.where((F.col("at") > now - within) & (F.col("at") <= now)).orderBy(F.col("at").desc(), *order).limit(n)
 
 
 def synthetic(spark: SparkSession, n: int = 600) -> DataFrame:
