@@ -90,7 +90,7 @@ def covered_chains(spark, d):
 
 
 @reg.query(f"WITH {TRADES}, p AS (SELECT unnest(['p1', NULL]) AS pool) SELECT coalesce(p.pool, 'any') AS wanted, count(*) AS n FROM trades t JOIN p ON p.pool IS NULL OR t.pool = p.pool GROUP BY 1")
-def optional_parameter(spark, d):
+def parameter_filter(spark, d):
     """The same filter with its parameter given and left out."""
     counted = lambda pool: trades(spark, d).where(F.lit(True) if pool is None else F.col("pool") == pool).agg(F.count(F.lit(1)).alias("n")).select(F.lit(pool or "any").alias("wanted"), "n")
     return counted("p1").unionByName(counted(None))
