@@ -219,7 +219,7 @@ def brute_links(rows):
     return sets, links, root
 
 
-@pytest.mark.parametrize("leaf, block, depth", [(128, 256, 12), (2, 2, 12), (2, 3, 1)])
+@pytest.mark.parametrize("leaf, block, depth", [(128, 256, 12), (2, 2, 3), (2, 3, 1)])
 def test_ngram_join(docs, empty, monkeypatch, leaf, block, depth):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
