@@ -46,7 +46,6 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, p: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Weights (bias last) of a logistic regression on soft labels p between 0 and 1."""
-    x = with_one(x)
+    """Weights (bias last) of a logistic regression on soft labels p between 0 and 1; the last column of x is 1 everywhere, so that no copy of x is made for it."""
     step = 1 / (largest_square(x) / (4 * len(x)) + penalty)
     return descend(lambda w: penalty * w + x.T @ (sigmoid(x @ w) - p) / len(x), np.zeros(x.shape[1], x.dtype), step, rounds)

@@ -173,7 +173,8 @@ class Scorer:
         self.index = {w: i for i, w in enumerate(w for w, n in sorted(df.most_common(vocabulary)) if n >= 5)}
         votes, rows = zip(*(self.describe(w, t or "") for w, t in zip(read, texts, strict=True)), strict=True)
         self.model = LabelModel(np.stack(votes), float(toxic.mean()))
-        x = np.zeros((len(rows), self.voters.count + len(self.index)), np.float32)
+        x = np.zeros((len(rows), self.voters.count + len(self.index) + 1), np.float32)
+        x[:, -1] = 1
         for i, (dense, at, value) in enumerate(rows):
             x[i, : len(dense)] = dense
             x[i, at] = value
