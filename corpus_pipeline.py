@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from driftline.llm.common import checkpointed, lower_ascii, shared_folder
-from driftline.session import remove
+from driftline.session import release, remove
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -65,6 +65,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     key = F.coalesce("doc_id", F.lit(ngram_join.NO_ID))
     linked = checkpointed(ngram_join.ngram_join(docs, digests=True).where("root IS NOT NULL").select(key.alias("id"), "digest", "root"))
+    release(spark)
     first = linked.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.*")
     dropped = linked.select("id", "digest").distinct().join(first, ["id", "digest"], "left_anti")
     rows = rows_of(docs, F.coalesce("text", F.lit(""))).withColumn("id", F.coalesce("id", F.lit(ngram_join.NO_ID)))
