@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from driftline.llm import exact_dedup, hard_negatives, html_extraction, language_id, lexical_search, mixing, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from driftline.llm.common import documents
 
 
@@ -54,9 +54,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}

@@ -30,7 +30,7 @@ def test_same_as_duckdb(spark, name):
 
 def test_one_query_an_operator():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
