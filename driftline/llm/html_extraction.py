@@ -24,6 +24,8 @@ from driftline.llm.common import checkpointed, release
 
 #: Importance under which a branch is noise; distinct pages of a host that must hold a node before it is judged; weight base of a node against its children.
 LEAST, PAGES, DECAY = 0.2, 8, 0.9
+#: Hosts and branches to remove, some tens of bytes each, up to which they are broadcast to the pages.
+MOST_BROADCAST = 200_000
 #: Elements nested deeper count as their ancestor at this depth.
 DEEPEST = 48
 
@@ -337,12 +339,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     a node is judged only where PAGES distinct pages hold it, so small hosts lose nothing to the
     tree. Rows that repeat each get their text; null ids are kept; other columns play no part; an
     empty table gives no rows. Whole pages are read, in time linear in their length. A host's
-    branches to remove are one row, met by Spark's join: broadcast where small, otherwise by host, where
-    skewed hosts are split.
+    branches to remove are one row; all of them are broadcast if they are MOST_BROADCAST at most, else
+    pages meet them in a join by host, whose skewed hosts adaptive execution splits.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("body"), host_of(F.col(url_col)).alias("host"))
     removed = checkpointed(noise_branches(style_tree(rows.select("host", "body"))))
     release(pages.sparkSession)
+    hosts, nodes = removed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()
+    if hosts + nodes <= MOST_BROADCAST:
+        removed = F.broadcast(removed)
     met = rows.join(removed, "host", "left").select("id", "url", "body", "nodes")
     out = met.mapInArrow(extract_rows, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
