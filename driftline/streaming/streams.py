@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftline.session import shared_folder
+from driftline.session import checkpointed, remove, shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
@@ -25,7 +25,14 @@ def replay(frame: DataFrame) -> DataFrame:
     folder = scratch(spark)
     query = frame.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(frame.schema).parquet(f"{folder}/out")
+    return kept(spark.read.schema(frame.schema).parquet(f"{folder}/out"), folder)
+
+
+def kept(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows of a replay's folder as a checkpoint of their own, which goes with them; the folder goes now."""
+    rows = checkpointed(rows)
+    remove(rows.sparkSession, folder)
+    return rows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
