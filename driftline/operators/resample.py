@@ -1,15 +1,25 @@
 """Deterministic resampling: day-block bootstrap and permutations with draws from integer arithmetic.
 
 Draws are a fixed mix of (seed, replicate, place), so that any engine can repeat them; they are
-generated where they are used, and blocks (days), not rows, are what replicates join.
+generated where they are used, so neither rows nor days are multiplied by replicates in an exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 M = 2_147_483_647
+#: Replicates that a task draws at once, and rows of a day that it holds.
+REPS, MOST_ROWS = 100, 1_000_000
 
 
 def draw(seed: int, rep: Column, place: Column) -> Column:
@@ -29,23 +39,58 @@ def draw_sql(seed: int, rep: str, place: str) -> str:
     return x
 
 
+def draws(seed: int, rep: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As `draw`, of whole numbers in arrays."""
+    x = (rep.astype(np.int64) * 48271 + place.astype(np.int64) * 16807 + seed * 69621 + 1) % M
+    for a, c in ((48271, 11), (69621, 7), (16807, 3)):
+        x = (x * a + c) % M
+        x = (x + (x >> 13)) % M
+    return x
+
+
 def blocks(rows: DataFrame, keys: list[str], day: str, value: Column) -> DataFrame:
-    """Sum and count of each day, days numbered from 0 and counted per key."""
+    """keys, days: of each key the sums and counts of its days, in order; one entry a day, so a few thousand at most."""
     days = rows.groupBy(*keys, day).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    w = Window.partitionBy(*keys)
-    return days.select("*", (F.row_number().over(w.orderBy(day)) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("k"))
+    return days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), "s", "n"))).alias("days"))
+
+
+def resampled(blocks: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """keys, m: the mean of each replicate's days, as many as the key has; replicates are drawn where the days are, REPS at a time."""
+    kinds = blocks.select(*keys).schema
+    arrow = to_arrow_schema(kinds).append(pa.field("m", pa.float64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                s, n = (np.array(batch.column(c)[at].as_py()) for c in ("s", "n"))
+                first = batch.column("first")[at].as_py()
+                rep = np.arange(first, min(first + REPS, reps))
+                pick = draws(seed, rep[:, None], np.arange(len(s))[None, :]) % len(s)
+                count = n[pick].sum(1)
+                means = np.divide(s[pick].sum(1), count, out=np.full(len(rep), np.nan), where=count > 0)
+                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(k)[at].as_py()] * len(rep), arrow.field(k).type) for k in keys], pa.array(means, from_pandas=True)], schema=arrow)
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REPS))).alias("first")
+    spread = blocks.select(*keys, F.transform("days", lambda x: plain(x["s"], blocks)).alias("s"), F.col("days.n").alias("n"), parts).repartition(*keys, "first")
+    return spread.mapInArrow(run, StructType([*kinds.fields, StructField("m", DoubleType())])).where("m IS NOT NULL")
+
+
+def plain(s: Column, blocks: DataFrame) -> Column:
+    """Sums as whole numbers where they are, else as doubles."""
+    return s.cast("long") if isinstance(blocks.schema["days"].dataType.elementType["s"].dataType, LongType) else s.cast("double")
 
 
 def bootstrap(rows: DataFrame, keys: list[str], day: str, value: Column, reps: int, seed: int, least: int = 3) -> DataFrame:
-    """mean, low and high (2.5 and 97.5 %) by resampling whole days; low and high are null below `least` days or without width."""
+    """mean, low and high (2.5 and 97.5 %) by resampling whole days; low and high are null below `least` days or without width.
+
+    Rows are summed to days map-side; a key's days, not its rows, are what replicates see. Null values count in no day.
+    """
     days = blocks(rows, keys, day, value)
-    picks = days.select(*keys, "k", F.col("i").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    picks = picks.select(*keys, "rep", F.pmod(draw(seed, F.col("rep"), F.col("place")), F.col("k")).alias("i"))
-    means = picks.join(days.select(*keys, "i", "s", "n"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("s").cast("double") / F.sum("n")).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    whole = days.groupBy(*keys).agg((F.sum("s").cast("double") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("days"))
+    ends = resampled(days, keys, reps, seed).groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    add = lambda c: F.aggregate(F.col(f"days.{c}"), F.lit(0).cast(days.schema["days"].dataType.elementType[c].dataType), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    whole = days.select(*keys, (add("s").cast("double") / F.nullif(add("n"), F.lit(0))).alias("mean"), F.size("days").cast("long").alias("days"))
     fine = (F.col("days") >= least) & (F.col("high") > F.col("low"))
-    return whole.join(ends, keys).select(*keys, "mean", "days", F.when(fine, F.col("low")).alias("low"), F.when(fine, F.col("high")).alias("high"))
+    return whole.join(ends, keys, "left").select(*keys, "mean", "days", F.when(fine, F.col("low")).alias("low"), F.when(fine, F.col("high")).alias("high"))
 
 
 def sign_flip(days: DataFrame, keys: list[str], day_number: str, value: str, reps: int, seed: int) -> DataFrame:
@@ -58,8 +103,67 @@ def sign_flip(days: DataFrame, keys: list[str], day_number: str, value: str, rep
 
 
 def within_day_permutation(rows: DataFrame, day: str, signal: str, identity: list[str], value: Column, reps: int, seed: int, number: Column, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Mean of as many rows a day as had the signal, drawn without replacement, per key and replicate. number: an integer of each row for its draws."""
-    counted = rows.select(*keys, day, value.alias("v"), number.alias("__x"), *identity, F.sum(F.col(signal).cast("int")).over(Window.partitionBy(*keys, day)).alias("k")).where("k > 0")
-    spread = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    order = Window.partitionBy(*keys, "rep", day).orderBy(draw(seed, F.col("rep"), F.col("__x")), *identity)
-    return spread.select(*keys, "rep", "v", "k", F.row_number().over(order).alias("r")).where("r <= k").groupBy(*keys, "rep").agg((F.sum("v").cast("double") / F.count("v")).alias("mean"))
+    """keys, rep, mean: of as many rows a day as had the signal, drawn without replacement; number: an integer of each row for its draws.
+
+    `identity` (whole numbers) settles equal draws. A day of up to MOST_ROWS rows, two numbers each, is held by one
+    task, which draws all its replicates; rows of larger days are spread over replicates and ranked by windows.
+    """
+    marked = rows.select(*keys, F.col(day).alias("__day"), value.alias("v"), number.cast("long").alias("__x"), *[F.col(c).cast("long").alias(f"__i{i}") for i, c in enumerate(identity)], F.col(signal).alias("__signal"))
+    days = [*keys, "__day"]
+    sizes = marked.groupBy(*[F.col(c).alias(f"__of_{c}") for c in days]).agg(F.count_if("__signal").alias("k"), F.count(F.lit(1)).alias("rows")).where("k > 0")
+    counted = marked.join(sizes, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in days])).drop("__signal", *[f"__of_{c}" for c in days])
+    order = [f"__i{i}" for i in range(len(identity))]
+    large = counted.where(F.col("rows") > MOST_ROWS).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    place = Window.partitionBy(*keys, "rep", "__day").orderBy(draw(seed, F.col("rep"), F.col("__x")), *order)
+    far = large.select(*keys, "rep", "v", "k", F.row_number().over(place).alias("r")).where("r <= k").groupBy(*keys, "rep").agg(F.sum("v").cast("double").alias("s"), F.count("v").alias("n"))
+    near = drawn(counted.where(F.col("rows") <= MOST_ROWS), list(keys), order, reps, seed)
+    return far.unionByName(near).groupBy(*keys, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
+def drawn(counted: DataFrame, keys: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
+    """keys, rep, s, n: sums over a task's days of the rows drawn in each replicate."""
+    kinds = counted.select(*keys).schema
+    schema = StructType([*kinds.fields, *StructType.fromDDL("rep int, s double, n long").fields])
+    arrow = to_arrow_schema(schema)
+
+    def one_day(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        table = table.sort_by([(c, "ascending") for c in order])  # draws are sorted stably, so this settles equal ones
+        v = table.column("v").to_numpy().astype(np.float64)
+        x, k = table.column("__x").to_numpy(), table.column("k")[0].as_py()
+        s, n = np.zeros(reps), np.zeros(reps, np.int64)
+        step = max(1, MOST_ROWS // len(x))  # replicates at once
+        for first in range(0, reps, step):
+            rep = np.arange(first, min(first + step, reps))
+            got = v[np.argsort(draws(seed, rep[:, None], x[None, :]), axis=1, kind="stable")[:, :k]]
+            s[rep], n[rep] = np.nansum(got, axis=1), np.count_nonzero(~np.isnan(got), axis=1)
+        return s, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+        held: list[pa.RecordBatch] = []
+        now: tuple | None = None
+
+        def end() -> None:
+            if held:
+                s, n = one_day(pa.Table.from_batches(held))
+                got = sums.setdefault(now[:-1], [np.zeros(reps), np.zeros(reps, np.int64)])
+                got[0] += s
+                got[1] += n
+                held.clear()
+
+        for batch in batches:
+            of = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "__day")), strict=True))
+            start = 0
+            for at in range(1, len(of) + 1):
+                if at == len(of) or of[at] != of[start]:
+                    if of[start] != now:
+                        end()
+                        now = of[start]
+                    held.append(batch.slice(start, at - start))
+                    start = at
+        end()
+        for key, (s, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([x] * reps, arrow.field(i).type) for i, x in enumerate(key)], pa.array(range(reps), pa.int32()), pa.array(s), pa.array(n)], schema=arrow)
+
+    days = [*keys, "__day"]
+    return counted.repartition(*days).sortWithinPartitions(*days).mapInArrow(run, schema)

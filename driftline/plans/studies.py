@@ -388,16 +388,16 @@ def sign_flip_permutation(spark, d):
 
 
 @reg.query(f"""WITH {FILLS}, c AS (SELECT rule, o, n, day, net_bp, o * 10 + n AS x, count(*) FILTER (signal) OVER (PARTITION BY rule, day) AS k FROM fills),
-r AS (SELECT rule, rep, net_bp, k, row_number() OVER (PARTITION BY rule, rep, day ORDER BY {resample.draw_sql(5, 'rep', 'x')}, o, n) AS r FROM c, range(500) g(rep) WHERE k > 0) SELECT rule, rep::INT AS rep, round(sum(net_bp)::DOUBLE / count(*), 6) AS mean FROM r WHERE r <= k GROUP BY rule, rep""")
+r AS (SELECT rule, rep, net_bp, k, row_number() OVER (PARTITION BY rule, rep, day ORDER BY {resample.draw_sql(5, 'rep', 'x')}, o, n, net_bp) AS r FROM c, range(500) g(rep) WHERE k > 0) SELECT rule, rep::INT AS rep, round(sum(net_bp)::DOUBLE / count(*), 6) AS mean FROM r WHERE r <= k GROUP BY rule, rep""")
 def within_day_permutation(spark, d):
     """Every rule, 500 replicates."""
-    return r6(resample.within_day_permutation(fills(spark, d), "day", "signal", ["o", "n"], F.col("net_bp"), 500, 5, F.col("o") * 10 + F.col("n"), R), "mean")
+    return r6(resample.within_day_permutation(fills(spark, d), "day", "signal", ["o", "n", "net_bp"], F.col("net_bp"), 500, 5, F.col("o") * 10 + F.col("n"), R), "mean")
 
 
 @reg.query()
 def within_day_permutation_all_rules(spark, d):
     """As within_day_permutation, with 200 replicates."""
-    return r6(resample.within_day_permutation(fills(spark, d), "day", "signal", ["o", "n"], F.col("net_bp"), 200, 5, F.col("o") * 10 + F.col("n"), R), "mean")
+    return r6(resample.within_day_permutation(fills(spark, d), "day", "signal", ["o", "n", "net_bp"], F.col("net_bp"), 200, 5, F.col("o") * 10 + F.col("n"), R), "mean")
 
 
 @reg.query()
@@ -544,7 +544,7 @@ def path_sim_grid(spark, d):
 CELL = ["structure", "stop", "hours", "target", "trail", "cost_bps"]
 
 
-@reg.query(f"WITH {GRID} SELECT {', '.join(CELL)}, count(*) AS n, count(*) FILTER (resolved) AS resolved, round(avg(net), 4) AS mean, round(avg((net > 0)::INT::DOUBLE), 6) AS win_rate, round(avg(bars), 6) AS bars, round(max(best), 6) AS best FROM priced GROUP BY ALL")
+@reg.query(f"WITH {GRID} SELECT {', '.join(CELL)}, count(*) AS n, count(*) FILTER (resolved) AS resolved, round(avg(net), 4) AS mean, round(avg((round(net, 6) > 0)::INT::DOUBLE), 6) AS win_rate, round(avg(bars), 6) AS bars, round(max(best), 6) AS best FROM priced GROUP BY ALL")
 def grid_summary(spark, d):
     g = path_sim_grid(spark, d).groupBy(*CELL)
     found = g.agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.round(F.avg("net"), 4).alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.avg("bars").alias("bars"), F.max("best").alias("best"))

@@ -116,7 +116,7 @@ def test_streams_in_one_batch_and_in_many(spark, steps, tmp_path, fold):
             assert query.lastProgress.stateOperators[0].numRowsTotal <= 4  # what the last row waits for
     if isinstance(fold, folds.Position):
         kinds = {r["kind"] for r in folds.folded(table, ["user"], fold).select("kind").distinct().collect()}
-        assert kinds == ({"stop", "tp1", "tp2", "trail", "liquidity"} if fold.trail else {"stop", "tp1", "breakeven", "liquidity"})
+        assert kinds == ({"stop", "tp1", "tp2", "trail", "liquidity"} if fold.trail else {"tp1", "breakeven", "liquidity"})
 
 
 ROWS = "id long, user long, at long"
