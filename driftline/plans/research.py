@@ -9,7 +9,7 @@ from driftline.operators import labels, models, montecarlo, normalize, paper, pa
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.studies import PATHS, path_rows, r6
-from driftline.plans.views import BAR, BARS, HOUR, TRADES, bars, bars_sql, millis, table, trades
+from driftline.plans.views import BAR, BARS, HOUR, TRADES, bars, bars_sql, fills, millis, table, trades
 from driftline.streaming import streams
 
 reg = Registry()
@@ -186,13 +186,18 @@ def flow_features(spark, d):
 
 @reg.query()
 def bankroll_monte_carlo(spark, d):
-    sims = montecarlo.bankroll(spark, [40.0, 20.0, -10.0, -25.0, 5.0], [0.02, 0.05, 0.1], 200, 1000)
-    return sims.groupBy("fraction").agg(F.avg(F.col("ruined").cast("double")).alias("ruin"), F.percentile("end", F.lit(0.5)).alias("median_end"), F.percentile("drawdown", F.lit(0.95)).alias("drawdown95"))
+    """Each rule's daily mean returns, bet at fixed fractions."""
+    days = fills(spark, d).groupBy(F.col("rule").alias("key"), "day").agg((F.avg("net_bp") / 100.0).alias("r"))
+    pools = days.groupBy("key").agg(F.expr("transform(array_sort(collect_list(struct(day, r))), x -> x.r)").alias("returns"))
+    sims = montecarlo.bankroll(pools, [0.02, 0.05, 0.1], 200, 1000)
+    return sims.groupBy("key", "fraction").agg(F.avg(F.col("ruined").cast("double")).alias("ruin"), F.percentile("end", F.lit(0.5)).alias("median_end"), F.percentile("drawdown", F.lit(0.95)).alias("drawdown95"))
 
 
 @reg.query()
 def power_monte_carlo(spark, d):
-    return montecarlo.power(spark, 0.5, [0.03, 0.06, 0.12, 0.24], 200, 2000).groupBy("effect").agg(F.avg(F.col("significant").cast("double")).alias("power"))
+    """How often an effect over each rule's own win rate is seen in 200 trades."""
+    bases = fills(spark, d).groupBy(F.col("rule").alias("key")).agg(F.avg((F.col("net_bp") > 0).cast("double")).alias("base"))
+    return montecarlo.power(bases, [0.03, 0.06, 0.12, 0.24], 200, 2000).groupBy("key", "effect").agg(F.avg(F.col("significant").cast("double")).alias("power"))
 
 
 @reg.query()

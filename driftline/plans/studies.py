@@ -436,17 +436,26 @@ def lever_swing(spark, d):
     return r6(m.groupBy("chain").agg((F.max("mean") - F.min("mean")).alias("swing")).agg(F.avg("swing").alias("swing")), "swing")
 
 
-@reg.query("SELECT w / 10.0::DOUBLE AS win, l / 10.0::DOUBLE AS loss, round((l / 10.0::DOUBLE) / (w / 10.0::DOUBLE + l / 10.0::DOUBLE), 6) AS breakeven FROM range(5, 101, 19) a(w), range(5, 101, 19) b(l)")
+@reg.query(f"""WITH {FILLS}, m AS (SELECT rule, avg(net_bp) FILTER (net_bp > 0) AS win, avg(-net_bp) FILTER (net_bp <= 0) AS loss, avg((net_bp > 0)::INT::DOUBLE) AS rate FROM fills GROUP BY rule)
+SELECT rule, a / 2.0::DOUBLE AS wins, b / 2.0::DOUBLE AS losses, round(b / 2.0::DOUBLE * loss / (a / 2.0::DOUBLE * win + b / 2.0::DOUBLE * loss), 6) AS breakeven, round(rate - b / 2.0::DOUBLE * loss / (a / 2.0::DOUBLE * win + b / 2.0::DOUBLE * loss), 6) AS margin FROM m, range(1, 7) x(a), range(1, 7) y(b)""")
 def payoff_grid(spark, d):
-    axis = F.sequence(F.lit(5), F.lit(100), F.lit(19))
-    g = spark.range(1).select(F.explode(axis).alias("w")).select("w", F.explode(axis).alias("l")).select((F.col("w") / 10.0).alias("win"), (F.col("l") / 10.0).alias("loss"))
-    return r6(g.select("*", (F.col("loss") / (F.col("win") + F.col("loss"))).alias("breakeven")), "breakeven")
+    """Each rule's breakeven win rate were its wins and losses half to three times as large, and what its own rate has over it."""
+    m = fills(spark, d).groupBy("rule").agg(F.avg(F.when(F.col("net_bp") > 0, F.col("net_bp"))).alias("win"), F.avg(F.when(F.col("net_bp") <= 0, -F.col("net_bp"))).alias("loss"), F.avg((F.col("net_bp") > 0).cast("double")).alias("rate"))
+    axis = F.sequence(F.lit(1), F.lit(6))
+    g = m.select("*", F.explode(axis).alias("a")).select("*", F.explode(axis).alias("b")).select("rule", "rate", "win", "loss", (F.col("a") / 2.0).alias("wins"), (F.col("b") / 2.0).alias("losses"))
+    g = g.select("*", (F.col("losses") * F.col("loss") / (F.col("wins") * F.col("win") + F.col("losses") * F.col("loss"))).alias("breakeven"))
+    return r6(g.select("rule", "wins", "losses", "breakeven", (F.col("rate") - F.col("breakeven")).alias("margin")), "breakeven", "margin")
 
 
-@reg.query("SELECT e / 100.0::DOUBLE AS effect, ceil(((1.959964 + 0.841621) / (e / 100.0::DOUBLE)) ** 2 * 0.25)::BIGINT AS n FROM range(3, 27, 3) g(e)")
+@reg.query(f"""WITH {FILLS}, m AS (SELECT rule, chain, avg((net_bp > 0)::INT::DOUBLE) AS rate FROM fills GROUP BY ALL), b AS (SELECT avg((net_bp > 0)::INT::DOUBLE) AS base FROM fills), e AS (SELECT rule, chain, base, round(abs(rate - base), 4) AS effect FROM m, b)
+SELECT rule, chain, effect, CASE WHEN effect > 0 THEN ceil(round(((1.959964::DOUBLE + 0.841621::DOUBLE) / effect) ** 2 * base * (1 - base), 3))::BIGINT END AS n FROM e""")
 def required_n(spark, d):
-    e = F.col("id") / 100.0
-    return spark.range(3, 27, 3).select(e.alias("effect"), F.ceil(F.pow((F.lit(1.959964) + F.lit(0.841621)) / e, F.lit(2.0)) * 0.25).alias("n"))
+    """Trades it would take to see each group's distance from the common win rate, at 5 % and a power of 80 %."""
+    won = F.avg((F.col("net_bp") > 0).cast("double"))
+    f = fills(spark, d)
+    e = f.groupBy("rule", "chain").agg(won.alias("rate")).crossJoin(F.broadcast(f.agg(won.alias("base")))).select("rule", "chain", "base", F.round(F.abs(F.col("rate") - F.col("base")), 4).alias("effect"))
+    need = F.pow((F.lit(1.959964) + F.lit(0.841621)) / F.col("effect"), F.lit(2.0)) * F.col("base") * (1 - F.col("base"))
+    return e.select("rule", "chain", "effect", F.when(F.col("effect") > 0, F.ceil(F.round(need, 3))).cast("long").alias("n"))
 
 
 @reg.query(f"WITH {FILLS}, t AS (SELECT c / 100.0::DOUBLE AS threshold, avg(net_bp) AS mean, count(*) AS n FROM fills, range(35, 81, 5) g(c) WHERE (o * 37 % 101) >= c GROUP BY c HAVING count(*) >= 5) SELECT threshold, round(mean, 6) AS mean, n FROM t ORDER BY t.mean DESC, threshold LIMIT 1")
