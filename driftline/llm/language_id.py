@@ -127,7 +127,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(text) for text in batch.column(2).to_pylist()]
+            found = [features(text.as_py()) for text in batch.column(2)]  # one text at a time, as whole batches of them weigh much
             raw = pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], names=["place", "lang", "v"])
 
@@ -151,7 +151,7 @@ def identify(df: DataFrame, model: Hierarchy | None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(text) if model else (UNKNOWN, 0.0) for text in batch.column(text_at).to_pylist()]
+            found = [model.predict(text) if model else (UNKNOWN, 0.0) for text in (t.as_py() for t in batch.column(text_at))]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "lang_pred", "score"])
 
