@@ -1,7 +1,12 @@
-"""Out-of-fold models on MLlib. Gradient boosting and logistic regression differ numerically from other libraries' versions."""
+"""Out-of-fold models: logistic regressions solved together, boosted trees and isotonic fits on MLlib, which differ numerically from other libraries' versions."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -10,6 +15,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators import newton, stats
+from driftline.session import checkpointed
+
 #: Penalties tried, the smallest first.
 PENALTIES = (0.01, 0.1, 1.0, 10.0)
 
@@ -25,45 +33,174 @@ def pipeline(features: list[str], kind: str = "logistic", c: float = 1.0, n: int
     return Pipeline(stages=stages)
 
 
-def tuned_c(train: DataFrame, features: list[str], at: str = "at") -> float:
-    """The penalty of least mean Brier loss over up to three splits by time, each tested on the rows after those it is fitted to; 1 without two splits."""
-    n = train.count()
+def splits_of(n: int) -> list[tuple[int, int]]:
+    """Up to three inner splits by time of n training rows: how many rows a model is fitted to, and where its held-out rows end; none if there would be fewer than two."""
     count = min(3, max(0, n // 20 - 1))
     if count < 2:
-        return 1.0
+        return []
     size = n // (count + 1)
     starts = [n - (count - k) * size for k in range(count)]
-    wanted = set(starts)
-    # the driver gets the first row of each split
-    first = train.select(at, "id").orderBy(at, "id").rdd.zipWithIndex().filter(lambda r: r[1] in wanted).map(lambda r: (r[1], tuple(r[0]))).collectAsMap()
-    early = lambda place: F.struct(at, "id") < F.struct(*[F.lit(v).cast(train.schema[k].dataType).alias(k) for k, v in zip((at, "id"), first[place], strict=True)])
-    losses: dict[float, list[float]] = {c: [] for c in PENALTIES}
-    for start in starts:
-        left, right = train.where(early(start)), train.where(~early(start))
-        if start + size < n:
-            right = right.where(early(start + size))
-        if left.select("y").distinct().count() < 2:
-            continue
-        before = Pipeline(stages=pipeline(features).getStages()[:-1]).fit(left)
-        fitted, held = before.transform(left).cache(), before.transform(right).cache()
-        for c in PENALTIES:
-            model = pipeline(features, c=c, n=start).getStages()[-1].fit(fitted)
-            error = vector_to_array("probability")[1] - F.col("y")
-            losses[c].append(model.transform(held).agg(F.avg(error * error)).first()[0])
-        fitted.unpersist()
-        held.unpersist()
-    means = {c: sum(x) / len(x) for c, x in losses.items() if x}
-    return min(means, key=means.get) if means else 1.0
+    return [(a, a + size) for a in starts]
+
+
+def placed(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], at: str) -> DataFrame:
+    """id, y, features (missing ones as the fold-blind median), test (fold), and for each fold place_<fold>: a training row's place in time, else null."""
+    roles = members.groupBy("id").agg(F.collect_set(F.when(F.col("role") == "train", F.col("fold"))).alias("__trains"), F.max(F.when(F.col("role") == "test", F.col("fold"))).alias("test"))
+    wide = rows.join(roles, "id").select("id", F.col(at).alias("__at"), F.col("y").cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features], "test", "__trains")
+    medians = wide.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
+    wide = wide.select("id", "__at", "y", *[F.coalesce(f, F.lit(medians[f] or 0.0)).alias(f) for f in features], "test", "__trains")
+    inside = {k: F.array_contains("__trains", F.lit(k)) for k in folds}
+    run = stats.running(wide, F.struct("__at", "id"), **{f"place_{k}": inside[k].cast("long") for k in folds})
+    return run.select("id", "y", *features, "test", *[F.when(inside[k], F.col(f"place_{k}")).alias(f"place_{k}") for k in folds])
+
+
+class Logits:
+    """Logistic regressions of all folds, inner splits and penalties, fitted together; and what they say."""
+
+    def __init__(self, table: DataFrame, features: list[str], folds: list[int]):
+        """table: see `placed`; a checkpoint."""
+        self.table, self.features, self.folds = table, features, folds
+        sizes = table.agg(*[F.count(f"place_{k}").alias(f"n_{k}") for k in folds]).first()
+        self.splits = {k: splits_of(sizes[f"n_{k}"]) for k in folds}
+        #: fold, place before which rows are fitted, split (-1: all training rows), penalty
+        self.of = [(k, upto, split, c) for k in folds for split, upto in [(-1, sizes[f"n_{k}"]), *enumerate(a for a, _ in self.splits[k])] for c in PENALTIES]
+        bounds = np.array([upto for _, upto, _, _ in self.of])
+        columns = [f"place_{k}" for k, _, _, _ in self.of]
+
+        def weigh(batch: pa.RecordBatch) -> np.ndarray:
+            place = {c: batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in set(columns)}
+            return np.stack([(place[c] >= 0) & (place[c] < b) for c, b in zip(columns, bounds, strict=True)]).astype(np.float64)
+
+        self.fits = newton.fit(table, features, weigh, len(self.of), np.array([1 / c for *_, c in self.of]))
+        self.chosen = self.tuned()
+        self.full = {k: self.number(k, -1) for k in folds}
+
+    def number(self, fold: int, split: int) -> int:
+        return next(i for i, (k, _, s, c) in enumerate(self.of) if (k, s, c) == (fold, split, self.chosen[fold]))
+
+    def tuned(self) -> dict[int, float]:
+        """The penalty of each fold with the least mean Brier loss over its inner splits; 1 without two of them."""
+        held = [i for i, (k, _, s, _) in enumerate(self.of) if s >= 0 and self.fits.usable[i]]
+        span = {i: self.splits[self.of[i][0]][self.of[i][2]] for i in held}
+        fits, features, of = self.fits, self.features, self.of
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, n = np.zeros(len(of)), np.zeros(len(of))
+            for batch in batches:
+                error = (fits.probabilities(newton.matrix(batch, features)) - batch.column("y").to_numpy(zero_copy_only=False)[:, None]) ** 2
+                for i in held:
+                    place = batch.column(f"place_{of[i][0]}").fill_null(-1).to_numpy(zero_copy_only=False)
+                    mine = (place >= span[i][0]) & (place < span[i][1])
+                    loss[i] += error[mine, i].sum()
+                    n[i] += mine.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(of)), pa.int32()), pa.array(loss), pa.array(n)], names=["fit", "loss", "n"])
+
+        sums = {r["fit"]: r["loss"] / r["n"] for r in self.table.mapInArrow(run, "fit int, loss double, n double").groupBy("fit").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect() if r["n"]}
+        best = {}
+        for k in self.folds:
+            means = {c: np.mean([sums[i] for i in held if of[i][0] == k and of[i][3] == c]) for c in PENALTIES if any(of[i][0] == k and of[i][3] == c for i in held)}
+            best[k] = min(means, key=means.get) if means else 1.0
+        return best
+
+    def told(self) -> DataFrame:
+        """fold, split, id, y, p, z (log-odds), role: test rows by the fold's model (split -1) and its splits' models, and each split's held-out rows by that split's model."""
+        fits, features, of = self.fits, self.features, self.of
+        whole, parts = self.full, {(k, s): self.number(k, s) for k in self.folds for s in range(len(self.splits[k]))}
+        parts = {ks: i for ks, i in parts.items() if fits.usable[i]}
+        spans = {ks: self.splits[ks[0]][ks[1]] for ks in parts}
+        kind = self.table.schema["id"].dataType.simpleString()
+        schema = f"fold int, split int, id {kind}, y double, p double, z double, role string"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = newton.matrix(batch, features), batch.column("y").to_numpy(zero_copy_only=False)
+                z = x @ fits.slope.T + fits.intercept
+                test = batch.column("test").fill_null(-1).to_numpy(zero_copy_only=False)
+                for (k, s), i in [*(((k, -1), i) for k, i in whole.items()), *parts.items()]:
+                    sets = [("test", test == k)]
+                    if s >= 0:
+                        place = batch.column(f"place_{k}").fill_null(-1).to_numpy(zero_copy_only=False)
+                        sets.append(("held", (place >= spans[k, s][0]) & (place < spans[k, s][1])))
+                    for role, mine in sets:
+                        m = int(mine.sum())
+                        columns = [pa.array([k] * m, pa.int32()), pa.array([s] * m, pa.int32()), batch.column("id").filter(pa.array(mine)), pa.array(y[mine]), pa.array(newton.sigmoid(z[mine, i])), pa.array(z[mine, i]), pa.array([role] * m, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["fold", "split", "id", "y", "p", "z", "role"])
+
+        return self.table.mapInArrow(run, schema)
+
+
+def platt(held: DataFrame, keys: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and intercept of log-odds for each (fold, split): a logistic fit to targets that are drawn in by the classes' sizes; all of them at once."""
+    counts = held.groupBy("fold", "split").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    target = F.when(F.col("y") == 1, (F.col("pos") + 1) / (F.col("pos") + 2)).otherwise(1 / (F.col("neg") + 2))
+    rows = checkpointed(held.join(F.broadcast(counts), ["fold", "split"]).select("fold", "split", "z", target.alias("y")))
+
+    def weigh(batch: pa.RecordBatch) -> np.ndarray:
+        fold, split = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "split"))
+        return np.stack([(fold == k) & (split == s) for k, s in keys]).astype(np.float64)
+
+    found = newton.fit(rows, ["z"], weigh, len(keys), 1e-9)
+    return found.slope[:, 0], found.intercept
+
+
+def steps(held: DataFrame) -> tuple[list[float], list[float]]:
+    """Scores and calibrated values of an isotonic fit; between them it is linear."""
+    model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(held.select("p", "y"))
+    return list(model.boundaries), list(model.predictions)
+
+
+def logistic_frame(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], at: str = "at") -> DataFrame:
+    """fold, id, y and what was said of each test row out of fold: baseline (the training rate), logistic, platt, isotonic.
+
+    Penalties are tuned on inner splits by time. A calibrator is fitted to the held-out rows of an
+    inner split, scored by that split's model, and applied to that model's score of the test row;
+    the splits' answers are averaged. Without inner splits both calibrated columns are the
+    logistic one. Every fit of a kind is one of many solved together, but for the isotonic ones.
+    """
+    table = checkpointed(placed(rows, members, features, folds, at))
+    logits = Logits(table, features, folds)
+    told = checkpointed(logits.told())
+    rate = {k: float(logits.fits.positive[i] / max(logits.fits.n[i], 1)) for k, i in logits.full.items()}
+    keys = [tuple(r) for r in told.where("role = 'held'").groupBy("fold", "split").agg(F.count_distinct("y").alias("classes")).where("classes = 2").select("fold", "split").orderBy("fold", "split").collect()]
+    spark = rows.sparkSession
+    out = told.where("split = -1").select("fold", "id", F.col("y").cast("int").alias("y"), F.col("p").alias("logistic"))
+    if keys:
+        held = told.where("role = 'held'")
+        a, b = platt(held, keys)
+        curves = {ks: steps(held.where((F.col("fold") == ks[0]) & (F.col("split") == ks[1]))) for ks in keys}
+        place = {ks: i for i, ks in enumerate(keys)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p, z = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p", "z"))
+                of = list(zip(batch.column("fold").to_pylist(), batch.column("split").to_pylist(), strict=True))
+                number = np.array([place.get(ks, -1) for ks in of], np.int64)
+                first, second = np.full(len(p), np.nan), np.full(len(p), np.nan)
+                for ks, i in place.items():
+                    mine = number == i
+                    first[mine] = newton.sigmoid(a[i] * z[mine] + b[i])
+                    second[mine] = np.interp(p[mine], *curves[ks])
+                yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("id"), pa.array(first, from_pandas=True), pa.array(second, from_pandas=True)], names=["fold", "id", "platt", "isotonic"])
+
+        kind = table.schema["id"].dataType.simpleString()
+        mean = told.where("role = 'test' AND split >= 0").mapInArrow(run, f"fold int, id {kind}, platt double, isotonic double").groupBy("fold", "id").agg(F.avg("platt").alias("platt"), F.avg("isotonic").alias("isotonic"))
+        out = out.join(mean, ["fold", "id"], "left")
+    else:
+        out = out.withColumns({"platt": F.lit(None).cast("double"), "isotonic": F.lit(None).cast("double")})
+    rates = spark.createDataFrame(list(rate.items()), "fold int, baseline double")
+    return out.join(F.broadcast(rates), "fold").select("fold", "id", "y", "baseline", "logistic", F.coalesce("platt", "logistic").alias("platt"), F.coalesce("isotonic", "logistic").alias("isotonic"))
 
 
 def out_of_fold(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], kind: str = "logistic", at: str = "at") -> DataFrame:
     """fold, id, y, p of each test row, predicted by a model that saw only its fold's training rows; the penalty of logistic regression is tuned on those too."""
+    if kind == "logistic":
+        told = Logits(checkpointed(placed(rows, members, features, folds, at)), features, folds).told()
+        return told.where("split = -1").select("fold", "id", F.col("y").cast("int").alias("y"), "p")
     out = None
     for fold in folds:
         own = members.where(F.col("fold") == fold)
         train = rows.join(own.where("role = 'train'"), "id").cache()
-        c = tuned_c(train, features, at) if kind == "logistic" else 1.0
-        model = pipeline(features, kind, c, train.count()).fit(train)
+        model = pipeline(features, kind).fit(train)
         train.unpersist()
         scored = model.transform(rows.join(own.where("role = 'test'"), "id"))
         part = scored.select(F.lit(fold).alias("fold"), "id", "y", vector_to_array("probability")[1].alias("p"))
@@ -71,6 +208,44 @@ def out_of_fold(rows: DataFrame, members: DataFrame, features: list[str], folds:
     return out
 
 
+def permutation_importance(score: Callable[[DataFrame], DataFrame], test: DataFrame, features: list[str], repeats: int = 10, seed: int = 1) -> DataFrame:
+    """feature, importance: by how much the Brier loss grows, on average over `repeats`, where a feature's values are dealt to other rows.
+
+    score: adds p to rows with the features; test: id, y, features. Rows are numbered in a seeded
+    random order, by ranges of it; a repeat's permutation of n numbers is r -> (a r + b) mod n, so
+    each row gets its value from one join, and all repeats and features are scored in one plan.
+    """
+    order = F.struct(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id")
+    rows = checkpointed(stats.running(test.select("id", "y", *features), order, __r=F.lit(1)))
+    n = rows.count()
+    if n < 2:
+        return rows.sparkSession.createDataFrame([(f, None) for f in features], "feature string, importance double")
+    rng = np.random.default_rng(seed)
+    maps = []
+    while len(maps) < repeats:
+        a = int(rng.integers(1, min(n, 2**31)))
+        if math.gcd(a, n) == 1:
+            maps.append((len(maps), a, int(rng.integers(1, min(n, 2**31)))))
+    dealt = F.broadcast(rows.sparkSession.createDataFrame(maps, "rep int, __a long, __b long"))
+    takers = rows.join(dealt).select("*", F.pmod(F.col("__a").cast("decimal(20,0)") * F.col("__r") + F.col("__b"), F.lit(n)).cast("long").alias("__from"))
+    donors = rows.select(F.col("__r").alias("__from"), *[F.col(f).alias(f"__{f}") for f in features])
+    many = takers.join(donors, "__from").select("id", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"__{g}" if g == f else g).alias(g) for g in features]) for f in features])).alias("s")).select("id", "y", "s.*")
+    error = F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))
+    base = F.broadcast(score(rows.select("id", "y", *features)).agg(error.alias("base")))
+    return score(many).groupBy("feature").agg(error.alias("e")).join(base).select("feature", (F.col("e") - F.col("base")).alias("importance"))
+
+
+def boosting_importance(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], repeats: int = 10, seed: int = 1) -> DataFrame:
+    """feature, importance of the boosted trees, averaged over the folds' test rows."""
+    parts = None
+    for fold in folds:
+        own = members.where(F.col("fold") == fold)
+        model = pipeline(features, "boosting").fit(rows.join(own.where("role = 'train'"), "id"))
+        part = permutation_importance(lambda x, m=model: m.transform(x).withColumn("p", vector_to_array("probability")[1]), rows.join(own.where("role = 'test'"), "id"), features, repeats, seed)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("feature").agg(F.avg("importance").alias("importance"))
+
+
 def isotonic(scored: DataFrame) -> DataFrame:
     """`scored` (id, y, p) with a monotone recalibration of p."""
     model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(scored.select(F.col("p"), F.col("y").cast("double")))

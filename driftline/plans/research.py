@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import labels, models, montecarlo, normalize, paper, pattern, screening, simulate, stats, validation
+from driftline.operators import intervals, labels, models, montecarlo, normalize, paper, pattern, resample, screening, simulate, stats, validation
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.studies import PATHS, path_rows, r6
-from driftline.plans.views import BAR, BARS, HOUR, TRADES, bars, bars_sql, fills, millis, table, trades
+from driftline.plans.views import BAR, BARS, FILLS, HOUR, TRADES, bars, bars_sql, fills, millis, table, trades
 from driftline.streaming import streams
 
 reg = Registry()
@@ -168,6 +168,48 @@ def boosting_oof(spark, d):
     return oof(spark, d, "boosting")
 
 
+@reg.query()
+def calibrated_oof(spark, d):
+    """Out-of-fold baseline, logistic, and both calibrated by inner splits, in one frame."""
+    f = frame(spark, d)
+    members, folds = validation.walk_forward(f, embargo=24 * HOUR, least=20)
+    return models.logistic_frame(f, members, ["f1", "f2"], [x.number for x in folds])
+
+
+@reg.query()
+def coefficient_intervals(spark, d):
+    """Coefficients of the logistic regression with intervals by resampled days."""
+    return intervals.coefficients(frame(spark, d).select("y", F.expr(f"at div {24 * HOUR}").alias("day"), "f1", "f2"), ["f1", "f2"], reps=200)
+
+
+PAIR = f"""{FILLS}, sc AS (SELECT day, (net_bp > 0)::INT AS y, m.model, CASE m.model WHEN 'l' THEN (o * 37 % 101 + 1) / 103.0::DOUBLE ELSE (n * 13 % 17 + 1) / 19.0::DOUBLE END AS p FROM fills, (SELECT unnest(['l', 'r']) AS model) m),
+dd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT day FROM fills)),
+wt AS (SELECT rep, i, count(*) AS w FROM (SELECT rep, ({resample.draw_sql(1, 'rep', 'i')}) % k AS i FROM dd, range(200) g(rep)) GROUP BY ALL UNION ALL SELECT -1, i, 1 FROM dd),
+cn AS (SELECT model, p, i, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc JOIN dd USING (day) GROUP BY ALL), gs AS (SELECT model, rep, p, sum(w * pos) AS pos, sum(w * neg) AS neg FROM cn JOIN wt USING (i) GROUP BY ALL),
+hs AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER (PARTITION BY model, rep) AS ap, sum(neg) OVER (PARTITION BY model, rep) AS an FROM gs WINDOW v AS (PARTITION BY model, rep ORDER BY p DESC)),
+rp AS (SELECT model, rep, sum(-(pos * ln(p) + neg * ln(1 - p))) / sum(pos + neg) AS log_loss, sum(pos * (1 - p) ** 2 + neg * p * p) / sum(pos + neg) AS brier, sum(pos * (an - fp + neg / 2.0::DOUBLE)) / (any_value(ap)::DOUBLE * any_value(an)) AS roc_auc, sum(CASE WHEN pos > 0 THEN pos * tp / (tp + fp)::DOUBLE END) / any_value(ap) AS pr_auc FROM hs GROUP BY ALL),
+lg AS (UNPIVOT rp ON log_loss, brier, roc_auc, pr_auc INTO NAME metric VALUE value)"""
+
+
+def predictions(spark, d):
+    return fills(spark, d).select("day", (F.col("net_bp") > 0).cast("int").alias("y"), ((F.col("o") * 37 % 101 + 1) / 103.0).alias("l"), ((F.col("n") * 13 % 17 + 1) / 19.0).alias("r"))
+
+
+@reg.query(f"WITH {PAIR} SELECT model, metric, round(max(value) FILTER (rep = -1), 6) AS estimate, round(quantile_cont(value, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(value, 0.975) FILTER (rep >= 0), 6) AS high FROM lg GROUP BY ALL")
+def metric_intervals(spark, d):
+    """Log loss, Brier, ROC AUC and average precision of two predictions, with intervals by resampled days."""
+    rows = predictions(spark, d).select("y", "day", F.explode(F.create_map(F.lit("l"), "l", F.lit("r"), "r")).alias("model", "p"))
+    return r6(intervals.metric_intervals(rows, 200), "estimate", "low", "high")
+
+
+@reg.query(f"""WITH {PAIR}, df AS (SELECT metric, rep, max(value) FILTER (model = 'l') AS a, max(value) FILTER (model = 'r') AS b FROM lg GROUP BY ALL)
+SELECT metric, round(max(a) FILTER (rep = -1), 6) AS "left", round(max(b) FILTER (rep = -1), 6) AS "right", round(max(a - b) FILTER (rep = -1), 6) AS difference, round(quantile_cont(a - b, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(a - b, 0.975) FILTER (rep >= 0), 6) AS high,
+  (SELECT count(*) FROM dd) AS days, (SELECT count(*) FROM fills) AS "rows" FROM df GROUP BY metric""")
+def paired_metric_differences(spark, d):
+    """Both predictions' metrics over the same resampled days, and their difference."""
+    return r6(intervals.paired_differences(predictions(spark, d), "l", "r", 200), "left", "right", "difference", "low", "high")
+
+
 @reg.query()
 def isotonic_calibration(spark, d):
     return models.isotonic(table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"), ((F.col("doc_id") * 37 % 101 + 1) / 103.0).alias("p")))
