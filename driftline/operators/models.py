@@ -216,7 +216,7 @@ def permutation_importance(score: Callable[[DataFrame], DataFrame], test: DataFr
     each row gets its value from one join, and all repeats and features are scored in one plan.
     """
     order = F.struct(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id")
-    rows = checkpointed(stats.running(test.select("id", "y", *features), order, __r=F.lit(1)))
+    rows = checkpointed(stats.running(test.select("id", "y", *features), order, row__=F.lit(1)))
     n = rows.count()
     if n < 2:
         return rows.sparkSession.createDataFrame([(f, None) for f in features], "feature string, importance double")
@@ -225,11 +225,11 @@ def permutation_importance(score: Callable[[DataFrame], DataFrame], test: DataFr
     while len(maps) < repeats:
         a = int(rng.integers(1, min(n, 2**31)))
         if math.gcd(a, n) == 1:
-            maps.append((len(maps), a, int(rng.integers(1, min(n, 2**31)))))
-    dealt = F.broadcast(rows.sparkSession.createDataFrame(maps, "rep int, __a long, __b long"))
-    takers = rows.join(dealt).select("*", F.pmod(F.col("__a").cast("decimal(20,0)") * F.col("__r") + F.col("__b"), F.lit(n)).cast("long").alias("__from"))
-    donors = rows.select(F.col("__r").alias("__from"), *[F.col(f).alias(f"__{f}") for f in features])
-    many = takers.join(donors, "__from").select("id", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"__{g}" if g == f else g).alias(g) for g in features]) for f in features])).alias("s")).select("id", "y", "s.*")
+            maps.append((len(maps), a, int(rng.integers(0, min(n, 2**31)))))
+    dealt = F.broadcast(rows.sparkSession.createDataFrame(maps, "rep__ int, times__ long, plus__ long"))
+    takers = rows.join(dealt).select("*", F.pmod(F.col("times__").cast("decimal(20,0)") * F.col("row__") + F.col("plus__"), F.lit(n)).cast("long").alias("from__"))
+    donors = rows.select(F.col("row__").alias("from__"), *[F.col(f).alias(f"{f}__other") for f in features])
+    many = takers.join(donors, "from__").select("id", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"{g}__other" if g == f else g).alias(g) for g in features]) for f in features])).alias("s")).select("id", "y", "s.*")
     error = F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))
     base = F.broadcast(score(rows.select("id", "y", *features)).agg(error.alias("base")))
     return score(many).groupBy("feature").agg(error.alias("e")).join(base).select("feature", (F.col("e") - F.col("base")).alias("importance"))

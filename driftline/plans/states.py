@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import folds
+from driftline.operators import folds, wallets
 from driftline.plans.registry import Registry
 from driftline.plans.views import HOUR, millis, table
 from driftline.streaming import sinks, stateful, streams
@@ -228,3 +228,29 @@ def stream_upsert(spark, d):
     table_at = lambda p: sinks.Table(f"{p}/rows", "id long, user_id long, at long, value double")
     path = sunk(spark, d, lambda p: sinks.upsert(table_at(p), ["id"], "at"))
     return streams.kept(table_at(path).read(spark), path)
+
+
+# ---- swaps of wallets
+
+def receipts(spark, d):
+    """Each order as a transaction whose line items are transfers of three tokens, some from its wallet and some to it, as JSON text."""
+    li = table(spark, d, "lineitem")
+    word = lambda x: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(x)), 64, "0"))
+    me, other = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("l_orderkey")), 40, "0")), F.lit("0x" + "f" * 40)
+    out = F.col("l_returnflag") == "R"
+    topics = F.array(F.lit(wallets.TRANSFER), *[F.concat(F.lit("0x" + "0" * 24), F.substring(F.when(out, a).otherwise(b), 3, 40)) for a, b in ((me, other), (other, me))])
+    # the amount has 20 more hexadecimal zeros than the price has cents, far beyond 64 bits
+    data = F.concat(word(F.round(F.col("l_extendedprice") * 100).cast("long")), F.lit("0" * 20))
+    log = F.struct((F.concat(F.lit("0x"), F.lpad((F.col("l_partkey") % 3).cast("string"), 40, "a"))).alias("address"), topics.alias("topics"), F.concat(F.lit("0x"), F.substring(data, 23, 64)).alias("data"))
+    rows = li.groupBy("l_orderkey", me.alias("wallet")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", log.alias("log")))), lambda x: x["log"]).alias("logs"))  # seven at most
+    return rows.select(F.col("l_orderkey").alias("tx"), "wallet", F.to_json(F.struct("logs")).alias("receipt"))
+
+
+@reg.query("""WITH li AS (SELECT l_orderkey AS tx, l_linenumber AS place, '0x' || lpad((l_partkey % 3)::VARCHAR, 40, 'a') AS token, round(l_extendedprice * 100)::HUGEINT * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS amount FROM lineitem WHERE l_extendedprice > 0),
+n AS (SELECT tx, token, min(place) AS place, sum(amount)::HUGEINT AS net FROM li GROUP BY ALL),
+s AS (SELECT q.tx, CASE WHEN q.net < 0 THEN 'buy' ELSE 'sell' END AS side, t.token, abs(t.net) AS token_amount, abs(q.net) AS quote_amount, row_number() OVER (PARTITION BY q.tx ORDER BY q.place, t.place, t.token) AS k FROM n q JOIN n t ON q.tx = t.tx AND q.token LIKE '%a0' AND t.token NOT LIKE '%a0' AND sign(q.net) = -sign(t.net))
+SELECT tx, side, token, (token_amount * 1208925819614629174706176::HUGEINT)::VARCHAR AS token_raw, (quote_amount * 1208925819614629174706176::HUGEINT)::VARCHAR AS quote_raw FROM s WHERE k = 1""")
+def wallet_swaps(spark, d):
+    """Swaps of wallets from the transfers in their receipts, with the exact amounts."""
+    found = wallets.swaps(wallets.evm_deltas(receipts(spark, d)), ["0x" + "a" * 39 + "0"])
+    return found.select("tx", "side", "token", "token_raw", "quote_raw")

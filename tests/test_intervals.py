@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import intervals
+from driftline.operators import intervals, models
 from driftline.operators.resample import draws
 
 REPS, SEED = 60, 5
@@ -88,3 +88,97 @@ def test_coefficients(spark, scored):
         assert got[f]["coefficient"] == pytest.approx(ridge_logistic(filled, features, 0.5)[j], abs=1e-7)
         assert (got[f]["low"], got[f]["high"]) == pytest.approx(tuple(np.quantile(again[:, j], [0.025, 0.975])), abs=1e-7)
     assert intervals.coefficients(rows.limit(0), features).count() == 0
+
+
+# ---- models
+
+def timed(spark, n=600, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(1.5 * x[:, 0] + 0.3)))).astype(int)
+    frame = pd.DataFrame({"id": range(n), "at": rng.permutation(n), "y": y, "a": x[:, 0] * 4 - 2, "b": x[:, 1]})
+    fold = np.minimum(frame["at"] * 4 // n, 3)
+    members = [(int(i), k, "test" if f == k else "train") for k in (1, 2, 3) for i, f in zip(frame["id"], fold, strict=True) if f <= k]
+    return frame, spark.createDataFrame(frame), spark.createDataFrame(members, "id long, fold int, role string")
+
+
+def pool_adjacent(p, y):
+    """Distinct scores and their isotonic values."""
+    found = [[s, float(y[p == s].sum()), int((p == s).sum())] for s in np.unique(p)]
+    pools = []
+    for s, total, n in found:
+        pools.append([[s], total, n])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            ss, t, m = pools.pop()
+            pools[-1] = [pools[-1][0] + ss, pools[-1][1] + t, pools[-1][2] + m]
+    return np.array([s for ss, *_ in pools for s in ss]), np.array([t / m for ss, t, m in pools for _ in ss])
+
+
+def fitted(train, c, features=("a", "b")):
+    x = train[list(features)].to_numpy(float)
+    mean, std = x.mean(0), x.std(0)
+    b = ridge_full((x - mean) / std, train["y"].to_numpy(float), c)
+    return lambda f: b[-1] + (f[list(features)].to_numpy(float) - mean) / std @ b[:-1]
+
+
+def ridge_full(x, y, c):
+    one, b = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    ridge = np.append(np.full(x.shape[1], 1 / c), 1e-9)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-one @ b))
+        b -= np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + np.diag(ridge), one.T @ (p - y) + ridge * b)
+    return b
+
+
+def test_calibrated_frame(spark):
+    frame, rows, members = timed(spark)
+    got = models.logistic_frame(rows, members, ["a", "b"], [1, 2, 3]).toPandas().set_index("id")
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    fold = np.minimum(frame["at"] * 4 // len(frame), 3)
+    for k in (1, 2, 3):
+        train, test = frame[fold < k].sort_values("at"), frame[fold == k]
+        splits = models.splits_of(len(train))
+        assert len(splits) == 3
+        loss = {c: np.mean([np.mean((sig(fitted(train[:a], c)(train[a:b])) - train["y"][a:b]) ** 2) for a, b in splits]) for c in models.PENALTIES}
+        c = min(loss, key=loss.get)
+        own = got.loc[test["id"]]
+        assert own["fold"].eq(k).all() and own["baseline"].to_numpy() == pytest.approx(train["y"].mean())
+        assert own["logistic"].to_numpy() == pytest.approx(sig(fitted(train, c)(test)), abs=1e-6)
+        platt, isotonic = [], []
+        for a, b in splits:
+            score = fitted(train[:a], c)
+            z, y = score(train[a:b]), train["y"][a:b].to_numpy()
+            soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+            w = ridge_full(((z - z.mean()) / z.std())[:, None], soft, 1e9)
+            platt.append(sig(w[-1] + w[0] * (score(test) - z.mean()) / z.std()))
+            isotonic.append(np.interp(sig(score(test)), *pool_adjacent(sig(z), y)))
+        assert own["platt"].to_numpy() == pytest.approx(np.mean(platt, 0), abs=1e-5)
+        assert own["isotonic"].to_numpy() == pytest.approx(np.mean(isotonic, 0), abs=1e-5)
+    assert len(got) == (fold > 0).sum()
+
+
+def test_frame_without_inner_splits_is_not_calibrated(spark):
+    frame, rows, members = timed(spark, 60)
+    got = models.logistic_frame(rows, members, ["a", "b"], [1]).toPandas()
+    assert len(got) == 15 and (got["platt"] == got["logistic"]).all() and (got["isotonic"] == got["logistic"]).all()
+
+
+def test_permutation_importance(spark):
+    frame, rows, _ = timed(spark)
+    score = lambda df: df.withColumn("p", 1 / (1 + F.exp(-(F.col("a") * 0.4 + 0.8))))
+    got = {r["feature"]: r["importance"] for r in models.permutation_importance(score, rows, ["a", "b"], repeats=10).collect()}
+    p = lambda a: 1 / (1 + np.exp(-(a * 0.4 + 0.8)))
+    a, y = frame["a"].to_numpy(), frame["y"].to_numpy()
+    rng = np.random.default_rng(0)
+    want = np.mean([np.mean((p(rng.permutation(a)) - y) ** 2) for _ in range(200)]) - np.mean((p(a) - y) ** 2)
+    assert got["b"] == pytest.approx(0, abs=1e-12) and got["a"] == pytest.approx(want, rel=0.1)
+    assert models.permutation_importance(score, rows.limit(0), ["a", "b"]).where("importance IS NOT NULL").count() == 0
+
+
+def test_permutations_deal_every_value_once(spark):
+    """A score that is the value itself shows, for each repeat, the same multiset of values."""
+    rows = spark.createDataFrame([(i, 0, float(i)) for i in range(101)], "id long, y int, a double")
+    seen = []
+    models.permutation_importance(lambda df: seen.append(df) or df.withColumn("p", F.col("a")), rows, ["a"], repeats=4)
+    many = next(df for df in seen if "feature" in df.columns)
+    assert sorted(r["a"] for r in many.collect()) == sorted(float(i) for i in range(101) for _ in range(4))

@@ -12,6 +12,7 @@ from driftline.operators import costs, flow, joins, ledger, models, pattern, res
 from driftline.operators.paper import Account, Policy
 from driftline.plans import catalogue, research
 from driftline.plans.views import fills
+from driftline.session import checkpointed
 from driftline.sources import sinks, tables
 from driftline.streaming import streams
 
@@ -235,10 +236,10 @@ def test_models_do_all_rounds_and_tune_the_penalty(spark):
     assert models.pipeline(["a"], "boosting").getStages()[-1].getMaxIter() == 120
     rng = np.random.default_rng(2)
     a = rng.normal(size=400)
-    table = lambda y: spark.createDataFrame([(i, i, float(x), int(v)) for i, (x, v) in enumerate(zip(a, y, strict=True))], "id long, at long, a double, y int")
-    assert models.tuned_c(table(rng.random(400) < 0.5), ["a"]) == 0.01
-    assert models.tuned_c(table(a > 0), ["a"]) == 10.0
-    assert models.tuned_c(table(a > 0).where("id < 50"), ["a"]) == 1.0
+    for y, n, want in ((rng.random(400) < 0.5, 400, 0.01), (a > 0, 400, 10.0), (a > 0, 50, 1.0)):
+        rows = spark.createDataFrame([(i, i, float(x), int(v)) for i, (x, v) in enumerate(zip(a[:n], y[:n], strict=True))], "id long, at long, a double, y int")
+        table = models.placed(rows, rows.select("id", F.lit(1).alias("fold"), F.lit("train").alias("role")), ["a"], [1], "at")
+        assert models.Logits(checkpointed(table), ["a"], [1]).chosen == {1: want}
 
 
 def test_logistic_oof_predicts_five_of_six_blocks(spark):
