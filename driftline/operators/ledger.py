@@ -85,12 +85,21 @@ def retained(rows: DataFrame, at: str, now: int, length: int) -> DataFrame:
 
 
 def bisected(rows: DataFrame, identity: str, at: str, span: int, most: int, depth: int) -> DataFrame:
-    """identity, level, part: the first halving of `span` after which a row's range has `most` rows at most; rows of ranges that stay fuller after `depth` halvings are left out.
+    """identity, level, part, saturated: the first halving of `span` after which a row's range has `most` rows at most.
 
-    A range's rows are counted map-side at every level; a row then meets its ranges' counts.
+    Rows of ranges that stay fuller after `depth` halvings are in the last one and saturated: a
+    source that answers with `most` rows at a time has not told all of them, and `complete` raises.
+    A range's rows are counted map-side at every level; a row then meets its ranges' counts. Rows
+    with a null time take no part.
     """
-    lo = rows.agg(F.min(at)).first()[0] or 0
-    levels = rows.select(identity, F.col(at).alias("__at"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    placed = levels.select(identity, "level", F.expr(f"(__at - {lo}) div ({span} div shiftleft(1, level))").alias("part"))
-    full = placed.groupBy("level", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
-    return placed.join(full, ["level", "part"]).groupBy(identity).agg(F.min(F.struct("level", "part")).alias("s")).select(identity, "s.level", "s.part")
+    lo = F.broadcast(rows.agg(F.min(at).alias("__lo")))  # one row
+    levels = rows.where(F.col(at).isNotNull()).join(lo).select(identity, F.col(at).alias("__at"), "__lo", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    placed = levels.select(identity, "level", F.expr(f"(__at - __lo) div ({span} div shiftleft(1, level))").alias("part"))
+    counted = placed.groupBy("level", "part").agg(F.count(F.lit(1)).alias("n"))
+    final = counted.where((F.col("n") <= most) | (F.col("level") == depth)).withColumn("saturated", F.col("n") > most)
+    return placed.join(final, ["level", "part"]).groupBy(identity).agg(F.min(F.struct("level", "part", "saturated")).alias("s")).select(identity, "s.level", "s.part", "s.saturated")
+
+
+def complete(ranges: DataFrame) -> DataFrame:
+    """Ranges of `bisected`, none of them saturated; else reading them ends with an error."""
+    return ranges.where(F.when(F.col("saturated"), F.raise_error(F.lit("a range is saturated at the last halving")).cast("boolean")).otherwise(F.lit(True)))

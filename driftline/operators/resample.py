@@ -108,28 +108,28 @@ def within_day_permutation(rows: DataFrame, day: str, signal: str, identity: lis
     `identity` (whole numbers) settles equal draws. A day of up to MOST_ROWS rows, two numbers each, is held by one
     task, which draws all its replicates; rows of larger days are spread over replicates and ranked by windows.
     """
-    marked = rows.select(*keys, F.col(day).alias("__day"), value.alias("v"), number.cast("long").alias("__x"), *[F.col(c).cast("long").alias(f"__i{i}") for i, c in enumerate(identity)], F.col(signal).alias("__signal"))
+    marked = rows.select(*keys, F.col(day).alias("__day"), value.alias("__v"), number.cast("long").alias("__x"), *[F.col(c).cast("long").alias(f"__i{i}") for i, c in enumerate(identity)], F.col(signal).alias("__signal"))
     days = [*keys, "__day"]
-    sizes = marked.groupBy(*[F.col(c).alias(f"__of_{c}") for c in days]).agg(F.count_if("__signal").alias("k"), F.count(F.lit(1)).alias("rows")).where("k > 0")
+    sizes = marked.groupBy(*[F.col(c).alias(f"__of_{c}") for c in days]).agg(F.count_if("__signal").alias("__k"), F.count(F.lit(1)).alias("__rows")).where("__k > 0")
     counted = marked.join(sizes, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in days])).drop("__signal", *[f"__of_{c}" for c in days])
     order = [f"__i{i}" for i in range(len(identity))]
-    large = counted.where(F.col("rows") > MOST_ROWS).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    large = counted.where(F.col("__rows") > MOST_ROWS).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     place = Window.partitionBy(*keys, "rep", "__day").orderBy(draw(seed, F.col("rep"), F.col("__x")), *order)
-    far = large.select(*keys, "rep", "v", "k", F.row_number().over(place).alias("r")).where("r <= k").groupBy(*keys, "rep").agg(F.sum("v").cast("double").alias("s"), F.count("v").alias("n"))
-    near = drawn(counted.where(F.col("rows") <= MOST_ROWS), list(keys), order, reps, seed)
-    return far.unionByName(near).groupBy(*keys, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    far = large.select(*keys, "rep", "__v", "__k", F.row_number().over(place).alias("__r")).where("__r <= __k").groupBy(*keys, "rep").agg(F.sum("__v").cast("double").alias("__s"), F.count("__v").alias("__n"))
+    near = drawn(counted.where(F.col("__rows") <= MOST_ROWS), list(keys), order, reps, seed)
+    return far.unionByName(near).groupBy(*keys, "rep").agg((F.sum("__s") / F.sum("__n")).alias("mean"))
 
 
 def drawn(counted: DataFrame, keys: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
-    """keys, rep, s, n: sums over a task's days of the rows drawn in each replicate."""
+    """keys, rep, __s, __n: sums over a task's days of the rows drawn in each replicate."""
     kinds = counted.select(*keys).schema
-    schema = StructType([*kinds.fields, *StructType.fromDDL("rep int, s double, n long").fields])
+    schema = StructType([*kinds.fields, *StructType.fromDDL("rep int, __s double, __n long").fields])
     arrow = to_arrow_schema(schema)
 
     def one_day(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         table = table.sort_by([(c, "ascending") for c in order])  # draws are sorted stably, so this settles equal ones
-        v = table.column("v").to_numpy().astype(np.float64)
-        x, k = table.column("__x").to_numpy(), table.column("k")[0].as_py()
+        v = table.column("__v").to_numpy().astype(np.float64)
+        x, k = table.column("__x").to_numpy(), table.column("__k")[0].as_py()
         s, n = np.zeros(reps), np.zeros(reps, np.int64)
         step = max(1, MOST_ROWS // len(x))  # replicates at once
         for first in range(0, reps, step):

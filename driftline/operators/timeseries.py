@@ -29,13 +29,23 @@ def candles(trades: DataFrame, keys: list[str], width: int) -> DataFrame:
     )
 
 
-def valid_bars(bars: DataFrame, width: int, now: int) -> DataFrame:
-    """Aligned, closed, consistent bars; equal bars of one time become one, conflicting ones drop out with their time."""
+def valid_bars(bars: DataFrame, width: int, now: int, conflicts: str = "drop") -> DataFrame:
+    """Aligned, closed, consistent bars; equal bars of one time become one.
+
+    Different bars of one time are in conflict: with "drop" their time is left out, with "flag" they
+    stay and are told by a column `conflict`, with "raise" reading them ends with an error.
+    """
+    if conflicts not in ("drop", "flag", "raise"):
+        raise ValueError("conflicts must be drop, flag or raise")
     good = (F.col("at") % width == 0) & (F.col("low") > 0) & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("volume") >= 0)
     closed = bars.where((F.col("at") + width <= now) & good).distinct()
     others = [c for c in bars.columns if c != "at"]
     keys = [c for c in others if c not in ("open", "high", "low", "close", "volume", "trades")]
-    return closed.select("*", F.count(F.lit(1)).over(Window.partitionBy(*keys, "at")).alias("__n")).where("__n = 1").drop("__n")
+    counted = closed.select("*", (F.count(F.lit(1)).over(Window.partitionBy(*keys, "at")) > 1).alias("conflict"))
+    if conflicts == "flag":
+        return counted
+    fine = ~F.col("conflict") if conflicts == "drop" else F.when(F.col("conflict"), F.raise_error(F.lit("conflicting bars of one time")).cast("boolean")).otherwise(F.lit(True))
+    return counted.where(fine).drop("conflict")
 
 
 def contiguous_tail(bars: DataFrame, keys: list[str], width: int) -> DataFrame:

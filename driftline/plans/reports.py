@@ -441,8 +441,8 @@ def csv_round_trip(spark, d):
     return back.select(F.col("o").cast("long").alias("o"), F.col("n").cast("int").alias("n"), "day", "rule", "maybe", "net")
 
 
-@reg.query(f"WITH {TRADES}, s AS (SELECT *, min(at) OVER () AS lo FROM trades), l AS (SELECT id, at, unnest(range(13)) AS level, lo FROM s), c AS (SELECT level, (at - lo) // ({64 * DAY} // (1 << level)) AS part, count(*) AS n FROM l GROUP BY ALL), k AS (SELECT s.id, min(c.level) AS level FROM s JOIN l USING (id) JOIN c ON c.level = l.level AND c.part = (l.at - l.lo) // ({64 * DAY} // (1 << l.level)) WHERE c.n <= 50 GROUP BY s.id)\nSELECT level, count(*) AS n FROM k GROUP BY level")
+@reg.query(f"WITH {TRADES}, s AS (SELECT *, min(at) OVER () AS lo FROM trades), l AS (SELECT id, at, unnest(range(13)) AS level, lo FROM s), c AS (SELECT level, (at - lo) // ({64 * DAY} // (1 << level)) AS part, count(*) AS n FROM l GROUP BY ALL), k AS (SELECT s.id, min(c.level) AS level FROM s JOIN l USING (id) JOIN c ON c.level = l.level AND c.part = (l.at - l.lo) // ({64 * DAY} // (1 << l.level)) WHERE c.n <= 50 OR c.level = 12 GROUP BY s.id), f AS (SELECT k.*, c.n > 50 AS saturated FROM k JOIN l USING (id, level) JOIN c ON c.level = l.level AND c.part = (l.at - l.lo) // ({64 * DAY} // (1 << l.level)))\nSELECT level, saturated, count(*) AS n FROM f GROUP BY level, saturated")
 def bisected_ranges(spark, d):
     """Rows by how often the time span is halved until a range holds 50 rows at most."""
     t = trades(spark, d).select("id", "at")
-    return ledger.bisected(t, "id", "at", 64 * DAY, 50, 12).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return ledger.bisected(t, "id", "at", 64 * DAY, 50, 12).groupBy("level", "saturated").agg(F.count(F.lit(1)).alias("n"))

@@ -17,9 +17,15 @@ def csv(spark: SparkSession, path: str, required: list[str], optional: list[str]
 
 
 def json_bars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Bars from a folder of JSON files {key, rows: [[at, open, high, low, close, volume], ...]}, one record a file or, with `lines`, one a line."""
-    raw = spark.read.schema("key string, rows array<array<double>>").json(path, multiLine=not lines)
-    r = raw.select("key", F.explode("rows").alias("r")).where(F.size("r") == 6)
+    """Bars from a folder of JSON files {key, rows: [[at, open, high, low, close, volume], ...]}, one record a file or, with `lines`, one a line.
+
+    A record without rows, a row that has not six numbers and text that does not parse end the scan with an error.
+    """
+    raw = spark.read.schema("key string, rows array<array<double>>").json(path, multiLine=not lines, mode="FAILFAST")
+    wrong = lambda kind: F.raise_error(F.concat(F.lit("a bar of "), F.coalesce("key", F.lit("an unnamed key")), F.lit(" has not six numbers"))).cast(kind)
+    r = raw.select("key", F.explode(F.coalesce("rows", wrong("array<array<double>>"))).alias("r"))
+    fine = F.coalesce((F.size("r") == 6) & ~F.exists("r", lambda x: x.isNull()), F.lit(False))
+    r = r.select("key", F.when(fine, F.col("r")).otherwise(wrong("array<double>")).alias("r"))
     return r.select("key", F.col("r")[0].cast("long").alias("at"), *[F.col("r")[i].alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)])
 
 

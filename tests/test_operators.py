@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import costs, flow, joins, ledger, models, pattern, resample, simulate, stats, validation
+from driftline.operators import timeseries as ts
 from driftline.operators.paper import Account, Policy
 from driftline.plans import catalogue, research
 from driftline.plans.views import fills
@@ -248,3 +249,54 @@ def test_logistic_oof_predicts_five_of_six_blocks(spark):
     blocks = {r["grp"]: r["block"] for r in catalogue.queries()["fold_blocks"](spark, sf).collect()}
     rows = research.frame(spark, sf).select("id", "grp").toPandas()
     assert set(got["fold"]) == {1, 2, 3, 4, 5} and set(got["id"]) == set(rows["id"][rows["grp"].map(blocks) > 0]) and got["id"].is_unique
+
+
+# ---- nothing is dropped without a word
+
+def test_saturated_ranges_are_told(spark):
+    rows = spark.createDataFrame([(i, 0 if i < 1000 else i + 30, "x") for i in range(1040)] + [(5000, None, "y")], "id long, at long, level string")
+    found = ledger.bisected(rows, "id", "at", 2048, 50, 4)
+    got = found.groupBy("saturated").count().collect()
+    assert sorted(map(tuple, got)) == [(False, 40), (True, 1000)] and found.where("saturated").select("level", "part").distinct().collect() == [(4, 0)]
+    with pytest.raises(Exception, match="saturated"):
+        ledger.complete(found).collect()
+    assert ledger.complete(ledger.bisected(rows.where("id >= 1000"), "id", "at", 2048, 50, 6)).count() == 40
+    assert ledger.bisected(rows.limit(0), "id", "at", 2048, 50, 4).count() == 0
+
+
+def test_bars_in_conflict(spark):
+    bar = lambda key, at, close: (key, at, 10.0, 12.0, 9.0, close, 5.0)
+    bars = spark.createDataFrame([bar("a", 0, 11.0), bar("a", 0, 11.0), bar("a", 5, 10.0), bar("a", 5, 11.0), bar("b", 5, 10.0)], "key string, at long, open double, high double, low double, close double, volume double")
+    assert sorted((r["key"], r["at"]) for r in ts.valid_bars(bars, 5, 100).collect()) == [("a", 0), ("b", 5)]
+    assert sorted((r["key"], r["at"], r["conflict"]) for r in ts.valid_bars(bars, 5, 100, "flag").collect()) == [("a", 0, False), ("a", 5, True), ("a", 5, True), ("b", 5, False)]
+    with pytest.raises(Exception, match="conflicting bars"):
+        ts.valid_bars(bars, 5, 100, "raise").collect()
+    assert ts.valid_bars(bars.where("at = 0"), 5, 100, "raise").count() == 1
+    with pytest.raises(ValueError, match="conflicts"):
+        ts.valid_bars(bars, 5, 100, "ignore")
+
+
+def test_malformed_json_bars_raise(spark, tmp_path):
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.json").write_text('{"key": "a", "rows": [[0, 1, 2, 0.5, 1, 3], [5, 1, 2, 0.5, 1, 3]]}')
+    assert tables.json_bars(spark, str(tmp_path / "good")).count() == 2
+    for bad in ("[[0, 1, 2, 0.5, 1]]", '[[0, 1, 2, 0.5, 1, "x"]]', "[null]", "null"):
+        folder = tmp_path / str(abs(hash(bad)))
+        folder.mkdir()
+        (folder / "a.json").write_text(f'{{"key": "a", "rows": {bad}}}')
+        with pytest.raises(Exception, match="six numbers|FAILED_READ_FILE"):
+            tables.json_bars(spark, str(folder)).collect()
+
+
+def test_draws_in_arrays_and_columns_agree(spark):
+    got = spark.range(50).select(resample.draw(9, F.col("id") * 7, F.col("id")).alias("x")).collect()
+    assert [r["x"] for r in got] == resample.draws(9, np.arange(50) * 7, np.arange(50)).tolist()
+
+
+def test_days_beyond_a_tasks_bound_give_the_same_permutation(spark, monkeypatch):
+    rows = spark.createDataFrame([(d, i, i % 3 == 0, float(i * i % 17), k) for d in ("d1", "d2", None) for i in range(20) for k in ("a", None)], "day string, n long, signal boolean, v double, k string")
+    args = (rows, "day", "signal", ["n"], F.col("v"), 7, 3, F.col("n"), ["k"])
+    order = lambda df: sorted(map(str, df.collect()))
+    near = order(resample.within_day_permutation(*args))
+    monkeypatch.setattr(resample, "MOST_ROWS", 5)
+    assert order(resample.within_day_permutation(*args)) == near and len(near) == 14
