@@ -9,6 +9,8 @@ from functools import cache
 import regex
 
 #: How such files split a text before any merge (fixed value).
+#: Parts of lines whose ids a worker keeps.
+REMEMBERED = 700_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -102,7 +104,7 @@ class Encoder:
     RARE = regex.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     LATIN = regex.compile(r"[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*\Z")
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         import tiktoken
 
         bpe = load(path)
@@ -136,5 +138,5 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int) -> Encoder:
+    return Encoder(path, most)
