@@ -12,6 +12,10 @@ from driftline.llm.common import checkpointed, lower_ascii, shared_folder
 from driftline.session import release, remove
 
 
+#: Parts of lines that a packing worker keeps, which other stages' tasks in the same worker find in its memory.
+REMEMBERED = 150_000
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """`docs` with columns named by their place, so that no name of theirs can clash with a stage's own."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -86,7 +90,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into sequences; every row is packed, null texts as empty ones, repeated rows as often as they come."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [
