@@ -25,13 +25,13 @@ EVALUATE = [
     ("usd ratio", f"usd_ratio < 10 * {MIN_USD_RATIO}"), ("buyer", f"top1 > 100 * {MAX_BUYER}"), ("five buyers", f"top5 > 100 * {MAX_FIVE}"), ("age", f"age_minutes < {MIN_AGE} OR age_minutes > {MAX_AGE}"), ("liquidity", f"liquidity < {MIN_LIQUIDITY}"),
     ("valuation", f"fdv <= 0 OR fdv > {MAX_FDV} * liquidity"), ("price", "unpriced"), ("extended", f"price_change > {MAX_MOVE}"),
 ]
-#: Parts of the score, before rounding; CLAMP( ... CLAMPEND keeps what is between within 0 and 1.
+#: Parts of the score, before rounding, whose weights are fixed values; structure goes by counts and prices here, as rows bear no averages. CLAMP( ... CLAMPEND keeps what is between within 0 and 1.
 SCORE = {
-    "liquid": f"10 * CLAMP(liquidity / (3.0 * {MIN_LIQUIDITY})CLAMPEND + 10 * CLAMP((20 - fdv * 1.0 / greatest(liquidity, 1)) / 15CLAMPEND + 2",
-    "crowd": "10 * CLAMP(buyers / 100.0CLAMPEND + 8 * CLAMP((usd_ratio / 10.0 - 1) / 1.5CLAMPEND + 7 * CLAMP(1 - top5 / 60.0CLAMPEND",
-    "pace": "CASE WHEN previous > 0 THEN 10 * CLAMP((volume * 1.0 / greatest(previous, 1) - 1) / 1.5CLAMPEND ELSE 0 END + CASE WHEN preceding > 0 AND previous > preceding AND volume > previous THEN 5 ELSE 0 END + CASE WHEN minute_share <= 35 THEN 5 ELSE 0 END",
-    "shape": "CASE WHEN buys > sells THEN 5 ELSE 0 END + CASE WHEN price_change > 0 THEN 4 ELSE 0 END + CASE WHEN price_change > 5 THEN 3 ELSE 0 END + CASE WHEN price_change BETWEEN 1 AND 15 THEN 3 ELSE 0 END",
-    "maturity": "CASE WHEN age_minutes <= 720 THEN 8 ELSE 4 END + 7 * CLAMP((20 - fdv * 1.0 / greatest(liquidity, 1)) / 15CLAMPEND",
+    "liquidity_points": f"10 * CLAMP(liquidity / (3.0 * {MIN_LIQUIDITY})CLAMPEND + 10 * CLAMP((20 - fdv * 1.0 / greatest(liquidity, 1)) / 15CLAMPEND + 2",
+    "buyers_points": "10 * CLAMP(buyers / 100.0CLAMPEND + 8 * CLAMP((usd_ratio / 10.0 - 1) / 1.5CLAMPEND + 7 * CLAMP(1 - top5 / 60.0CLAMPEND",
+    "acceleration_points": "CASE WHEN previous > 0 THEN 10 * CLAMP((volume * 1.0 / greatest(previous, 1) - 1) / 1.5CLAMPEND ELSE 0 END + CASE WHEN preceding > 0 AND previous > preceding AND volume > previous THEN 5 ELSE 0 END + CASE WHEN minute_share <= 35 THEN 5 ELSE 0 END",
+    "structure_points": "CASE WHEN buys > sells THEN 5 ELSE 0 END + CASE WHEN price_change > 0 THEN 4 ELSE 0 END + CASE WHEN price_change > 5 THEN 3 ELSE 0 END + CASE WHEN price_change BETWEEN 1 AND 15 THEN 3 ELSE 0 END",
+    "age_valuation_points": "CASE WHEN age_minutes <= 720 THEN 8 ELSE 4 END + 7 * CLAMP((20 - fdv * 1.0 / greatest(liquidity, 1)) / 15CLAMPEND",
 }
 
 

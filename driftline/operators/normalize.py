@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Forms of addresses.
 EVM, BASE58 = "^0x[0-9a-fA-F]{40}$", "^[1-9A-HJ-NP-Za-km-z]{32,44}$"
 
 

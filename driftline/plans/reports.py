@@ -108,6 +108,7 @@ def paper_gates(spark, d):
 # ---- next bar: flags, tags, entries
 
 NEXT = f"""{BARS}, nx AS (SELECT *, lead(open) OVER w AS o2, lead(close) OVER w AS c2, lead(volume) OVER w AS v2 FROM bars WINDOW w AS (PARTITION BY chain ORDER BY at))"""
+# The tags that users see, and the factors of their conditions.
 TAGS = [("next candle unavailable", "c2 IS NULL"), ("next candle red", "c2 <= o2"), ("next close below signal entry", "c2 < close"), ("lost signal-candle midpoint", "c2 < (open + close) / 2"), ("next-candle volume collapsed", "volume > 0 AND v2 / volume < 0.35"), ("fell back below support-zone top", "c2 < low * 1.035")]
 
 
