@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import security, wallets
+from driftline.operators import discovery, security, wallets
 from driftline.plans.registry import Registry
 from driftline.plans.views import table
 
@@ -77,3 +77,62 @@ def security_check(spark, d):
     """Verdict, reasons and taxes of each token from the provider's answer."""
     found = security.checked(answers(spark, d))
     return found.select("c_custkey", "status", F.array_join("reasons", ",").alias("reasons"), F.round("buy_tax", 6).alias("buy_tax"), "sell_tax")
+
+
+# ---- discovery
+
+NOW = 1_706_745_600_000
+
+
+def mint(x):
+    return F.lpad(F.translate(x.cast("string"), "0", "Z"), 40, "A")
+
+
+def notices(spark, d):
+    """Each event as a confirmed transaction's message, each tenth failed, with a mint that is malformed."""
+    balance = lambda *mints: F.array(*[F.struct(m.alias("mint")) for m in mints])
+    meta = F.struct(F.when(F.col("event_id") % 10 == 0, "failed").alias("err"), balance(mint(F.col("user_id"))).alias("preTokenBalances"), balance(mint(F.col("user_id")), mint(F.col("event_id") % 11), F.lit("0")).alias("postTokenBalances"))
+    body = F.struct(F.lit("transactionNotification").alias("method"), F.struct(F.struct(F.col("event_id").cast("string").alias("signature"), F.struct(meta.alias("meta")).alias("transaction")).alias("result")).alias("params"))
+    return table(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+@reg.query("""WITH m AS (SELECT event_id, epoch_us(ts) // 1000 AS at, unnest([user_id, event_id % 11]) AS k FROM events WHERE event_id % 10 <> 0)
+SELECT DISTINCT 'solana' AS chain, lpad(translate(k::VARCHAR, '0', 'Z'), 40, 'A') AS token, event_id::VARCHAR AS tx, at, 'helius' AS source FROM m""")
+def discovery_hints(spark, d):
+    """Distinct tokens of each confirmed transaction."""
+    return discovery.hints(notices(spark, d))
+
+
+def feeds(spark, d):
+    """Parts as rows of two feeds' answers for two chains, some twenty-five an answer, of several ages; sizes say which fields are absent or zero."""
+    p = table(spark, d, "part").select("*", F.when(F.col("p_partkey") % 2 == 0, "base").otherwise("bsc").alias("chain"), F.expr("p_partkey div 2 % 2").alias("feed"), F.expr("p_partkey div 100").alias("page"), (F.col("p_partkey") % 37).alias("k"))
+    hexed = lambda x: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(x)), 40, "0"))
+    own = F.concat("chain", F.lit("_"), hexed(F.col("k")))
+    row = F.struct(
+        F.lit("pool").alias("type"),
+        F.struct(
+            hexed(F.col("k")).alias("address"), F.lit("2024-01-01T00:00:00Z").alias("pool_created_at"), F.col("p_retailprice").cast("string").alias("reserve_in_usd"), F.struct(F.when(F.col("p_size") % 5 > 0, F.col("p_size") - 1).alias("m5")).alias("volume_usd"),
+            F.struct(F.struct(F.col("p_size").alias("buys"), (F.col("p_size") % 3).alias("sells"), F.when(F.col("p_size") % 2 == 0, 0.5).alias("buyers")).alias("m5")).alias("transactions"),
+        ).alias("attributes"),
+        F.struct(F.struct(F.struct(F.lit("token").alias("type"), own.alias("id")).alias("data")).alias("base_token")).alias("relationships"),
+    )
+    some = p.groupBy("chain", "feed", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"]).alias("data"))
+    return some.select("chain", F.col("feed").cast("string").alias("feed"), (F.lit(NOW) - F.col("page") % 5 * 60_000 - F.col("page")).alias("fetched_at"), F.to_json(F.struct("data")).alias("payload"))
+
+
+FEEDS = f"""p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'base' ELSE 'bsc' END AS chain, p_partkey // 2 % 2 AS feed, p_partkey // 100 AS page, p_partkey % 37 AS k FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY chain, feed, page ORDER BY p_partkey) - 1 AS i, {NOW} - page % 5 * 60000 - page AS fetched_at FROM p), w AS (SELECT *, p_size % 5 > 0 AS whole FROM r WHERE i < 20)"""
+
+
+@reg.query(f"""WITH {FEEDS}, l AS (SELECT *, row_number() OVER (PARTITION BY chain, k ORDER BY fetched_at DESC, feed DESC, i DESC) AS last FROM w WHERE whole)
+SELECT chain, CASE chain WHEN 'base' THEN 1 ELSE 0 END AS place, fetched_at, k, p_retailprice::DOUBLE AS liquidity, (p_size - 1)::DOUBLE AS volume5m, p_size::BIGINT AS buys5m, (p_size % 3)::BIGINT AS sells5m, NULL::BIGINT AS buyers5m FROM l WHERE last = 1 AND {NOW} - fetched_at <= 120000""")
+def discovery_pools(spark, d):
+    """The last row of each pool in fresh answers; a volume of zero is zero, an absent one makes the row incomplete, an odd count is null."""
+    rows = discovery.listed(feeds(spark, d), {"base": "base", "bsc": "bsc"})
+    found = discovery.pools(rows, ["base", "bsc"], NOW, turn=1)
+    return found.select("chain", "place", "fetched_at", F.conv(F.substring("pool", 3, 40), 16, 10).cast("long").alias("k"), "liquidity", "volume5m", "buys5m", "sells5m", "buyers5m")
+
+
+@reg.query(f"WITH {FEEDS} SELECT chain, count(DISTINCT feed) AS feeds, count(DISTINCT k) FILTER (whole) AS pools, count(*) FILTER (NOT whole) AS ignored, count(DISTINCT feed) = 2 AS ok FROM w GROUP BY chain")
+def discovery_health(spark, d):
+    return discovery.health(discovery.listed(feeds(spark, d), {"base": "base", "bsc": "bsc"}), 2)
