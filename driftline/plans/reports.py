@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import gates, ledger, normalize, resample, screening
+from driftline.operators import gates, joins, ledger, normalize, resample, rollout, screening
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.studies import DAY, PAIRS, ORD, order_rows, paired_days, r6
@@ -447,3 +447,28 @@ def bisected_ranges(spark, d):
     """Rows by how often the time span is halved until a range holds 50 rows at most."""
     t = trades(spark, d).select("id", "at")
     return ledger.bisected(t, "id", "at", 64 * DAY, 50, 12).groupBy("level", "saturated").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- evidence before a rollout
+
+RULES = rollout.Evidence(span=7 * DAY, slot=HOUR, missing=14, gap=3 * HOUR, after=HOUR, before=3 * HOUR, order_usd=100.0, impact=4.0, liquidity=1_000.0, kept=0.01, accepted=0.3, apart=HOUR // 60)
+UNTIL = 1_706_659_200_000  # 31 January 2024
+
+
+@reg.query(f"""WITH {TRADES}, w AS (SELECT * FROM trades WHERE at >= {UNTIL} - {7 * DAY} AND at <= {UNTIL}), h AS (SELECT DISTINCT chain, at // {HOUR} * {HOUR} AS at FROM w), g AS (SELECT chain, at - lag(at) OVER (PARTITION BY chain ORDER BY at) AS gap FROM h), o AS (SELECT chain, count(*) AS slots, max(gap) AS widest FROM g GROUP BY chain),
+f AS (SELECT * FROM w WHERE id % 5 = 0 AND at <= {UNTIL} - {3 * HOUR}), s AS (SELECT f.id, arg_min(t.usd * 200, (t.at, t.usd)) AS seen FROM f JOIN trades t ON t.trader = f.trader AND t.at >= f.at + {HOUR} AND t.at <= f.at + {3 * HOUR} GROUP BY f.id),
+a AS (SELECT chain, count(*) AS total, count(*) FILTER (id % 4 > 0 AND id % 7 <= 4 AND seen >= 1000 AND seen >= usd * 200 * 0.01::DOUBLE) AS passed FROM f LEFT JOIN s USING (id) GROUP BY chain),
+d AS (SELECT DISTINCT t.chain FROM trades t WHERE EXISTS (SELECT 1 FROM trades u WHERE u.chain = t.chain AND u.trader = t.trader AND u.id <> t.id AND abs(u.at - t.at) < {HOUR // 60})),
+b AS (SELECT chain, min(at) AS started FROM trades GROUP BY chain)
+SELECT chain AS scope, slots, widest, passed, total, array_to_string(list_filter([CASE WHEN {UNTIL} - started < {7 * DAY} THEN 'days' END, CASE WHEN slots < {7 * 24 - 14} THEN 'coverage' END, CASE WHEN widest > {3 * HOUR} THEN 'gap' END, CASE WHEN passed / total < 0.3::DOUBLE THEN 'acceptance' END, CASE WHEN d.chain IS NOT NULL THEN 'duplicates' END], lambda x: x IS NOT NULL), ',') AS blockers
+FROM b JOIN o USING (chain) JOIN a USING (chain) LEFT JOIN d USING (chain)""")
+def rollout_evidence(spark, d):
+    """Each chain's gates: days, hours observed, gaps, references borne out by a review and a later sample, repeated messages."""
+    t = trades(spark, d).withColumnRenamed("chain", "scope")
+    references = t.where("id % 5 = 0").select("scope", "id", "at", (F.col("usd") * 200).alias("liquidity"), "trader")
+    reviews = references.select("id", (F.col("at") + F.when(F.col("id") % 4 > 0, F.col("id") % 4 * HOUR).otherwise(0)).alias("checked_at"), F.lit(100.0).alias("order_usd"), (F.col("id") % 7).cast("double").alias("impact"))
+    later = joins.range_join(references.select("trader", "at", "id"), t.select("trader", "at", "usd"), ["trader"], 4 * HOUR)
+    samples = later.select("id", F.col("r.at").alias("at"), (F.col("r.usd") * 200).alias("liquidity"))
+    sent = t.select("scope", F.col("trader").cast("string").alias("token"), "id", "at")
+    found = rollout.evidence(t.groupBy("scope").agg(F.min("at").alias("started_at")), t.select("scope", "at"), references.drop("trader"), reviews, samples, sent, UNTIL, RULES)
+    return found.select("scope", "slots", "widest", "passed", "total", F.array_join("blockers", ",").alias("blockers"))
