@@ -1,6 +1,8 @@
 """The registered queries against DuckDB, and the pipeline against its stages' own rules."""
 
+import html
 import os
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -28,6 +30,18 @@ def test_same_as_duckdb(spark, name):
     assert show(got.columns, [tuple(r) for r in got.collect()]) == show(names, want.fetchall())
 
 
+def test_html_extraction_gives_the_articles(spark):
+    """The given pages close what matters, so that their articles can be cut out by hand."""
+    pages = {r["page_id"]: (r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = queries.queries()["op12_html_extraction"](spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        url, page = pages[r["page_id"]]
+        blocks = re.split("<p>|</p>|<h1>|</h1>", page.split("<article>")[1].split("</article>")[0])
+        want = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        assert (r["url"], r["text"], r["n_chars"]) == (url, text := "\n\n".join(w for w in want if w), len(text))
+
+
 def test_one_query_an_operator():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
