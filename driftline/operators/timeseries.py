@@ -29,6 +29,16 @@ def candles(trades: DataFrame, keys: list[str], width: int) -> DataFrame:
     )
 
 
+def tick_bars(trades: DataFrame, keys: list[str], each: int, width: int) -> DataFrame:
+    """Bars of `each` consecutive trades by (at, id), the n-th said to begin at n * `width` ms; an unfinished last one is left out."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "id")) - 1
+    numbered = trades.select(*keys, "id", "at", "price", "usd", n.alias("__n")).withColumn("__b", F.expr(f"__n div {each}"))
+    g = numbered.groupBy(*keys, "__b").agg(
+        F.min_by("price", "__n").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "__n").alias("close"), F.sum(F.col("usd").cast("decimal(18,2)")).cast("double").alias("volume"), F.count(F.lit(1)).alias("trades")
+    )
+    return g.where(F.col("trades") == each).select(*keys, (F.col("__b") * width).alias("at"), "open", "high", "low", "close", "volume", "trades")
+
+
 def valid_bars(bars: DataFrame, width: int, now: int, conflicts: str = "drop") -> DataFrame:
     """Aligned, closed, consistent bars; equal bars of one time become one.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import timeseries as ts
-from driftline.plans import providers, reports, research, series, states, studies
+from driftline.plans import families, providers, reports, research, series, states, studies
 from driftline.plans.registry import Query
 from driftline.plans.views import BAR, bars
 
@@ -20,8 +20,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return series.reg.queries | studies.reg.queries | research.reg.queries | reports.reg.queries | states.reg.queries | providers.reg.queries | {"flagship": flagship}
+    return series.reg.queries | studies.reg.queries | research.reg.queries | reports.reg.queries | states.reg.queries | providers.reg.queries | families.reg.queries | {"flagship": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return series.reg.sql | studies.reg.sql | research.reg.sql | reports.reg.sql | states.reg.sql | providers.reg.sql
+    return series.reg.sql | studies.reg.sql | research.reg.sql | reports.reg.sql | states.reg.sql | providers.reg.sql | families.reg.sql

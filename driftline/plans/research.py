@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import intervals, labels, models, montecarlo, normalize, paper, pattern, resample, screening, simulate, stats, validation
+from driftline.operators import intervals, labels, models, montecarlo, normalize, paper, resample, screening, simulate, stats, validation
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.studies import PATHS, path_rows, r6
@@ -40,21 +40,6 @@ def swap_classification(spark, d):
 
 # ---- pattern
 
-@reg.query()
-def support_pattern(spark, d):
-    return pattern.find_setups(bars(spark, d, HOUR), "chain", pattern.Settings(warm_up=40, volume=1.0, close_position=0.5, peer=0.08, max_risk=0.5, reach=1.5, ema_floor=0.5))
-
-
-SWEEP = [pattern.Settings(warm_up=40, volume=v, close_position=c, peer=p) for v in (1.0, 1.2, 1.5) for c in (0.5, 0.65) for p in (0.04, 0.08)]
-
-
-@reg.query()
-def pattern_variants_sweep(spark, d):
-    """Signals of each combination of thresholds, all run on a key's bars at once."""
-    found = pattern.sweep(bars(spark, d, HOUR), "chain", SWEEP)
-    return found.groupBy("variant", "chain").agg(F.count(F.lit(1)).alias("signals"), F.min("at").alias("since"), F.max("at").alias("until"))
-
-
 @reg.query(f"""WITH {BARS}, f AS (SELECT *, row_number() OVER w AS rn, avg(volume) OVER (PARTITION BY chain ORDER BY at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY chain ORDER BY at))
 SELECT chain, at, close > open AS up, rn >= 21 AND volume >= 1.2 * m AS active, high > low AND (close - low) / (high - low) >= 0.65 AS strong, coalesce(close > pc, false) AS rising FROM f""")
 def signal_conditions(spark, d):

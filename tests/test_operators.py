@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import costs, flow, joins, ledger, models, pattern, resample, simulate, stats, validation
+from driftline.operators import costs, flow, joins, ledger, models, resample, simulate, stats, validation
 from driftline.operators import timeseries as ts
 from driftline.operators.paper import Account, Policy
 from driftline.plans import catalogue, research
@@ -101,26 +101,6 @@ def test_trade_ids_do_not_depend_on_trailing_zeros(spark):
     assert t.select(flow.trade_id()).distinct().count() == 1
 
 
-def support_bars(volume=220.0):
-    close = [11.0] * 50 + list(np.linspace(11, 10.1, 20)) + [10.1] * 41 + [10.05, 10.12, 10.2, 10.4]
-    bars = [(c, c + 0.03, c - 0.03, c, 100.0) for c in close]
-    for j in (75, 90):
-        bars[j] = (10.1, 10.13, 9.9, 10.1, 100.0)
-    o, h, low, c = 10.2, 10.42, 10.18, 10.4
-    bars[-1] = (o, h, low, c, volume)
-    return [np.array(x) for x in zip(*bars, strict=True)]
-
-
-def test_pattern_fires_once_and_is_causal():
-    bars = support_bars()
-    found = pattern.setups(*bars)
-    assert [x[0] for x in found] == [len(bars[0]) - 1]
-    assert pattern.setups(*[x[:-1] for x in bars]) == []
-    assert pattern.setups(*support_bars(100.0)) == []
-    longer = [np.concatenate([x, x[-5:]]) for x in bars]
-    assert [x for x in pattern.setups(*longer) if x[0] < len(bars[0])] == found
-
-
 def test_folds_are_disjoint_purged_and_embargoed(spark):
     hour = 3_600_000
     rows = [(2 * g + i, f"g{g}", g * 72 * hour + i * hour, g * 72 * hour + i * hour + 24 * hour, i) for g in range(12) for i in range(2)]
