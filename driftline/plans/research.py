@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import intervals, labels, models, montecarlo, normalize, paper, resample, screening, simulate, stats, validation
+from driftline.operators import intervals, labels, models, montecarlo, normalize, resample, screening, simulate, stats, validation
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.studies import PATHS, path_rows, r6
@@ -227,11 +227,6 @@ def power_monte_carlo(spark, d):
     return montecarlo.power(bases, [0.03, 0.06, 0.12, 0.24], 200, 2000).groupBy("key", "effect").agg(F.avg(F.col("significant").cast("double")).alias("power"))
 
 
-@reg.query()
-def paper_account(spark, d):
-    return paper.replay(trades(spark, d).select("chain", "at", "id", "price"), "chain")
-
-
 @reg.query(f"""WITH {TRADES}, m AS (SELECT *, max(price) OVER (PARTITION BY trader ORDER BY at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hw, first_value(price) OVER (PARTITION BY trader ORDER BY at, id) AS e FROM trades)
 SELECT trader, min(at) FILTER (price <= e * 0.5) AS stop_at, min(at) FILTER (price >= e * 2) AS tp_at, min(at) FILTER (hw >= e * 2 AND price <= greatest(e, hw * 0.7)) AS trail_at FROM m GROUP BY trader""")
 def position_events(spark, d):

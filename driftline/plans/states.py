@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import folds
+from driftline.operators import folds, paper
 from driftline.plans.registry import Registry
 from driftline.plans.views import HOUR, millis, table
 from driftline.streaming import sinks, stateful, streams
@@ -65,6 +65,39 @@ def newest(spark, d):
     return F.broadcast(events(spark, d).agg(F.max("at").alias("newest")))
 
 
+# ---- paper accounts
+
+POLICY = paper.Policy(paper.D(1000), paper.D(40), 3, 2, paper.D(60), fee=paper.D("0.01"), slip=paper.D("0.005"), network=paper.D("0.2"), fresh=12 * HOUR, signal_age=HOUR)
+
+
+def account_rows(e):
+    """Every event quotes its type in one of two pools; every third sends a signal right after, of up to 70 minutes before; every 97th pauses the account and every 89th resumes it."""
+    at = F.col("at") if "at" in e.columns else F.unix_millis("ts")
+    rows = F.array(
+        F.struct(F.col("id") * 3, F.lit("quote")), F.when(F.col("id") % 3 == 0, F.struct(F.col("id") * 3 + 1, F.lit("signal"))),
+        F.when(F.col("id") % 97 == 0, F.struct(F.col("id") * 3 + 2, F.lit("pause"))), F.when(F.col("id") % 89 == 0, F.struct(F.col("id") * 3 + 2, F.lit("resume"))),
+    )
+    each = e.withColumns({"quote_at": at, "signal_at": at - F.col("id") % 71 * MINUTES, "token": F.col("event_type"), "pool": (F.col("id") % 11 == 0).cast("string"), "price": F.col("value") + 20, "__r": F.explode(F.array_compact(rows))})
+    return each.withColumns({"id": F.col("__r.col1"), "kind": F.col("__r.col2")}).drop("__r")
+
+
+@reg.query()
+def paper_account(spark, d):
+    """Every entry, refusal and sale of each account's shared cash, with its limits by day and cooldowns by token."""
+    return paper.replay(account_rows(events(spark, d)), K, POLICY)
+
+
+@reg.query()
+def stream_paper_account(spark, d):
+    return streams.replay(stateful.folded(account_rows(stream(spark, d)), K, paper.Account(POLICY))).join(newest(spark, d), F.col("at") < F.col("newest")).drop("newest")
+
+
+@reg.query()
+def paper_refusals(spark, d):
+    """How often each reason was the first to refuse an entry."""
+    return paper_account(spark, d).where("event = 'refuse'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- outcomes
 
 def prices(e):

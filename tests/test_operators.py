@@ -2,7 +2,6 @@
 
 import time
 from collections import defaultdict
-from decimal import Decimal as D
 
 import numpy as np
 import pytest
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from driftline.operators import costs, flow, joins, ledger, models, resample, simulate, stats, validation
 from driftline.operators import timeseries as ts
-from driftline.operators.paper import Account, Policy
 from driftline.plans import catalogue, research
 from driftline.plans.views import fills
 from driftline.session import checkpointed
@@ -65,17 +63,6 @@ def test_closed_form_equals_grid(spark):
     assert a == b
 
 
-def test_paper_account():
-    a = Account(Policy())
-    assert a.enter(D(1)) and a.quantity == 10
-    assert a.mark(D("1.5")) == ("profit", D("5.0"), D("7.50"))
-    assert a.mark(D("1.6")) is None
-    assert a.mark(D("1.1"))[0] == "trail" and a.cash == D("103")
-    b = Account(Policy())
-    b.enter(D(1))
-    assert b.mark(D("0.5"))[0] == "stop" and b.cash == D("95")
-
-
 def test_costs(spark):
     one = spark.range(1)
     got = one.select(
