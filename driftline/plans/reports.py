@@ -43,14 +43,47 @@ def market_screen_full(spark, d):
     return r.select("p_partkey", F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("passed"), (-F.size("r")).alias("priority"))
 
 
-CLAMP = lambda x: f"least(greatest({x}, 0), 1)"
-SCORE_SQL = {k: v.replace("CLAMP(", "least(1.0::DOUBLE, greatest(0.0::DOUBLE, ").replace("CLAMPEND", "))") for k, v in gates.SCORE.items()}
-
-
-@reg.query(f"WITH {CANDIDATES}, r AS (SELECT *, {checks_sql(gates.EVALUATE)} AS reasons FROM cand), s AS (SELECT p_partkey, reasons, " + ", ".join(f"floor(({v}) + 0.5)::BIGINT AS {k}" for k, v in SCORE_SQL.items()) + f" FROM r), t AS (SELECT *, CASE WHEN len(reasons) = 0 THEN {' + '.join(gates.SCORE)} END AS score FROM s)\nSELECT p_partkey, array_to_string(CASE WHEN score < {gates.ALERT} THEN ['score'] ELSE reasons END, ',') AS reasons, {', '.join(gates.SCORE)}, score::BIGINT AS score, coalesce(score >= {gates.ALERT}, false) AS qualifies FROM t")
+# Numbers of a candidate's snapshot, in SQL that both engines read.
+real = lambda k, m, by, plus=0: f"(CAST({plus} AS DOUBLE) + CAST(p_partkey * {k} % {m} AS DOUBLE) / {by})"
+NOW = 1_700_000_000_000
+LIQUIDITY, QUOTED = "(40000 + CAST(p_partkey * 7919 % 300000 AS DOUBLE))", f"(CASE WHEN p_partkey % 41 = 0 THEN CAST(0 AS DOUBLE) ELSE {real(11, 50, 10, 1)} END)"
+SNAPSHOT = {
+    "at": str(NOW), "covered": "p_partkey % 19 <> 0", "tradeable": "p_partkey % 17 <> 0", "security": "CASE WHEN p_partkey % 23 = 0 THEN 'REJECT' WHEN p_partkey % 29 = 0 THEN 'UNKNOWN' ELSE 'PASS' END",
+    "security_reasons": "CASE WHEN p_partkey % 23 = 0 THEN 'honeypot' WHEN p_partkey % 29 = 0 THEN 'holders, creator' END", "checked_at": f"{NOW} - (p_partkey * 37 % 64 - 1) * 1000", "market": "p_partkey % 31 <> 0", "matches": "p_partkey % 37 <> 0",
+    "created_at": f"{NOW} - p_partkey * 13 % 1500 * 60000", "fetched_at": f"{NOW} - (p_partkey * 43 % 65 - 1) * 1000", "pool": "CAST(p_partkey % 9 AS VARCHAR(9))", "liquidity": LIQUIDITY, "min_liquidity": "50000", "fdv": "CAST(p_partkey * 15487 % 3000000 AS DOUBLE)",
+    "price": QUOTED, "price_change": "CAST(p_partkey * 11 % 30 - 2 AS DOUBLE)", "volume": "8000 + CAST(p_partkey * 104729 % 60000 AS DOUBLE)", "buys": "20 + p_partkey * 31 % 90", "sells": "p_partkey * 17 % 30", "buyers": "15 + p_partkey * 53 % 120",
+    "usd_ratio": real(19, 40, 20, 1.2), "top_buyer": real(3, 22, 100), "top_five": real(7, 65, 100), "previous_volume": "CAST(p_partkey * 23 % 30000 AS DOUBLE)", "preceding_volume": "CAST(p_partkey * 29 % 20000 AS DOUBLE)", "minute_share": real(41, 70, 100),
+    "flow_change": "CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey * 5 % 28 - 1 AS DOUBLE) END", "higher_lows": "p_partkey % 2 = 0", "ema21": f"CASE WHEN p_partkey % 43 > 0 THEN {QUOTED} * {real(47, 20, 100, 0.9)} END", "sma50": f"{QUOTED} * {real(59, 20, 100, 0.9)}", "pullback": f"CASE WHEN p_partkey % 47 > 0 THEN {real(61, 25, 100)} END",
+    "rule": "'v2'", "before_at": f"CASE WHEN p_partkey % 5 > 0 THEN {NOW} - p_partkey * 67 % 300 * 1000 END", "before_rule": "CASE WHEN p_partkey % 7 = 0 THEN 'v1' WHEN p_partkey % 5 > 0 THEN 'v2' END", "before_pool": "CASE WHEN p_partkey % 11 = 0 THEN 'x' WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 9 AS VARCHAR(9)) END",
+    "before_liquidity": f"CASE WHEN p_partkey % 5 > 0 THEN {LIQUIDITY} * {real(71, 40, 100, 0.85)} END",
+}
+GATES_SQL = [
+    ("'Confirmed provider coverage unavailable'", "NOT covered"), ("'Research only: support unconfirmed'", "NOT tradeable"), ("'Security ' || security || ': ' || security_reasons", "security <> 'PASS'"), ("'Security result stale'", "at - checked_at > 60000 OR checked_at > at"), ("'Market data unavailable'", "NOT market"),
+    ("'Five-minute volume below minimum'", "volume < 10000"), ("'Too few five-minute swaps'", "buys + sells < 30"), ("'Too few unique buyers'", "buyers < 20"), ("'Buy/sell transaction ratio too low'", "buys::DOUBLE / greatest(1, sells) < 1.2::DOUBLE"), ("'Buy/sell USD ratio too low'", "usd_ratio < 1.3::DOUBLE"),
+    ("'Single buyer dominates flow'", "top_buyer > 0.2::DOUBLE"), ("'Top five buyers dominate flow'", "top_five > 0.6::DOUBLE"), ("'Market identity mismatch'", "market AND NOT matches"), ("'Pool age outside allowed range'", "market AND (at - created_at < 600000 OR at - created_at > 86400000)"),
+    ("'Market data stale'", "market AND (at - fetched_at > 60000 OR fetched_at > at)"), ("'Liquidity below minimum'", "market AND liquidity < 50000"), ("'FDV/liquidity too high or unknown'", "market AND (fdv <= 0 OR fdv > 20 * liquidity)"), ("'Price invalid'", "market AND price <= 0"),
+    ("'Five-minute price move extended or unknown'", "market AND greatest(price_change, coalesce(flow_change, 0)) > 25"), ("'Liquidity fell more than 10%'", "market AND before_rule = 'v2' AND at - before_at <= 180000 AND before_pool = pool AND liquidity < before_liquidity * 0.9::DOUBLE"),
+]
+cut = lambda x: f"least(greatest({x}, 0::DOUBLE), 1::DOUBLE)"
+ROSE = "preceding_volume > 0 AND previous_volume > preceding_volume AND volume > previous_volume"
+POINTS_SQL = {
+    "liquidity_points": f"10 * {cut('liquidity / 150000')} + 10 * {cut('(20 - fdv / liquidity) / 15')} + CASE WHEN before_pool = pool AND liquidity >= before_liquidity THEN 5 ELSE 2 END",
+    "buyers_points": f"10 * {cut('buyers / 100::DOUBLE')} + 8 * {cut('(usd_ratio - 1) / 1.5::DOUBLE')} + 7 * {cut('1 - top_five / 0.6::DOUBLE')}",
+    "acceleration_points": f"CASE WHEN previous_volume > 0 THEN 10 * {cut('(volume / previous_volume - 1) / 1.5::DOUBLE')} ELSE 0 END + CASE WHEN {ROSE} THEN 5 ELSE 0 END + CASE WHEN minute_share <= 0.35::DOUBLE THEN 5 ELSE 0 END",
+    "structure_points": "CASE WHEN higher_lows THEN 5 ELSE 0 END + CASE WHEN price > ema21 THEN 4 ELSE 0 END + CASE WHEN ema21 > sma50 THEN 3 ELSE 0 END + CASE WHEN pullback BETWEEN 0.01::DOUBLE AND 0.15::DOUBLE THEN 3 ELSE 0 END",
+    "age_valuation_points": f"CASE WHEN at - created_at <= 43200000 THEN 8 ELSE 4 END + 7 * {cut('(20 - fdv / liquidity) / 15')}",
+}
+WHY_SQL = [("'Distributed buy flow'", "top_five < 0.3::DOUBLE"), ("'Rising volume across three windows'", ROSE), ("'Controlled pullback above 21 EMA'", "price > ema21 AND pullback BETWEEN 0.01::DOUBLE AND 0.15::DOUBLE"), ("'Liquidity comfortably above minimum'", "liquidity >= 100000")]
+listed = lambda checks: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {n} END" for n, c in checks) + "], lambda x: x IS NOT NULL)"
+
+
+@reg.query(f"""WITH cand AS (SELECT p_partkey, {", ".join(f"{v} AS {k}" for k, v in SNAPSHOT.items())} FROM part), r AS (SELECT *, {listed(GATES_SQL)} AS reasons, {listed(WHY_SQL)} AS why FROM cand),
+s AS (SELECT p_partkey, reasons, CASE WHEN len(reasons) = 0 THEN why ELSE [] END AS why, {", ".join(f"CASE WHEN len(reasons) = 0 THEN floor(({v}) + 0.5::DOUBLE)::BIGINT END AS {k}" for k, v in POINTS_SQL.items())} FROM r), t AS (SELECT *, {" + ".join(POINTS_SQL)} AS score FROM s)
+SELECT p_partkey, array_to_string(CASE WHEN score < 60 THEN ['Score below 60'] ELSE reasons END, '; ') AS reasons, array_to_string(why, '; ') AS why, {", ".join(POINTS_SQL)}, score, coalesce(score >= 60, false) AS qualifies FROM t""")
 def evaluate_gates(spark, d):
-    """Every gate in order, the five parts of the score where none fails, and the score's own gate."""
-    return gates.evaluate(candidates(spark, d)).select("p_partkey", F.array_join("reasons", ",").alias("reasons"), *gates.SCORE, "score", "qualifies")
+    """The twenty gates in order, the five parts of the score and why where none fails, and the score's own gate."""
+    snapshots = table(spark, d, "part").select("p_partkey", *[F.expr(v).alias(k) for k, v in SNAPSHOT.items()])
+    return gates.evaluate(snapshots).select("p_partkey", F.array_join("reasons", "; ").alias("reasons"), F.array_join("why", "; ").alias("why"), *POINTS_SQL, "score", "qualifies")
 
 
 @reg.query("SELECT p_partkey FROM part WHERE p_partkey * 13 % 2000 >= 240 AND p_partkey * 7919 % 200000 >= 50000 AND p_partkey * 104729 % 400000 >= 100000 AND NOT upper(p_brand) IN ('BRAND#2', 'BRAND#17') AND NOT regexp_matches(p_name, '(?i)bolt|wrapped')")
