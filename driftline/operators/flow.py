@@ -82,3 +82,32 @@ def dedup_last(trades: DataFrame, key: str = "id", order: str = "at") -> DataFra
 
 def timely(now: int, ahead: int = 5000) -> Column:
     return (F.col("at") > 0) & (F.col("at") <= now + ahead)
+
+
+MINUTE = 60_000
+
+
+def flow_features(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds six features of a pool's market flow to snapshots (at, id, buyers, buys, sells, liquidity, volume).
+
+    volume_to_liquidity; buyer_acceleration and count_ratio_trend against the snapshot last seen 5
+    minutes before; liquidity_change_15m, _30m and _60m in percent against those of then. Of snapshots of one
+    time the last by id is seen. Null where a number is unknown, a divisor is not positive or there is no snapshot; all
+    from windows of one exchange and sort. Rows without a time look at nothing and are seen by none.
+    """
+    values = ["buyers", "buys", "sells", "liquidity"]
+    seen = F.when(F.col("at").isNotNull(), F.struct("at", "id", *values))
+    order = Window.partitionBy(*keys).orderBy("at")
+    ago = lambda minutes: F.max(seen).over(order.rangeBetween(Window.unboundedPreceding, -minutes * MINUTE))
+    spans = (5, 15, 30, 60)
+    marked = rows.select("*", *[F.when(F.col("at").isNotNull(), ago(m)).alias(f"__{m}") for m in spans])
+    over = lambda a, b: F.when(b > 0, a / b)
+    number = lambda name: F.when(F.abs(F.col(name)) < float("inf"), F.col(name))
+    before = "__5."
+    return marked.select(
+        *rows.columns,
+        F.when(number("liquidity") != 0, number("volume") / number("liquidity")).alias("volume_to_liquidity"),
+        (number("buyers") - number(before + "buyers")).alias("buyer_acceleration"),
+        (over(number("buys"), number("sells")) - over(number(before + "buys"), number(before + "sells"))).alias("count_ratio_trend"),
+        *[(over(number("liquidity"), number(f"__{m}.liquidity")) * 100 - 100).alias(f"liquidity_change_{m}m") for m in spans[1:]],
+    )

@@ -93,15 +93,33 @@ def bootstrap(rows: DataFrame, keys: list[str], day: str, value: Column, reps: i
     return whole.join(ends, keys, "left").select(*keys, "mean", "days", F.when(fine, F.col("low")).alias("low"), F.when(fine, F.col("high")).alias("high"))
 
 
-def sign_flip(days: DataFrame, keys: list[str], day_number: str, value: str, reps: int, seed: int) -> DataFrame:
-    """p of the mean of daily values under random signs, (hits + 1) / (reps + 1): signs belong to (replicate, day), alike for all keys."""
+def flipped_means(days: DataFrame, keys: list[str], day_number: str, value: str, reps: int, seed: int) -> DataFrame:
+    """keys, rep, m: means of daily values under random signs, which belong to (replicate, day), alike for all keys."""
     signed = days.select(*keys, value, F.col(day_number).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     sign = F.when(F.pmod(F.shiftright(draw(seed, F.col("rep"), F.col("i")), 8), F.lit(2)) == 0, 1).otherwise(-1)
-    flipped = signed.groupBy(*keys, "rep").agg((F.sum(F.col(value) * sign) / F.count(F.lit(1))).alias("m"))
-    seen = days.groupBy(*keys).agg((F.sum(value) / F.count(F.lit(1))).alias("mean"))
+    return signed.groupBy(*keys, "rep").agg((F.sum(F.col(value) * sign) / F.count(F.lit(1))).alias("m"))
+
+
+def daily_means(days: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return days.groupBy(*keys).agg((F.sum(value) / F.count(F.lit(1))).alias("mean"))
+
+
+def sign_flip(days: DataFrame, keys: list[str], day_number: str, value: str, reps: int, seed: int) -> DataFrame:
+    """p of the mean of daily values under random signs, (hits + 1) / (reps + 1)."""
+    flipped, seen = flipped_means(days, keys, day_number, value, reps, seed), daily_means(days, keys, value)
     return flipped.join(seen, keys).groupBy(*keys).agg(((F.count_if(F.col("m") <= F.col("mean")) + 1) / (reps + 1)).alias("p"))
 
 
+def sign_flip_family(days: DataFrame, key: str, day_number: str, value: str, reps: int, seed: int) -> DataFrame:
+    """best (the key of the lowest mean, the first by name of equal ones), mean, p: how often the lowest mean of all keys under random signs is as low; one row, none without days.
+
+    As all keys share a day's sign, the p holds for the choice of the best among them.
+    """
+    best = daily_means(days, [key], value).agg(F.min(F.struct("mean", key)).alias("b")).where("b IS NOT NULL").select(F.col(f"b.{key}").alias("best"), "b.mean")
+    lowest = flipped_means(days, [key], day_number, value, reps, seed).groupBy("rep").agg(F.min("m").alias("m"))
+    return lowest.join(F.broadcast(best)).groupBy("best", "mean").agg(((F.count_if(F.col("m") <= F.col("mean")) + 1) / (reps + 1)).alias("p"))  # one row
+
+
 def within_day_permutation(rows: DataFrame, day: str, signal: str, identity: list[str], value: Column, reps: int, seed: int, number: Column, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """keys, rep, mean: of as many rows a day as had the signal, drawn without replacement; number: an integer of each row for its draws.
 

@@ -89,6 +89,26 @@ def reliability(rows: DataFrame, y: str, p: str, edges: list[float]) -> DataFram
     return rows.groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_score"), F.avg(y).alias("mean_outcome"))
 
 
+def quantile_reliability(rows: DataFrame, y: str, p: str, most: int = 10) -> DataFrame:
+    """bin, n, mean score, mean outcome between equal quantiles of the score, each bin with its upper edge, the first with both.
+
+    As many bins as there are scores, 25 rows a bin, and `most` allow, but two at least; equal edges become one. Quantiles
+    lie between the two nearest rows; rows without a score or outcome take no part; one score is one bin.
+    """
+    known = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+    s = running(by_score(known, y, p).withColumn("n", F.col("pos") + F.col("neg")), F.col("p"), before=F.col("n"))
+    total = s.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("scores")).select("all", F.least(F.lit(most), F.greatest(F.lit(2), F.expr("all div 25")), "scores").alias("bins"))
+    counted = s.join(F.broadcast(total))  # one row
+    place = lambda k: (F.col("all") - 1) * k / F.col("bins")
+    row_at = lambda i: F.min(F.when(F.col("before") + F.col("n") > i, F.col("p")))
+    found = counted.groupBy("all", "bins").agg(*[row_at(F.floor(place(k))).alias(f"a{k}") for k in range(most + 1)], *[row_at(F.least(F.floor(place(k)) + 1, F.col("all") - 1)).alias(f"b{k}") for k in range(most + 1)])
+    edge = lambda k: F.when(F.col("bins") >= k, F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * (place(k) - F.floor(place(k))))
+    edges = found.select(F.array_sort(F.array_distinct(F.array_compact(F.array(*[edge(k) for k in range(most + 1)])))).alias("edges"))
+    placed = s.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: (e > F.get("edges", F.lit(0))) & (e < F.col("p")))).cast("long"))
+    n = F.sum("n")
+    return placed.groupBy("bin").agg(n.alias("n"), (F.sum(F.col("p") * F.col("n")) / n).alias("mean_score"), (F.sum("pos") / n).alias("mean_outcome"))
+
+
 def calibration(bins: DataFrame) -> DataFrame:
     """ece, reliability, resolution, uncertainty from reliability bins."""
     n = F.sum("n")

@@ -1,4 +1,4 @@
-"""Queries over signal families: bars of four trades of each chain, whose price buys push up and sells push down."""
+"""Queries over signal families and flow features: bars of four trades of each chain, whose price buys push up and sells push down."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import signals
+from driftline.operators import flow, signals
 from driftline.operators import timeseries as ts
 from driftline.plans.registry import Registry
 from driftline.plans.views import HOUR, TRADES, trades
@@ -106,3 +106,21 @@ def reclaim_study(spark, d):
 def eager_study(spark, d):
     """Outcomes by variant of the 96 eager zone variants."""
     return family_counts(spark, d, "eager")
+
+
+# ---- flow
+
+SNAPSHOTS = "sn AS (SELECT id, at, chain, pool, id * 53 % 70 AS buyers, id * 31 % 40 AS buys, id * 17 % 30 AS sells, CASE WHEN id % 13 > 0 THEN usd * 200 END AS liquidity, usd * 10 AS volume FROM trades), las AS (SELECT chain, pool, at, max_by(sn, id) AS s FROM sn GROUP BY ALL)"
+PRIOR = " ".join(f"ASOF LEFT JOIN las l{m} ON l{m}.chain = sn.chain AND l{m}.pool = sn.pool AND sn.at - {m * 60_000} >= l{m}.at" for m in (5, 15, 30, 60))
+CHANGES = ", ".join(f"round(CASE WHEN l{m}.s.liquidity > 0 THEN sn.liquidity / l{m}.s.liquidity * 100 - 100 END, 6) AS liquidity_change_{m}m" for m in (15, 30, 60))
+
+
+@reg.query(f"""WITH {TRADES}, {SNAPSHOTS} SELECT sn.id, round(sn.volume / nullif(sn.liquidity, 0), 6) AS volume_to_liquidity, sn.buyers - l5.s.buyers AS buyer_acceleration,
+round(CASE WHEN sn.sells > 0 AND l5.s.sells > 0 THEN sn.buys::DOUBLE / sn.sells - l5.s.buys::DOUBLE / l5.s.sells END, 6) AS count_ratio_trend, {CHANGES} FROM sn {PRIOR}""")
+def market_flow_features(spark, d):
+    """Six features of each snapshot of a pool's flow, every event being one."""
+    t = trades(spark, d)
+    i = lambda k, m: F.col("id") * k % m
+    snapshots = t.select("id", "at", "chain", "pool", i(53, 70).alias("buyers"), i(31, 40).alias("buys"), i(17, 30).alias("sells"), F.when(F.col("id") % 13 > 0, F.col("usd") * 200).alias("liquidity"), (F.col("usd") * 10).alias("volume"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return flow.flow_features(snapshots, ["chain", "pool"]).select("id", r("volume_to_liquidity"), "buyer_acceleration", r("count_ratio_trend"), *[r(f"liquidity_change_{m}m") for m in (15, 30, 60)])

@@ -348,6 +348,21 @@ def ece(spark, d):
     return r6(stats.calibration(stats.reliability(scored(spark, d), "y", "p", EDGES)), "ece", "reliability", "resolution", "uncertainty")
 
 
+QUANTILES = f"""{SCORED}, t AS (SELECT list(p ORDER BY p) AS v, count(*) AS n, least(10, greatest(2, count(*) // 25), count(DISTINCT p)) AS b FROM s),
+e AS (SELECT list_distinct(list_transform(range(b + 1), lambda k: v[floor((n - 1) * k / b)::INT + 1] + (v[least(floor((n - 1) * k / b)::INT + 2, n)] - v[floor((n - 1) * k / b)::INT + 1]) * ((n - 1) * k / b - floor((n - 1) * k / b)))) AS edges FROM t),
+b AS (SELECT len(list_filter(edges, lambda x: x > list_min(edges) AND x < p)) AS bin, count(*) AS n, avg(p) AS ms, avg(y) AS mo FROM s, e GROUP BY 1)"""
+
+
+@reg.query(f"WITH {QUANTILES} SELECT bin, n, round(ms, 6) AS mean_score, round(mo, 6) AS mean_outcome FROM b")
+def quantile_reliability(spark, d):
+    return r6(stats.quantile_reliability(scored(spark, d), "y", "p"), "mean_score", "mean_outcome")
+
+
+@reg.query(f"WITH {QUANTILES}, t2 AS (SELECT sum(n * abs(ms - mo)) / sum(n) AS ece, sum(n * (ms - mo) ** 2) / sum(n) AS r, sum(n * mo ** 2) / sum(n) AS sq, sum(n * mo) / sum(n) AS base FROM b) SELECT round(ece, 6) AS ece, round(r, 6) AS reliability, round(sq - base * base, 6) AS resolution, round(base * (1 - base), 6) AS uncertainty FROM t2")
+def quantile_calibration(spark, d):
+    return r6(stats.calibration(stats.quantile_reliability(scored(spark, d), "y", "p")), "ece", "reliability", "resolution", "uncertainty")
+
+
 @reg.query(f"WITH {FILLS}, k AS (SELECT rule, rank() OVER (PARTITION BY rule ORDER BY net_bp) + (count(*) OVER (PARTITION BY rule, net_bp) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY rule ORDER BY usd) + (count(*) OVER (PARTITION BY rule, usd) - 1) / 2.0::DOUBLE AS b FROM fills) SELECT rule, round(corr(a, b), 6) AS rho FROM k GROUP BY rule")
 def spearman_rank(spark, d):
     return r6(stats.spearman(fills(spark, d), R, "net_bp", "usd"), "rho")
@@ -418,6 +433,15 @@ def whole_day_sign_flip(spark, d):
     return r6(resample.sign_flip(q, R, "i", "v", 200, 11), "p")
 
 
+@reg.query(f"""WITH {PAIRS}, q AS (SELECT rule, round(diff * 1000)::BIGINT AS v, dense_rank() OVER (ORDER BY m) - 1 AS i FROM pd),
+x AS (SELECT rule, rep, sum(CASE WHEN ((({resample.draw_sql(11, 'rep', 'i')})) >> 8) % 2 = 0 THEN v ELSE -v END) / count(*)::DOUBLE AS m FROM q, range(1000) g(rep) GROUP BY ALL), l AS (SELECT rep, min(m) AS m FROM x GROUP BY rep), o AS (SELECT rule, sum(v) / count(*)::DOUBLE AS mean FROM q GROUP BY rule ORDER BY 2, 1 LIMIT 1)
+SELECT rule AS best, round(mean, 6) AS mean, round(((SELECT count(*) FROM l WHERE l.m <= o.mean) + 1) / 1001.0::DOUBLE, 6) AS p FROM o""")
+def family_wise_sign_flip(spark, d):
+    """Whether the rule with the lowest mean difference is lower than the lowest of all rules under random signs of days."""
+    q = paired_days(spark, d).select("rule", F.round(F.col("diff") * 1000).cast("long").alias("v"), (F.dense_rank().over(Window.orderBy("m")) - 1).alias("i"))
+    return r6(resample.sign_flip_family(q, "rule", "i", "v", 1000, 11), "mean", "p")
+
+
 # ---- selection and sensitivity
 
 @reg.query(f"WITH {FILLS} SELECT chain, round(avg(-net_bp) FILTER (net_bp <= 0) / (avg(net_bp) FILTER (net_bp > 0) + avg(-net_bp) FILTER (net_bp <= 0)), 6) AS breakeven FROM fills GROUP BY chain")

@@ -43,5 +43,10 @@ def test_has_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["support_pattern", "support_conditions", "pattern_variants_sweep", "reclaim_study", "eager_study", "trend_study", "evaluate_gates", "grid_summary", "within_day_permutation"])
+def test_has_rows_on_longer_tables(spark, name):
+    assert catalogue.queries()[name](spark, SF.replace("0.001", "0.01")).count() > 0
+
+
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() > 0
