@@ -20,6 +20,11 @@ def eligible_symbol(symbol: Column, name: Column, excluded: list[str], pattern:
     return ~F.regexp_replace(F.upper(symbol), "[^A-Z0-9]", "").isin(excluded) & ~name.rlike(pattern)
 
 
+def eligible_age(created: Column, now: Column, least: int = 10 * 60_000, most: int = 24 * 3_600_000) -> Column:
+    """Whether a pool is between the two ages (ms), both included; an unknown age is not."""
+    return F.coalesce((now - created).between(least, most), F.lit(False))
+
+
 def confirmed(rows: DataFrame, keys: list[str], never_less: list[str], never_more: list[str], least: int, most: int) -> Column:
     """Whether a row and the one before it both qualify, `least` to `most` ms apart, with the named columns moving the right way."""
     w = Window.partitionBy(*keys).orderBy("at", "id")

@@ -161,9 +161,12 @@ def decision_histogram(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@reg.query("SELECT p_partkey FROM part WHERE NOT regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') IN ('BRAND2', 'BRAND17') AND NOT regexp_matches(p_name, '(?i)bolt')")
+@reg.query("SELECT p_partkey FROM part WHERE NOT regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') IN ('BRAND2', 'BRAND17') AND NOT regexp_matches(p_name, '(?i)bolt') AND p_partkey % 31 > 0 AND p_partkey * 13 % 1500 BETWEEN 10 AND 1440")
 def shortlist_filter(spark, d):
-    return table(spark, d, "part").where(screening.eligible_symbol(F.col("p_brand"), F.col("p_name"), ["BRAND2", "BRAND17"], "(?i)bolt")).select("p_partkey")
+    """Listed symbols between ten minutes and a day old; every 31st has no known age."""
+    created = F.when(F.col("p_partkey") % 31 > 0, F.lit(1_700_000_000_000) - F.col("p_partkey") * 13 % 1500 * 60_000)
+    fine = screening.eligible_symbol(F.col("p_brand"), F.col("p_name"), ["BRAND2", "BRAND17"], "(?i)bolt") & screening.eligible_age(created, F.lit(1_700_000_000_000))
+    return table(spark, d, "part").where(fine).select("p_partkey")
 
 
 @reg.query("""WITH c AS (SELECT s_suppkey, least(greatest(s_acctbal / 5000, 0), 1) AS a, least(greatest((20 - s_nationkey) / 15.0::DOUBLE, 0), 1) AS b FROM supplier)
