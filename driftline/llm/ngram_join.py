@@ -22,8 +22,12 @@ FIRST, SECOND, FURTHER, TARGET, MOST_RUNS = 4, 12, 8, 0.999, 64
 BRANCH, DEPTH = 1.4, 12
 #: Sets of a node that is compared by brute force, sampled tokens a set carries, and the share of those that candidates have in common.
 LEAF, SKETCH, ALIKE = 256, 64, 0.55
-#: Sets that every part of a large node or cluster meets, and sets that one task compares with each other.
-PIVOTS, BLOCK = 16, 256
+#: Sets that every part of a large node meets.
+PIVOTS = 16
+#: Sets and tokens of a part of a cluster; a task compares two parts exactly.
+BLOCK, BLOCK_TOKENS = 1024, 400_000
+#: Pairs after which a task that joins sets passes on what it has.
+MOST_PAIRS = 100_000
 #: Sets of a large node, about, that show which tokens most of its sets share.
 SEEN = 32
 NO_ID = -(2**63)
@@ -108,15 +112,23 @@ def short_of(tokens: np.ndarray) -> bytes:
 def in_common(rows: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
     """Numbers of common values of each row with each of the others."""
     both = rows if others is None else [*rows, *others]
-    values, inverse = np.unique(np.concatenate(both), return_inverse=True)
+    values, inverse, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(both)), [len(r) for r in both])
     n, m = len(rows), len(both) - len(rows) if others is not None else len(rows)
     total = np.zeros((n, m), np.float32)
+    if others is None:
+        total[np.arange(n), np.arange(n)] = [len(r) for r in rows]
+    shared = times > 1  # what one row alone has is common to no two
+    kept = shared[inverse]
+    inverse, owner = (np.cumsum(shared) - 1)[inverse[kept]], owner[kept]
+    if others is None and len(inverse):
+        total[np.arange(n), np.arange(n)] -= np.bincount(owner, minlength=n)
     order = np.argsort(inverse, kind="stable")
     inverse, owner = inverse[order], owner[order]
-    for at in range(0, len(values), 8192):
-        a, b = np.searchsorted(inverse, [at, at + 8192])
-        x = np.zeros((len(both), min(8192, len(values) - at)), np.float32)
+    width = 2048
+    for at in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(inverse, [at, at + width])
+        x = np.zeros((len(both), width), np.float32)
         x[owner[a:b], inverse[a:b] - at] = 1
         total += x[:n] @ (x if others is None else x[n:]).T
     return total
@@ -155,23 +167,25 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tu
         yield key, list(group)
 
 
-def tables(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held = []
+def tables(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Batches of up to `most` rows or about `most_bytes` of their last column."""
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) >= most:
+        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if len(held) >= most or size >= most_bytes:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def read_sets(docs: DataFrame, digests: bool = False) -> DataFrame:
-    """doc, name (of its set), keys (of the first two rounds), early (how many of them are the first round's), short (16 bits of the sampled tokens), and if wanted digest (SHA-256 of the text) of each document."""
+    """doc, name (of its set), keys (of the first two rounds), early (how many of them are the first round's), tokens (how many the set has), short (16 bits of the sampled tokens), and if wanted digest (SHA-256 of the text) of each document."""
     early, late = seeds(0, FIRST), seeds(FIRST, FIRST + SECOND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("name", pa.binary()), ("early", pa.int32()), ("keys", pa.list_(pa.int64())), ("short", pa.binary()), *([("digest", pa.binary())] if digests else [])])
+        schema = pa.schema([("doc", pa.int64()), ("name", pa.binary()), ("early", pa.int32()), ("keys", pa.list_(pa.int64())), ("tokens", pa.int32()), ("short", pa.binary()), *([("digest", pa.binary())] if digests else [])])
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -180,13 +194,13 @@ def read_sets(docs: DataFrame, digests: bool = False) -> DataFrame:
                     more = (hashlib.sha256(body).digest(),) if digests else ()
                     if len(t):
                         first = first_keys(t, early)
-                        yield doc, name_of(t), len(first), np.concatenate([first, first_keys(t, late)]).view(np.int64), short_of(t), *more
+                        yield doc, name_of(t), len(first), np.concatenate([first, first_keys(t, late)]).view(np.int64), len(t), short_of(t), *more
                     else:
-                        yield doc, None, 0, [], None, *more
+                        yield doc, None, 0, [], 0, None, *more
 
         yield from tables(rows(), schema, 2000)
 
-    return docs.mapInArrow(run, "doc long, name binary, early int, keys array<long>, short binary" + ", digest binary" * digests)
+    return docs.mapInArrow(run, "doc long, name binary, early int, keys array<long>, tokens int, short binary" + ", digest binary" * digests)
 
 
 def further_keys(docs: DataFrame, first: int, last: int) -> DataFrame:
@@ -206,37 +220,58 @@ def further_keys(docs: DataFrame, first: int, last: int) -> DataFrame:
     return docs.select("body").mapInArrow(run, "id long, keys array<long>")
 
 
+def may_link(common: np.ndarray, sampled: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which sets may have SIMILARITY, by how many sampled tokens each two have `common`, how many different 16 bits of them each has, and how many tokens its set has.
+
+    Sizes that differ too much rule a pair out. Sets of up to SKETCH tokens are sampled whole, so they must have in
+    common what the similarity asks for, less what either lost to equal 16 bits; of larger ones ALIKE of the sample.
+    """
+    a, b = tokens[:, None], tokens[None, :]
+    lost = np.minimum(tokens, SKETCH) - sampled
+    asked = SIMILARITY / (1 + SIMILARITY) * (a + b) - np.minimum(lost[:, None], lost)
+    asked = np.where(np.maximum(a, b) <= SKETCH, asked, ALIKE * np.minimum(sampled[:, None], sampled))
+    return (common >= asked - 1e-6) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-6)
+
+
 def leaf_edges(groups: DataFrame) -> DataFrame:
-    """a, b: sets of a group that seem alike, as few pairs as connect those of a task. groups: task, id, short."""
+    """a, b: sets of a group that seem alike, as few pairs as connect those of a task. groups: task, id, short, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(number: dict[int, int], joined: list[tuple[int, int]]) -> Iterator[tuple]:
+            # the edges all point to the least of what they connect, which saves rounds later
+            ids = sorted(number)
+            place = {number[x]: i for i, x in enumerate(ids)}
+            for i, root in enumerate(roots_of([(place[x], place[y]) for x, y in joined], len(ids))):
+                if root != i:
+                    yield ids[i], ids[root]
+
         def rows() -> Iterator[tuple]:
             number: dict[int, int] = {}
             joined: list[tuple[int, int]] = []
             for _, group in grouped(batches):
-                shorts = [np.frombuffer(s, np.uint16) for _, _, s in group]
+                if len(group) < 2:
+                    continue
+                shorts = [np.frombuffer(r[2], np.uint16) for r in group]
                 if len(group) < 6:
                     sets = [set(s.tolist()) for s in shorts]
-                    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= ALIKE * min(len(sets[i]), len(sets[j]))]
+                    common = np.array([[len(x & y) for y in sets] for x in sets])
                 else:
-                    sizes = np.array([len(s) for s in shorts])
-                    pairs = np.argwhere(np.triu(in_common(shorts) >= ALIKE * np.minimum(sizes[:, None], sizes), 1)).tolist()
+                    common = in_common(shorts)
+                pairs = np.argwhere(np.triu(may_link(common, np.array([len(s) for s in shorts]), np.array([r[3] for r in group])), 1)).tolist()
                 for pair in forest(pairs, len(group)):
                     joined.append(tuple(number.setdefault(group[k][1], len(number)) for k in pair))
-            # a task's edges all point to the least of what they connect, which saves rounds later
-            ids = sorted(number)
-            place = {number[x]: i for i, x in enumerate(ids)}
-            for i, root in enumerate(roots_of([(place[x], place[y]) for x, y in joined], len(ids))):
-                if root != i:
-                    yield ids[i], ids[root]
+                if len(joined) >= MOST_PAIRS:
+                    yield from told(number, joined)
+                    number, joined = {}, []
+            yield from told(number, joined)
 
         yield from tables(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return groups.select("task", "id", "short").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return groups.select("task", "id", "short", "tokens").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def children(large: DataFrame) -> DataFrame:
-    """id, cluster, short, key: the nodes below that the sets of large nodes go to. large: id, cluster, short, key, n.
+    """id, cluster, tokens, short, key: the nodes below that the sets of large nodes go to. large: id, cluster, tokens, short, key, n.
 
     What most sets of a node share does not part them; a sample of about SEEN sets a node tells which tokens these are.
     """
@@ -249,15 +284,15 @@ def children(large: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for own, cluster, key, short, common in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for own, cluster, key, tokens, short, common in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for child in child_keys(key, np.frombuffer(short, np.uint16), np.frombuffer(common or b"", np.uint16)).view(np.int64).tolist():
-                        yield own, cluster, short, child
+                        yield own, cluster, tokens, short, child
 
-        yield from tables(rows(), pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("short", pa.binary()), ("key", pa.int64())]), 5000)
+        yield from tables(rows(), pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("tokens", pa.int32()), ("short", pa.binary()), ("key", pa.int64())]), 5000)
 
     sampled = large.where(F.pmod(F.xxhash64("id", "key"), F.greatest((F.col("n") / SEEN).cast("long"), F.lit(1))) == 0)
     common = sampled.groupBy("key").agg(F.collect_list("short").alias("seen")).mapInArrow(shared, "key long, common binary")
-    return large.join(common, "key", "left").select("id", "cluster", "key", "short", "common").mapInArrow(run, "id long, cluster long, short binary, key long")
+    return large.join(common, "key", "left").select("id", "cluster", "key", "tokens", "short", "common").mapInArrow(run, "id long, cluster long, tokens int, short binary, key long")
 
 
 def nodes_of(level: DataFrame) -> DataFrame:
@@ -267,11 +302,11 @@ def nodes_of(level: DataFrame) -> DataFrame:
 
 
 def parts_of(rows: DataFrame, everywhere: Column) -> DataFrame:
-    """task, id, short: the sets of a node, LEAF to a part; those with `everywhere` go to each part. rows: key, n, id, short."""
+    """task, id, short, tokens: the sets of a node, LEAF to a part; those with `everywhere` go to each part. rows: key, n, id, short, tokens."""
     parts = F.ceil(F.col("n") / LEAF).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
     to = F.when(parts <= 1, F.array(F.lit(0))).when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
-    return rows.select("key", "id", "short", F.explode(to).alias("part")).select(F.xxhash64("key", "part").alias("task"), "id", "short")
+    return rows.select("key", "id", "short", "tokens", F.explode(to).alias("part")).select(F.xxhash64("key", "part").alias("task"), "id", "short", "tokens")
 
 
 def early_edges(level: DataFrame, shorts: DataFrame) -> DataFrame:
@@ -310,11 +345,11 @@ def late_edges(level: DataFrame, shorts: DataFrame) -> list[DataFrame]:
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """task, id, short: nodes that splitting does not part; every two blocks of half a LEAF meet in a task. rows: key, n, id, short."""
+    """task, id, short, tokens: nodes that splitting does not part; every two blocks of half a LEAF meet in a task. rows: key, n, id, short, tokens."""
     blocks = F.ceil(2 * F.col("n") / LEAF).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
-    rows = rows.select("key", "id", "short", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "short")
+    rows = rows.select("key", "id", "short", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "short", "tokens")
 
 
 def merges(clusters: DataFrame) -> int:
@@ -322,8 +357,8 @@ def merges(clusters: DataFrame) -> int:
 
 
 def candidate_clusters(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, root: sets that may be similar, directly or by others between. sets: id, keys, early, short, a row for each different set."""
-    shorts = sets.select("id", "short")
+    """node, root: sets that may be similar, directly or by others between. sets: id, keys, early, tokens, short, a row for each different set."""
+    shorts = sets.select("id", "short", "tokens")
     first = sets.select("id", F.col("id").alias("cluster"), F.explode(F.slice("keys", F.lit(1), F.col("early"))).alias("key"))
     edges = early_edges(first, shorts)
     # equal roots are one cluster; those not yet merged may cost work later, but no result
@@ -344,39 +379,56 @@ def candidate_clusters(sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:
-    """Pairs of indices with at least that Jaccard similarity, exactly; of a block with itself each pair once."""
+    """Whether each two sets have at least that Jaccard similarity, exactly; without `right` those of `left`, a set with itself not."""
     other = left if right is None else right
     a, b = np.array([len(t) for t in left]), np.array([len(t) for t in other])
     need = similarity / (1 + similarity) * (a[:, None] + b) - 1e-6
-    alike = in_common([sketch_of(t) for t in left], None if right is None else [sketch_of(t) for t in right])
-    may = (alike >= ALIKE * np.minimum(np.minimum(a, SKETCH)[:, None], np.minimum(b, SKETCH))) & (np.minimum(a[:, None], b) >= need)
+    may = np.minimum(a[:, None], b) >= need
     if right is None:
-        may = np.triu(may, 1)
-    pairs = np.argwhere(may)
-    if len(pairs) > 2000:
-        return np.argwhere(may & (in_common(left, right) >= need))
-    same = [len(np.intersect1d(left[i], other[j], assume_unique=True)) >= need[i, j] for i, j in pairs]
-    return pairs[np.array(same, bool)] if len(pairs) else pairs
+        np.fill_diagonal(may, False)
+    pairs = np.argwhere(np.triu(may) if right is None else may)
+    if len(pairs) > 64:
+        return may & (in_common(left, right) >= need)
+    for i, j in pairs:
+        may[i, j] = len(np.intersect1d(left[i], other[j], assume_unique=True)) >= need[i, j]
+        if right is None:
+            may[j, i] = may[i, j]
+    return may
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """As few pairs as connect what a symmetric matrix links."""
+    kept, fresh = [], np.ones(len(linked), bool)
+    for first in range(len(linked)):
+        ahead = [first] if fresh[first] else []
+        fresh[first] = False
+        while ahead:
+            i = ahead.pop()
+            found = np.flatnonzero(linked[i] & fresh)
+            fresh[found] = False
+            ahead += found.tolist()
+            kept += [(i, int(j)) for j in found]
+    return kept
 
 
 def compare_texts(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: names of sets with that similarity, as few as span what a task's sides connect. rows: body, name, to (tasks and sides).
+    """a, b, links: for each set a how many rows a task links it to (b null), and pairs that span what those links connect (links null). rows: body, name, copies, to (tasks and sides).
 
-    A set on side 1 meets those of both sides, one on side 0 those of side 1; a task without side 1 compares all.
+    In a task each set on side 0 meets each on side 1, and those on side 2 meet each other.
     """
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("task", pa.int64()), ("side", pa.int32()), ("name", pa.binary()), ("tokens", pa.binary())])
+        schema = pa.schema([("task", pa.int64()), ("side", pa.int32()), ("name", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for body, name, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for body, name, copies, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     t = shingles(body)
                     if not len(t) or name_of(t) != name:
                         continue
                     raw = t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 of 64 bits
                     for x in to:
-                        yield x["task"], x["side"], name, raw
+                        yield x["task"], x["side"], name, copies, raw
 
         yield from tables(rows(), schema, 500)
 
@@ -386,62 +438,48 @@ def compare_texts(rows: DataFrame, similarity: float) -> DataFrame:
             wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
             return np.sort(wide.view("<u8").reshape(-1))
 
-        def rows() -> Iterator[tuple]:
-            for _, group in grouped(batches):
-                unique = {(r[1], r[2]): r for r in group}.values()  # rows that repeat an id and a text are one set
-                outer, inner = ([(r[2], tokens(r[3])) for r in unique if r[1] == side] for side in (0, 1))
-                if not inner:
-                    outer, inner = [], outer
-                every = [*inner, *outer]
-                sets = [t for _, t in every]
-                pairs = compare(sets[: len(inner)], None, similarity).tolist()
-                if outer:
-                    pairs += [(i, j + len(inner)) for i, j in compare(sets[: len(inner)], sets[len(inner) :], similarity).tolist()]
-                for i, j in forest(pairs, len(every)):
-                    if every[i][0] != every[j][0]:
-                        yield every[i][0], every[j][0]
+        def told(names: list[bytes], copies: np.ndarray, linked: np.ndarray) -> Iterator[tuple]:
+            for i, j in spanning(linked):
+                yield names[i], names[j], None
+            for i in np.flatnonzero(linked.any(1)):
+                yield names[i], None, int(copies[linked[i]].sum())
 
-        yield from tables(rows(), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
-
-    tasks = rows.select("body", "name", "to").mapInArrow(fetch, "task long, side int, name binary, tokens binary")
-    return checkpointed(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(brute, "a binary, b binary"))
-
-
-def task_of(*parts: Column, side: int = 0) -> Column:
-    return F.struct(F.xxhash64(*parts).alias("task"), F.lit(side).alias("side"))
+        def rows() -> Iterator[tuple]:
+            every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for _, group in groupby(every, lambda r: r[0]):
+                sides: list[dict[bytes, tuple[int, bytes]]] = [{}, {}, {}]
+                for _, side, name, copies, raw in group:
+                    sides[side][name] = copies, raw  # rows that repeat an id and a text are one set
+                meet, own = [*sides[0], *sides[1]], list(sides[2])
+                if len(own) > 1:
+                    yield from told(own, np.array([c for c, _ in sides[2].values()]), compare([tokens(r) for _, r in sides[2].values()], None, similarity))
+                if sides[0] and sides[1]:
+                    n, linked = len(sides[0]), np.zeros((len(meet), len(meet)), bool)
+                    linked[:n, n:] = compare(*([tokens(r) for _, r in side.values()] for side in sides[:2]), similarity)
+                    linked[n:, :n] = linked[:n, n:].T
+                    yield from told(meet, np.array([c for side in sides[:2] for c, _ in side.values()]), linked)
+
+        yield from tables(rows(), pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())]))
+
+    tasks = rows.select("body", "name", "copies", "to").mapInArrow(fetch, "task long, side int, name binary, copies long, tokens binary")
+    return checkpointed(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(brute, "a binary, b binary, links long"))
 
 
 def links_of(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of sets with that similarity that span all that such pairs connect. members: name, doc, cluster, size.
+    """a, b, links (see compare_texts) of all pairs of sets of a cluster. members: name, doc, copies, tokens, cluster.
 
-    A cluster of up to BLOCK sets is one task. Of a larger one each part of BLOCK sets is compared
-    with itself and with the same few pivots; that connects what is much alike. Then the sets that
-    are not in the cluster's largest connected part so far, and only those, are compared with
-    all others: any link that could still connect something has one of them at an end.
+    A cluster is cut into parts of about BLOCK sets or BLOCK_TOKENS tokens, and every two parts, and
+    each part with itself, are a task: exact, bounded in memory, and in work the square of a cluster.
     """
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("name"), parts).cast("int")
-    pivot = F.pmod(F.xxhash64("cluster", "name"), F.greatest((F.col("size") / (4 * PIVOTS)).cast("long"), F.lit(1))) == 0
-    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.xxhash64("cluster", p).alias("task"), F.lit(1).alias("side")))
-    to = F.when(parts <= 1, F.array(task_of(F.col("cluster"), side=1))).when(pivot, every).otherwise(F.array(task_of(F.col("cluster"), own, side=1)))
-    links = compare_texts(docs.join(members.select("name", "doc", to.alias("to")), "doc"), similarity)
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("tokens") / BLOCK_TOKENS)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    task = lambda p: F.xxhash64("cluster", F.least("own", p), F.greatest("own", p)).alias("task")
+    side = lambda p: F.when(p == F.col("own"), 2).when(p > F.col("own"), 0).otherwise(1).alias("side")
+    to = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(task(p), side(p)))
+    placed = members.join(sizes, "cluster").withColumn("own", own).select("name", "doc", "copies", to.alias("to"))
+    found = compare_texts(docs.join(placed, "doc"), similarity)
     release(docs.sparkSession)
-    large = members.where(F.col("size") > BLOCK)
-    if large.isEmpty():
-        return links
-    known = components(links.join(large.select(F.col("name").alias("a")), "a", "left_semi"), 3, settle=False)
-    large = checkpointed(large.join(known.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
-    main = large.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
-    main = main.select("cluster", F.col("main.root").alias("most"), (F.col("all") - F.col("main.m")).alias("outside")).where("outside > 0")
-    if main.isEmpty():
-        return links
-    open_ = large.join(main, "cluster")
-    blocks = F.ceil(F.col("outside") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("cluster", "name"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.xxhash64("cluster", own, b).alias("task"), F.lit(0).alias("side")))
-    asks = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.xxhash64("cluster", p, block).alias("task"), F.lit(1).alias("side")))
-    to = F.when(F.col("root") == F.col("most"), meets).otherwise(F.concat(meets, asks))
-    return links.unionByName(compare_texts(docs.join(open_.select("name", "doc", to.alias("to")), "doc"), similarity))
+    return found
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, digests: bool = False) -> DataFrame:
@@ -450,10 +488,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Sets are the distinct 5-word windows of a text's words; fewer words are one window; texts
     without words (null, empty) have no set, no links and are classes by themselves. Two rows are
     linked if their sets have at least that Jaccard similarity; a class is what links connect,
-    so rows of different classes have none, and class_id is the least id of its class_rows rows. Links
-    between different sets are not expanded: those kept span the class, each compared exactly, and
-    n_links has those of a row's set and its n_copies other rows with an equal set, so it is above 0 for all
-    rows that have a link. A null id counts as smaller than all; rows that repeat are linked to each
+    so rows of different classes have none, and class_id is the least id of its class_rows rows. n_links
+    is the number of other rows that a row is linked to, each compared exactly, among them its n_copies with an equal set. A null id counts as smaller than all; rows that repeat are linked to each
     other; no rows give no rows; other columns are ignored. Ids must be integers.
 
     1. Equal sets become one (by 128-bit names, aggregated map-side).
@@ -466,22 +502,20 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
        others are split again by sampled tokens (and by blocks, exactly, should DEPTH levels not part them).
     3. Rounds of runs are repeated until the share of merges that the rounds before had missed
        says that TARGET of them are found; this is measured in the tests.
-    4. Within the clusters links are found exactly (see links_of), and their components are the classes.
+    4. Within the clusters all links are found exactly and counted (see links_of), and their components are the classes.
     """
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     rows = checkpointed(read_sets(docs, digests))
     number = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")
-    sets = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("early", "keys", "short")])
+    sets = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("early", "keys", "tokens", "short")])
     sets = checkpointed(sets.select("*", number.alias("id")))
     release(df.sparkSession)
     clusters = candidate_clusters(sets, docs)
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "root").join(sets.select(F.col("id").alias("node"), "name", "doc"), "node")
-    links = links_of(checkpointed(members.select("name", "doc", F.col("root").alias("cluster"), "size")), docs, similarity)
-    classes = components(links)
+    members = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(sets.select("id", "name", "doc", "copies", "tokens"), "id")
+    found = links_of(checkpointed(members.select("name", "doc", "copies", "tokens", "cluster")), docs, similarity)
+    classes = components(found.where("b IS NOT NULL").select("a", "b"))
     release(docs.sparkSession)
-    once = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    counts = once.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("links"))
+    counts = found.where("links > 0").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
 
     known = sets.select("name", "doc", "copies").join(counts, "name", "left").join(classes.withColumnRenamed("node", "name"), "name", "left")
     known = known.select("name", "doc", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "name").alias("root"))

@@ -237,6 +237,35 @@ def test_ngram_join(docs, empty, monkeypatch, leaf, block, depth):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    """Near copies of one text, some of them repeated: n_links is the number of all other rows at 0.8, whatever the parts; a short text within many larger ones joins nothing."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, line = [word() for _ in range(80)], [word() for _ in range(9)]
+    texts = [" ".join(base[:at] + [word()] + base[at + 1 :]) for at in range(0, 80, 2)]
+    texts += texts[:5] + [" ".join(line)] + [" ".join([*line, *(word() for _ in range(30))]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = brute_links(df.collect())[1]
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(df).collect()} == {i: len(x) for i, x in enumerate(links)}
+    assert max(map(len, links)) > 20
+
+
+def test_ngram_join_lets_no_short_text_join_larger_ones():
+    """Sets that share a line have no similarity by their sizes; sampled whole, sets at 0.8 are never ruled out."""
+    rng = np.random.default_rng(6)
+    line = rng.integers(0, 2**63, 8).astype(np.uint64)
+    sets = [line, *(np.concatenate([line, rng.integers(0, 2**63, 30).astype(np.uint64)]) for _ in range(20))]
+    for n in range(4, 52):
+        b = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets += [b, np.concatenate([b, rng.integers(0, 2**63, n // 4).astype(np.uint64)])]
+    shorts = [np.frombuffer(ngram_join.short_of(s), np.uint16) for s in sets]
+    may = ngram_join.may_link(ngram_join.in_common(shorts), np.array([len(s) for s in shorts]), np.array([len(s) for s in sets]))
+    assert not np.triu(may[:21, :21], 1).any()
+    assert all(may[i, i + 1] for i in range(21, len(sets), 2))
+
+
 def test_ngram_join_recall_at_the_threshold():
     """Pairs just above 0.8 meet in some run's first node."""
     rng = np.random.default_rng(4)
