@@ -83,6 +83,43 @@ def test_statistics(spark):
     assert r.agg(stats.breakeven("v")).first()[0] == pytest.approx(2 / 3)
 
 
+def test_equity_by_hand(spark):
+    """Balances and peaks go on over ranges; a null profit adds nothing, a null key is one."""
+    rng = np.random.default_rng(3)
+    data = [(k, int(at), None if rng.random() < 0.1 else int(rng.integers(-50, 50))) for k in ("a", None) for at in rng.permutation(300)]
+    got = stats.equity(spark.createDataFrame(data, "k string, at int, v long"), ["k"], "v", ["at"])
+    want = []
+    for k in ("a", None):
+        balance, peak = None, 0
+        for _, at, v in sorted((r for r in data if r[0] == k), key=lambda r: r[1]):
+            balance = balance if v is None else (balance or 0) + v
+            peak = max(peak, balance or 0)
+            want.append((str(k), at, balance, peak, None if balance is None else peak - balance))
+    assert sorted((str(r["k"]), r["at"], r["balance"], r["peak"], r["drawdown"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(k#" in plan and "__part" in plan.split("windowspecdefinition(k#", 1)[1].split(")", 1)[0]
+
+
+def test_equity_of_fills_that_repeat_a_line(spark, tmp_path):
+    """Two fills of one rule, day, order and line with different profits: the query and its SQL take the lesser first."""
+    import duckdb
+
+    rows = [(1, p, 1, 1, 1.0, "A", "2024-01-01 00:00:00") for p in (6, 0, 12, 18, 24, 30, 36, 42)]
+    for name, data in (("a", rows), ("b", rows[::-1])):
+        df = spark.createDataFrame(data, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_shipdate string")
+        df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        got = sorted((r["balance"], r["drawdown"]) for r in catalogue.queries()["equity_drawdown"](spark, f"{tmp_path}/{name}").collect())
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/{name}/lineitem.parquet/*.parquet'")
+        assert got == sorted(duck.execute(f"SELECT balance, drawdown FROM ({catalogue.oracle_sql()['equity_drawdown']})").fetchall())
+        total, want = 0, []
+        profits = sorted((p * 7919 + 104729 + 31) % 4001 - 2000 for p in (r[1] for r in rows))
+        for v in profits:
+            total += v
+            want.append(total)
+        assert [b for b, _ in got] == sorted(want)
+
+
 def test_trade_ids_do_not_depend_on_trailing_zeros(spark):
     t = spark.sql("SELECT 'c' AS chain, 'p' AS pool, 't' AS tx, 'u' AS trader, 'buy' AS side, cast(1000 AS decimal(20,10)) AS usd UNION ALL SELECT 'c', 'p', 't', 'u', 'buy', cast('1000.0' AS decimal(20,10))")
     assert t.select(flow.trade_id()).distinct().count() == 1
