@@ -6,6 +6,8 @@ amounts are plain aggregates with partial sums; only results are carried, signed
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,51 +22,73 @@ BALANCE = "array<struct<owner: string, mint: string, uiTokenAmount: struct<amoun
 TRANSACTION = f"meta struct<err: string, fee: double, preTokenBalances: {BALANCE}, postTokenBalances: {BALANCE}, preBalances: array<decimal(38,0)>, postBalances: array<decimal(38,0)>>, transaction struct<message: struct<accountKeys: array<string>>>"
 
 
-def limbs(number: Column) -> list[Column]:
-    """Limbs of a hexadecimal number such as 0x1f; null if it is none or has more than 256 bits."""
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once a row, however often `body` and lambdas in it mention it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def padded(number: Column) -> Column:
+    """64 hexadecimal digits of a number such as 0x1f; null if it is none or has more than 256 bits."""
     digits = F.regexp_extract(number, "^0x0*([0-9a-fA-F]{0,64})$", 1)
     fine = number.rlike("^0x[0-9a-fA-F]+$") & number.rlike("^0x0*[0-9a-fA-F]{0,64}$")
-    padded = F.lpad(digits, 8 * LIMBS, "0")
-    return [F.when(fine, F.conv(F.substring(padded, 8 * (LIMBS - 1 - i) + 1, 8), 16, 10).cast("long")) for i in range(LIMBS)]
+    return F.when(fine, F.lpad(digits, 8 * LIMBS, "0"))
+
+
+def limbs_of(hexed: Column) -> list[Column]:
+    """Limbs of 64 hexadecimal digits."""
+    return [F.conv(F.substring(hexed, 8 * (LIMBS - 1 - i) + 1, 8), 16, 10).cast("long") for i in range(LIMBS)]
+
+
+def limbs(number: Column) -> list[Column]:
+    """Limbs of a hexadecimal number such as 0x1f; null if it is none or has more than 256 bits."""
+    return limbs_of(padded(number))
 
 
 def carried(sums: Column) -> Column:
     """Limbs within [0, BASE), and one more that holds what is above them: -1 or less for a number below zero."""
     start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
-    base = F.lit(BASE).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
+        # shifts round down, for sums below zero too
         total = acc["carry"] + x
-        rest = F.pmod(total, base)
-        return F.struct(F.call_function("div", total - rest, base).alias("carry"), F.concat(acc["out"], F.array(rest)).alias("out"))
+        return F.struct(F.shiftright(total, 32).alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(F.lit(BASE - 1).cast("long")))).alias("out"))
 
     return F.aggregate(sums, start, step, lambda acc: F.concat(acc["out"], F.array(acc["carry"])))
 
 
 def sign(sums: Column) -> Column:
     """-1, 0 or 1 of a sum of limbs."""
-    c = carried(sums)
-    return F.when(F.element_at(c, -1) < 0, -1).when(F.exists(c, lambda x: x != 0), 1).otherwise(0)
+    return once(carried(sums), lambda c: F.when(F.element_at(c, -1) < 0, -1).when(F.exists(c, lambda x: x != 0), 1).otherwise(0))
 
 
 def digits(sums: Column) -> Column:
     """Decimal digits of a sum of limbs without its sign, exactly, of any size that 256 bits and the sum of many have."""
-    negative = F.element_at(carried(sums), -1) < 0
-    positive = carried(F.transform(sums, lambda x: F.when(negative, -x).otherwise(x)))
+    absolute = once(carried(sums), lambda c: F.when(F.element_at(c, -1) < 0, carried(F.transform(sums, lambda x: -x))).otherwise(c))
+    return F.when(sums.isNull() | F.exists(sums, lambda x: x.isNull()), F.lit(None)).otherwise(once(absolute, lambda p: F.when(F.exists(F.slice(p, 5, LIMBS), lambda x: x != 0) | (p[3] >= 1 << 30), long_digits(p)).otherwise(short_digits(p))))
+
+
+def short_digits(positive: Column) -> Column:
+    """Digits of limbs that hold less than 2^126, which a decimal holds."""
+    two = lambda high, low: high.cast("decimal(20,0)") * F.lit(BASE).cast("decimal(10,0)") + low
+    high = (positive[3] * F.lit(BASE).cast("long") + positive[2]).cast("decimal(19,0)")
+    return (high * F.lit(str(BASE * BASE)).cast("decimal(20,0)") + two(positive[1], positive[0])).cast("decimal(38,0)").cast("string")
+
+
+def long_digits(positive: Column) -> Column:
+    """Digits of limbs of any size: chunks of nine digits, by which the limbs are shifted in from the highest."""
     chunks = F.array_repeat(F.lit(0).cast("long"), 11)
 
     def shifted(acc: Column, limb: Column) -> Column:
         start = F.struct(limb.alias("carry"), F.array().cast("array<long>").alias("out"))
 
         def step(a: Column, chunk: Column) -> Column:
-            total = chunk * BASE + a["carry"]
-            return F.struct(whole(total).alias("carry"), F.concat(a["out"], F.array(total % CHUNK)).alias("out"))
+            return once(chunk * BASE + a["carry"], lambda total: F.struct(whole(total).alias("carry"), F.concat(a["out"], F.array(total % CHUNK)).alias("out")))
 
         return F.aggregate(acc, start, step, lambda a: a["out"])
 
     found = F.aggregate(F.reverse(positive), chunks, shifted)
     text = F.array_join(F.transform(F.reverse(found), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    return F.when(sums.isNull() | F.exists(sums, lambda x: x.isNull()), F.lit(None)).otherwise(F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0")))
+    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
 
 
 def whole(total: Column) -> Column:
@@ -92,10 +116,9 @@ def evm_deltas(receipts: DataFrame) -> DataFrame:
     parsed = receipts.select("tx", F.lower("wallet").alias("wallet"), F.from_json("receipt", RECEIPT).alias("r")).where("r.logs IS NOT NULL AND coalesce(r.status, '') <> '0x0'")
     logs = parsed.select("tx", "wallet", F.posexplode("r.logs").alias("place", "log"))
     account = lambda i: F.when(F.get("log.topics", F.lit(i)).rlike("^0x[0-9a-fA-F]{64}$"), F.lower(F.concat(F.lit("0x"), F.substring(F.get("log.topics", F.lit(i)), 27, 40))))
-    moves = logs.where((F.lower(F.get("log.topics", F.lit(0))) == TRANSFER) & F.col("log.address").isNotNull()).select("tx", "wallet", "place", F.lower("log.address").alias("token"), account(1).alias("giver"), account(2).alias("taker"), *[x.alias(f"l{i}") for i, x in enumerate(limbs(F.col("log.data")))])
-    some = " OR ".join(f"l{i} > 0" for i in range(LIMBS))
-    moved = moves.where(f"({some}) AND NOT (giver <=> taker)").withColumn("way", F.when(F.col("giver") == F.col("wallet"), -1).when(F.col("taker") == F.col("wallet"), 1)).where("way IS NOT NULL")
-    net = moved.groupBy("tx", "wallet", "token").agg(F.min("place").alias("place"), F.array(*[F.sum(F.col(f"l{i}") * F.col("way")) for i in range(LIMBS)]).alias("sums"))
+    moves = logs.where((F.lower(F.get("log.topics", F.lit(0))) == TRANSFER) & F.col("log.address").isNotNull()).select("tx", "wallet", "place", F.lower("log.address").alias("token"), account(1).alias("giver"), account(2).alias("taker"), padded(F.col("log.data")).alias("amount"))
+    moved = moves.where((F.col("amount") != "0" * 64) & ~F.col("giver").eqNullSafe(F.col("taker"))).withColumn("way", F.when(F.col("giver") == F.col("wallet"), -1).when(F.col("taker") == F.col("wallet"), 1)).where("way IS NOT NULL")
+    net = moved.groupBy("tx", "wallet", "token").agg(F.min("place").alias("place"), F.array(*[F.sum(x * F.col("way")) for x in limbs_of(F.col("amount"))]).alias("sums"))
     return net.select("tx", "wallet", "token", "place", sign(F.col("sums")).alias("sign"), digits(F.col("sums")).alias("raw"))
 
 

@@ -27,6 +27,15 @@ def test_large_numbers(spark):
     assert [r[0] for r in odd.select(F.array(*wallets.limbs(F.col("x")))[0]).collect()] == [None, None, None, None, 1, None]
 
 
+def test_sums_are_carried_once(spark):
+    """However often a carried sum is mentioned, it is computed once a row, and not again for each limb; a number below 2^126 needs no chunks."""
+    df = spark.createDataFrame([([5, 0, 0, 0, 0, 0, 0, 0],), ([-1, 0, 0, (1 << 30) - 1, 0, 0, 0, 0],), ([0, 0, 0, 1 << 30, 0, 0, 0, 0],), ([0, 0, 0, 0, -(1 << 31), 0, 0, 0],)], "s array<long>")
+    count = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("aggregate(")
+    assert count(wallets.sign(F.col("s"))) == 1 and count(wallets.digits(F.col("s"))) == 4
+    want = [5, ((1 << 30) - 1 << 96) - 1, 1 << 126, 1 << 159]
+    assert [r[0] for r in df.select(wallets.digits(F.col("s"))).collect()] == [str(x) for x in want]
+
+
 def test_significant_digits(spark):
     rng = random.Random(2)
     rows = [("0", 18), ("1", 0), ("1", 18), ("9999999999", 3), ("99999999995", 3), ("99999999994", 3), ("100", 2), *((str(rng.getrandbits(rng.randint(1, 250))), rng.randint(0, 30)) for _ in range(200))]
