@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import cache
 
@@ -66,9 +67,9 @@ class Parts(dict):
         if len(self) >= self.most:
             self.clear()
         word = part.rstrip(".,")
-        if word.isalpha() and max(word) < "\u0250":
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
             # one piece of letters, and perhaps one of punctuation
-            found = array("I", self.owner.piece((self.lead + word).encode())).tobytes()
+            found = (self.get(word) if len(word) < len(part) else None) or array("I", self.owner.piece((self.lead + word).encode())).tobytes()
             if len(word) < len(part):
                 found += self.owner.marks[part[len(word) :]]
         else:
@@ -101,8 +102,8 @@ class Encoder:
     rest goes through tiktoken with the same vocabulary, words of letters only as one piece.
     """
 
-    RARE = regex.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    LATIN = regex.compile(r"[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*\Z")
+    RARE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    LATIN = re.compile(r"[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*\Z")
 
     def __init__(self, path: str, most: int = REMEMBERED):
         import tiktoken

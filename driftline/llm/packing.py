@@ -39,25 +39,32 @@ def plan_cuts(ends: list[int], costs: list[float], size: int = SEQUENCE) -> list
     where = np.full(int(at[-1]) + 1, -1, np.int64)
     where[at] = np.arange(len(at))
     powers = [p for k in range(size.bit_length()) if size // 8 <= (p := 1 << k) < size]
-    at_power = [np.where(at >= p, where[np.maximum(at - p, 0)], -1).tolist() for p in powers]
+    at_power = np.stack([np.where(at >= p, where[np.maximum(at - p, 0)], -1) for p in powers]) if powers else np.empty((0, len(at)), np.int64)
+    spared: list[tuple] = [()] * len(at)
+    for i in np.flatnonzero((at_power >= 0).any(0)).tolist():  # few cuts have another at such a distance
+        spared[i] = tuple(j for j in at_power[:, i].tolist() if j >= 0)
     at = at.tolist()
     best, came = [0.0] * len(at), [0] * len(at)
-    waiting, starts, head = [0.0], [0], 0  # best + start of each cut in the queue, ascending; the cuts
-    for i, (end, cost, *spared) in enumerate(zip(at, (0.0, *costs), *at_power, strict=True)):
+    waiting, starts, head, first = [0.0], [0], 0, 0  # best + start of each cut in the queue, ascending; the cuts; the first one's place
+    for i, (end, cost, others) in enumerate(zip(at, (0.0, *costs), spared, strict=True)):
         if not i:
             continue
-        while at[starts[head]] < end - size:
+        while first < end - size:
             head += 1
+            first = at[starts[head]]
         value, start = waiting[head] + size - end, starts[head]
-        for j in spared:
-            if j >= 0 and best[j] < value:
+        for j in others:
+            if best[j] < value:
                 value, start = best[j], j
         best[i] = value = value + cost + PER_SEQUENCE
         came[i] = start
         value += end
-        while len(waiting) > head and waiting[-1] >= value:
+        while waiting[-1] >= value:
             waiting.pop()
             starts.pop()
+            if len(waiting) == head:
+                first = end
+                break
         waiting.append(value)
         starts.append(i)
     cuts, i = [], len(at) - 1
@@ -83,14 +90,11 @@ def allowed_cuts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     soft = np.flatnonzero(ends[ids[: n - 2]]) + 1 if n > 2 else np.empty(0, np.int64)
     soft = np.append(soft, n)
     gaps = np.diff(soft, prepend=0)
-    if gaps.max() <= HARD_EVERY:
-        cuts, costs = soft, np.full(len(soft), SENTENCE_CUT)
-    else:
-        hard = np.concatenate([np.arange(b - g + HARD_EVERY, b, HARD_EVERY) for b, g in zip(soft[gaps > HARD_EVERY], gaps[gaps > HARD_EVERY], strict=True)])
-        cuts = np.concatenate([soft, hard])
-        costs = np.concatenate([np.full(len(soft), SENTENCE_CUT), np.full(len(hard), HARD_CUT)])
-        order = np.argsort(cuts, kind="stable")
-        cuts, costs = cuts[order], costs[order]
+    hard = (gaps - 1) // HARD_EVERY  # how many come before each soft one
+    place = np.cumsum(hard + 1) - 1
+    steps, costs = np.full(place[-1] + 1, HARD_EVERY), np.full(place[-1] + 1, HARD_CUT)
+    steps[place], costs[place] = gaps - hard * HARD_EVERY, SENTENCE_CUT
+    cuts = np.cumsum(steps)
     costs[-1] = 0.0
     return cuts, costs
 

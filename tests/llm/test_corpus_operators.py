@@ -190,6 +190,28 @@ def test_packing_plan_is_optimal():
         assert total == pytest.approx(best[ends[-1]])
 
 
+def test_a_word_with_marks_takes_the_ids_of_the_word():
+    encoder, asked = bytebpe.Encoder(bytebpe.default_path()), []
+    piece = encoder.piece
+    encoder.piece = lambda word: asked.append(word) or piece(word)
+    got = encoder.encode("so zaborithan zaborithan, zaborithan.")
+    assert asked == [b"so", b" zaborithan"] and got == encoder.encode_whole("so zaborithan zaborithan, zaborithan.")
+
+
+def test_packing_cuts_are_sentence_ends_and_even_steps():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 20, 21, 40, 41, 500):
+        ends = rng.random(50) < 0.1
+        ids = rng.integers(0, 50, n)
+        want, last = {}, 0
+        for end in [i + 1 for i in range(n - 2) if ends[ids[i]]] + [n]:
+            want |= {c: packing.HARD_CUT for c in range(last + packing.HARD_EVERY, end, packing.HARD_EVERY)} | {end: packing.SENTENCE_CUT}
+            last = end
+        want[n] = 0.0
+        cuts, costs = packing.allowed_cuts(ids, ends)
+        assert cuts.tolist() == sorted(want) and costs.tolist() == [want[c] for c in sorted(want)]
+
+
 def test_minimizers_are_leftmost_minima():
     h = gram_hashes(np.frombuffer(b"abcabcabcabdabcabcabcabc" * 8, np.uint8), 8)
     at = window_minima(h, 13)
