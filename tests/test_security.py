@@ -108,3 +108,9 @@ def test_solana(spark):
         ("REJECT", ["transfer_fee.scheduled"]), ("UNKNOWN", ["Unknown: transfer_fee"]), ("REJECT", ["Dangerous holder concentration"]),
     ]
     assert got[n + 7][2:] == (0.2, 0.2) and got[n + 8][2:] == (0.01, 0.01)
+
+
+def test_each_value_of_an_answer_is_read_once(spark):
+    rows = spark.createDataFrame([(1, "base", EVM, "{}", POOL)], "n int, chain string, token string, payload string, pool string")
+    plan = security.checked(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.is_proxy,") == 1 and plan.count("variant_get(") < 250, plan.count("variant_get(")
