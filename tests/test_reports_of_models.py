@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftline.operators import flow, resample, stats
+from driftline.operators import flow, models, resample, stats
 
 
 def bins_of(y, p, most=10):
@@ -58,3 +58,21 @@ def test_flow_features(spark):
         1: near(0.5, None, None, None, None, None), 2: near(0.25, None, None, None, None, None), 3: near(0.1, 6, 1.0, None, None, None), 4: near(None, None, None, None, None, None), 5: near(None, None, 0.0, None, None, None),
         6: near(None, None, 0.0, 100 * 4 / 3 - 100, 100 * 4 / 3 - 100, 100 * 4 / 3 - 100), 7: near(1.0, None, None, None, None, None), 8: near(1.0, None, None, None, None, None), 9: near(0.5, None, None, None, None, None), 10: near(1 / 3, 2, 2.0, 50.0, None, None),
     }
+
+
+def test_boosted_trees_see_equal_rows_as_one_with_a_weight(spark, monkeypatch):
+    whole, seen = models.pipeline, []
+
+    def short(*args):
+        p = whole(*args)
+        trees = p.getStages()[-1].setMaxIter(4)
+        fit = trees.fit
+        trees.fit = lambda df: seen.append(df.count()) or fit(df)
+        return p
+
+    monkeypatch.setattr(models, "pipeline", short)
+    rows = spark.range(600).selectExpr("id", "double(id % 5) AS a", "CASE WHEN id % 7 < 6 THEN double(id % 7) END AS b", "int(id * id % 11 < 4 + id % 5) AS y")
+    said = lambda model: [r["probability"][1] for r in model.transform(rows).orderBy("id").collect()]
+    got = said(models.boosted(rows, ["a", "b"]))
+    assert seen[0] <= 2 * 5 * 6
+    assert got == pytest.approx(said(whole(["a", "b"], "boosting").setStages([*whole(["a", "b"], "boosting").getStages()[:-1], whole(["a", "b"], "boosting").getStages()[-1].setMaxIter(4)]).fit(rows)), abs=1e-9)
