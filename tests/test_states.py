@@ -1,5 +1,6 @@
 """Folds by hand, streams in one batch and in many against the same fold over the table, and sinks whose batches come again."""
 
+import pickle
 import random
 
 import pytest
@@ -172,3 +173,39 @@ def test_upsert_sink(spark, tmp_path):
     write(batch(spark, (1, 8, 90), (2, 9, 6), (3, 1, 1)), 1)
     write(batch(spark, (1, 8, 90), (2, 9, 6), (3, 1, 1)), 1)
     assert sorted(map(tuple, table.read(spark).collect())) == [(1, 7, 100), (2, 9, 6), (3, 1, 1)]
+
+
+class Store(dict):
+    """A key's values and pieces as a processor sees them; counts the pieces in it."""
+
+    def __init__(self):
+        self.most = 0
+
+    def updateValue(self, place, value):
+        self[place] = value
+        self.most = max(self.most, len(self))
+
+    def getValue(self, place):
+        return self[place]
+
+    removeKey = dict.pop
+
+
+def test_rows_of_a_large_key_wait_in_pieces_that_open_when_due(monkeypatch):
+    monkeypatch.setattr(stateful, "BATCH", 64)
+    monkeypatch.setattr(stateful, "PIECE", 8)
+    folded, pieces = stateful.Folded(folds.Coverage(HOUR, HOUR), ["source"]), Store()
+    folded.pieces = pieces
+    rows = [(t // 2, t % 3 and t, False) for t in range(1000)]
+    shuffled = random.Random(3).sample(rows, 1000)
+    places, upto = [], 250
+    for i in range(0, 1000, 64):
+        some = sorted(shuffled[i : i + 64], key=stateful.order)
+        places += [folded.put(some[j : j + 8]) for j in range(0, len(some), 8)]
+    few = [(0, -1, True), (250, 9999, True)]
+    opened = []
+    left = sorted(places)
+    for row in folded.due(left, few, upto):
+        opened.append(row)
+    assert opened == sorted([r for r in rows if r[0] <= upto] + few, key=stateful.order)
+    assert sorted(r for p in left for r in pickle.loads(pieces[p][0])) == [r for r in rows if r[0] > upto] and sorted(left) == sorted(pieces)
