@@ -191,7 +191,7 @@ class Store(dict):
     removeKey = dict.pop
 
 
-def test_rows_of_a_large_key_wait_in_pieces_that_open_when_due(monkeypatch):
+def test_rows_of_a_large_key_wait_in_pieces_that_open_when_due(spark, monkeypatch):
     monkeypatch.setattr(stateful, "BATCH", 64)
     monkeypatch.setattr(stateful, "PIECE", 8)
     folded, pieces = stateful.Folded(folds.Coverage(HOUR, HOUR), ["source"]), Store()
