@@ -49,6 +49,7 @@ def keep_one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Of rows that repeat both that id and the text the least by all columns stays; other columns have no say; no rows give none.
     """
+    release(spark)  # what finished stages left on the driver, which weighs where they had many tasks
     found = exact_dedup.exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     found = checkpointed(found)
     rows = rows_of(docs, lower_ascii(F.col("text"))).alias("a")
@@ -67,6 +68,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Texts without words (null, empty) have no links and stay; rows that repeat an id and a text stay or
     go together; other columns have no say; no rows give none.
     """
+    release(spark)  # what finished stages left on the driver, which weighs where they had many tasks
     key = F.coalesce("doc_id", F.lit(ngram_join.NO_ID))
     linked = checkpointed(ngram_join.ngram_join(docs, digests=True).where("root IS NOT NULL").select(key.alias("id"), "digest", "root"))
     release(spark)
@@ -82,6 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id and a source are taken alike, null ids and sources among them; a null text
     has no words and comes as often as others at its place; all columns are kept; no rows give none.
     """
+    release(spark)  # what finished stages left on the driver, which weighs where they had many tasks
     times = mixing.mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("repeats").cast("int").alias("repeats")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source"))
@@ -90,6 +93,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into sequences; every row is packed, null texts as empty ones, repeated rows as often as they come."""
+    release(spark)  # what finished stages left on the driver, which weighs where they had many tasks
     return packing.pack(docs, remembered=REMEMBERED)
 
 

@@ -208,4 +208,4 @@ def test_rows_of_a_large_key_wait_in_pieces_that_open_when_due(spark, monkeypatc
     for row in folded.due(left, few, upto):
         opened.append(row)
     assert opened == sorted([r for r in rows if r[0] <= upto] + few, key=stateful.order)
-    assert sorted(r for p in left for r in pickle.loads(pieces[p][0])) == [r for r in rows if r[0] > upto] and sorted(left) == sorted(pieces)
+    assert sorted(r for p in left for r in pickle.loads(pieces[p][0])) == sorted(r for r in rows if r[0] > upto) and sorted(left) == sorted(pieces)
