@@ -4,6 +4,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,22 @@ def test_days_beyond_a_tasks_bound_give_the_same_permutation(spark, monkeypatch)
     near = order(resample.within_day_permutation(*args))
     monkeypatch.setattr(resample, "MOST_ROWS", 5)
     assert order(resample.within_day_permutation(*args)) == near and len(near) == 14
+
+
+# ---- larger tables
+
+def test_spearman_of_large_keys(spark, monkeypatch):
+    """Against ranks by pandas, ties, nulls and one value only included; no window holds a key's rows, broadcast or not."""
+    rng = np.random.default_rng(4)
+    data = [(["x", "y", None][i % 3], None if i % 11 == 0 else float(a), float(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 9, 600), rng.integers(-50, 50, 600), strict=True))]
+    rows = spark.createDataFrame([*data, ("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)], "k string, a double, b double")
+    own = pd.DataFrame(data, columns=["k", "a", "b"]).fillna({"a": -1.0, "k": "null"})
+    want = {k: g["a"].rank().corr(g["b"].rank()) for k, g in own.groupby("k")}
+    for most in (100_000, 0):
+        monkeypatch.setattr(stats, "MOST_BROADCAST", most)
+        found = stats.spearman(rows, ["k"], "a", "b")
+        assert "windowspecdefinition(k#" not in found._jdf.queryExecution().toString()
+        got = {r["k"] or "null": r["rho"] for r in found.collect()}
+        assert got.pop("one") is None and got.pop("flat") is None and got == pytest.approx(want, abs=1e-12)
+    whole = own["a"].rank().corr(own["b"].rank())
+    assert stats.spearman(rows.where("k IS NULL OR k IN ('x', 'y')"), [], "a", "b").first()["rho"] == pytest.approx(whole, abs=1e-12)
