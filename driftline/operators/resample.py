@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from driftline.session import checkpointed
+
 M = 2_147_483_647
-#: Replicates that a task draws at once, and rows of a day that it holds.
-REPS, MOST_ROWS = 100, 1_000_000
+#: Replicates that a task draws at once, rows of a day that it holds, and draws of rows for replicates that it makes at once (they stay in a core's cache).
+REPS, MOST_ROWS, CELLS = 100, 1_000_000, 32_768
 
 
 def draw(seed: int, rep: Column, place: Column) -> Column:
@@ -48,6 +52,43 @@ def draws(seed: int, rep: np.ndarray, place: np.ndarray) -> np.ndarray:
     return x
 
 
+def draw_table(seed: int, rep: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As `draws`, (replicates, places) in 32 bits: a remainder by M = 2^31 - 1 is a sum of high and low bits, less M where that is not below it."""
+    of_rep = ((rep.astype(np.int64) * 48271 + seed * 69621 + 1) % M).astype(np.uint64)
+    of_place = (place.astype(np.int64) * 16807 % M).astype(np.uint64)
+    out = np.empty((len(rep), len(place)), np.uint32)
+    step = max(1, CELLS // max(1, len(place)))
+    for i in range(0, len(rep), step):
+        for j in range(0, len(place), CELLS):
+            x = of_rep[i : i + step, None] + of_place[None, j : j + CELLS]  # below 2 M, which a factor's remainder allows
+            high = np.empty_like(x)
+            y = np.empty(x.shape, np.uint32)
+            other = np.empty_like(y)
+            for a, c in ((48271, 11), (69621, 7), (16807, 3)):
+                x *= np.uint64(a)
+                x += np.uint64(c)
+                np.right_shift(x, np.uint64(31), out=high)
+                x &= np.uint64(M)
+                x += high
+                np.copyto(y, x, casting="unsafe")  # below 2^32
+                np.minimum(y, np.subtract(y, np.uint32(M), out=other), out=y)  # below M the difference wraps and is the larger
+                y += np.right_shift(y, np.uint32(13), out=other)
+                np.minimum(y, np.subtract(y, np.uint32(M), out=other), out=y)
+                np.copyto(x, y)
+            out[i : i + step, j : j + CELLS] = y
+    return out
+
+
+def smallest(numbers: np.ndarray, k: int) -> np.ndarray:
+    """Where the k smallest numbers of each line are, the first ones of equal numbers."""
+    last = np.partition(numbers, k - 1, axis=1)[:, k - 1 : k]
+    found = numbers <= last
+    for line in np.flatnonzero(np.count_nonzero(found, axis=1) > k):
+        equal = np.flatnonzero(numbers[line] == last[line])
+        found[line, equal[k - np.count_nonzero(numbers[line] < last[line]) :]] = False
+    return found
+
+
 def blocks(rows: DataFrame, keys: list[str], day: str, value: Column) -> DataFrame:
     """keys, days: of each key the sums and counts of its days, in order; one entry a day, so a few thousand at most."""
     days = rows.groupBy(*keys, day).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
@@ -128,32 +169,37 @@ def within_day_permutation(rows: DataFrame, day: str, signal: str, identity: lis
     """
     marked = rows.select(*keys, F.col(day).alias("__day"), value.alias("__v"), number.cast("long").alias("__x"), *[F.col(c).cast("long").alias(f"__i{i}") for i, c in enumerate(identity)], F.col(signal).alias("__signal"))
     days = [*keys, "__day"]
-    sizes = marked.groupBy(*[F.col(c).alias(f"__of_{c}") for c in days]).agg(F.count_if("__signal").alias("__k"), F.count(F.lit(1)).alias("__rows")).where("__k > 0")
-    counted = marked.join(sizes, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in days])).drop("__signal", *[f"__of_{c}" for c in days])
+    sizes = marked.groupBy(*[F.col(c).alias(f"__of_{c}") for c in days]).agg(F.count_if("__signal").alias("__k"), F.count(F.lit(1)).alias("__rows"))
+    beyond = F.broadcast(checkpointed(sizes.where(F.col("__rows") > MOST_ROWS)))  # a day for each MOST_ROWS rows at most
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in days])
     order = [f"__i{i}" for i in range(len(identity))]
-    large = counted.where(F.col("__rows") > MOST_ROWS).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    large = marked.join(beyond, same).where("__k > 0").drop("__signal", *[f"__of_{c}" for c in days]).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     place = Window.partitionBy(*keys, "rep", "__day").orderBy(draw(seed, F.col("rep"), F.col("__x")), *order)
     far = large.select(*keys, "rep", "__v", "__k", F.row_number().over(place).alias("__r")).where("__r <= __k").groupBy(*keys, "rep").agg(F.sum("__v").cast("double").alias("__s"), F.count("__v").alias("__n"))
-    near = drawn(counted.where(F.col("__rows") <= MOST_ROWS), list(keys), order, reps, seed)
+    near = drawn(marked.join(beyond, same, "left_anti"), list(keys), order, reps, seed)
     return far.unionByName(near).groupBy(*keys, "rep").agg((F.sum("__s") / F.sum("__n")).alias("mean"))
 
 
-def drawn(counted: DataFrame, keys: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
-    """keys, rep, __s, __n: sums over a task's days of the rows drawn in each replicate."""
-    kinds = counted.select(*keys).schema
+def drawn(marked: DataFrame, keys: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
+    """keys, rep, __s, __n: sums over a task's days of the rows drawn in each replicate; days without a signal draw none."""
+    kinds = marked.select(*keys).schema
     schema = StructType([*kinds.fields, *StructType.fromDDL("rep int, __s double, __n long").fields])
     arrow = to_arrow_schema(schema)
+    days = [*keys, "__day"]
 
-    def one_day(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        table = table.sort_by([(c, "ascending") for c in order])  # draws are sorted stably, so this settles equal ones
+    def one_day(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+        table = table.sort_by([(c, "ascending") for c in order])  # the first of equal draws is taken
         v = table.column("__v").to_numpy().astype(np.float64)
-        x, k = table.column("__x").to_numpy(), table.column("__k")[0].as_py()
-        s, n = np.zeros(reps), np.zeros(reps, np.int64)
-        step = max(1, MOST_ROWS // len(x))  # replicates at once
+        x, known = table.column("__x").to_numpy(), ~np.isnan(v)
+        s, n = np.zeros(reps), np.full(reps, k, np.int64)
+        step = max(1, CELLS // len(x))  # replicates at once
         for first in range(0, reps, step):
             rep = np.arange(first, min(first + step, reps))
-            got = v[np.argsort(draws(seed, rep[:, None], x[None, :]), axis=1, kind="stable")[:, :k]]
-            s[rep], n[rep] = np.nansum(got, axis=1), np.count_nonzero(~np.isnan(got), axis=1)
+            got = smallest(draw_table(seed, rep, x), k)
+            if np.isfinite(v).all():
+                s[rep] = got @ v
+            else:
+                s[rep], n[rep] = np.where(got & known, v, 0).sum(1), np.count_nonzero(got & known, axis=1)
         return s, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,26 +208,26 @@ def drawn(counted: DataFrame, keys: list[str], order: list[str], reps: int, seed
         now: tuple | None = None
 
         def end() -> None:
-            if held:
-                s, n = one_day(pa.Table.from_batches(held))
+            table = pa.Table.from_batches(held) if held else None
+            k = (pc.sum(table.column("__signal")).as_py() or 0) if held else 0
+            if k:
+                s, n = one_day(table, k)
                 got = sums.setdefault(now[:-1], [np.zeros(reps), np.zeros(reps, np.int64)])
                 got[0] += s
                 got[1] += n
-                held.clear()
+            held.clear()
 
         for batch in batches:
-            of = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "__day")), strict=True))
-            start = 0
-            for at in range(1, len(of) + 1):
-                if at == len(of) or of[at] != of[start]:
-                    if of[start] != now:
-                        end()
-                        now = of[start]
-                    held.append(batch.slice(start, at - start))
-                    start = at
+            changes = [np.diff(batch.column(c).dictionary_encode("encode").indices.to_numpy()) != 0 for c in days]
+            ends = [0, *(np.flatnonzero(np.any(changes, axis=0)) + 1), batch.num_rows] if batch.num_rows else []
+            for start, stop in pairwise(ends):
+                of = tuple(batch.column(c)[start].as_py() for c in days)
+                if of != now:
+                    end()
+                    now = of
+                held.append(batch.slice(start, stop - start).drop_columns(days))
         end()
         for key, (s, n) in sums.items():
             yield pa.RecordBatch.from_arrays([*[pa.array([x] * reps, arrow.field(i).type) for i, x in enumerate(key)], pa.array(range(reps), pa.int32()), pa.array(s), pa.array(n)], schema=arrow)
 
-    days = [*keys, "__day"]
-    return counted.repartition(*days).sortWithinPartitions(*days).mapInArrow(run, schema)
+    return marked.repartition(*days).sortWithinPartitions(*days).mapInArrow(run, schema)

@@ -324,3 +324,29 @@ def test_spearman_of_large_keys(spark, monkeypatch):
         assert got.pop("one") is None and got.pop("flat") is None and got == pytest.approx(want, abs=1e-12)
     whole = own["a"].rank().corr(own["b"].rank())
     assert stats.spearman(rows.where("k IS NULL OR k IN ('x', 'y')"), [], "a", "b").first()["rho"] == pytest.approx(whole, abs=1e-12)
+
+
+def test_draws_of_a_day_are_the_same_and_faster(spark):
+    """Against `draws` and a stable sort, equal draws, long days and unknown values included."""
+    rng = np.random.default_rng(1)
+    for n, k in ((1, 1), (3, 2), (40, 40), (2400, 1600), (40_000, 9)):
+        place, rep = rng.integers(0, 5_000_000_000, n), np.arange(30)
+        assert (resample.draw_table(5, rep, place) == resample.draws(5, rep[:, None], place[None, :])).all()
+        few = resample.draw_table(5, rep, place) % max(2, n // 2)
+        want = np.zeros(few.shape, bool)
+        np.put_along_axis(want, np.argsort(few, axis=1, kind="stable")[:, :k], True, 1)
+        assert (resample.smallest(few, k) == want).all()
+    place, rep = rng.integers(0, 5_000_000_000, 2400), np.arange(100)
+
+    def seconds(work):
+        began = time.perf_counter()
+        work()
+        return time.perf_counter() - began
+
+    sorting, taking = (min(seconds(w) for _ in range(3)) for w in (lambda: np.argsort(resample.draws(5, rep[:, None], place[None, :]), axis=1, kind="stable"), lambda: resample.smallest(resample.draw_table(5, rep, place), 1600)))
+    assert taking < sorting / 2
+    rows = spark.createDataFrame([(i, i % 3 > 0, None if i % 4 == 0 else float("inf") if i == 1 else float(i)) for i in range(40)], "n long, signal boolean, v double").withColumn("day", F.lit("d"))
+    drawn = {rep: sorted((draw(3, rep, i), i) for i in range(40))[:26] for rep in range(20)}
+    values = {rep: [float("inf") if i == 1 else float(i) for _, i in of if i % 4] for rep, of in drawn.items()}
+    got = {r["rep"]: r["mean"] for r in resample.within_day_permutation(rows, "day", "signal", ["n"], F.col("v"), 20, 3, F.col("n")).collect()}
+    assert got == pytest.approx({rep: sum(v) / len(v) for rep, v in values.items()}) and len(set(got.values())) > 2
