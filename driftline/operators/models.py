@@ -68,78 +68,86 @@ def splits_of(n: int) -> list[tuple[int, int]]:
 
 def placed(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], at: str) -> DataFrame:
     """id, y, features (missing ones as the fold-blind median), test (fold), and for each fold place_<fold>: a training row's place in time, else null."""
-    roles = members.groupBy("id").agg(F.collect_set(F.when(F.col("role") == "train", F.col("fold"))).alias("__trains"), F.max(F.when(F.col("role") == "test", F.col("fold"))).alias("test"))
-    wide = rows.join(roles, "id").select("id", F.col(at).alias("__at"), F.col("y").cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features], "test", "__trains")
+    trains = [f"__train_{k}" for k in folds]
+    roles = members.groupBy("id").agg(*[F.coalesce(F.max((F.col("role") == "train") & (F.col("fold") == k)), F.lit(False)).alias(c) for k, c in zip(folds, trains, strict=True)], F.max(F.when(F.col("role") == "test", F.col("fold"))).alias("test"))
+    wide = checkpointed(rows.join(roles, "id").select("id", F.col(at).alias("__at"), F.col("y").cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features], "test", *trains))
     medians = wide.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
-    wide = wide.select("id", "__at", "y", *[F.coalesce(f, F.lit(medians[f] or 0.0)).alias(f) for f in features], "test", "__trains")
-    inside = {k: F.array_contains("__trains", F.lit(k)) for k in folds}
+    wide = wide.select("id", "__at", "y", *[F.coalesce(f, F.lit(medians[f] or 0.0)).alias(f) for f in features], "test", *trains)
+    inside = {k: F.col(c) for k, c in zip(folds, trains, strict=True)}
     run = stats.running(wide, F.struct("__at", "id"), **{f"place_{k}": inside[k].cast("long") for k in folds})
     return run.select("id", "y", *features, "test", *[F.when(inside[k], F.col(f"place_{k}")).alias(f"place_{k}") for k in folds])
 
 
 class Logits:
-    """Logistic regressions of all folds, inner splits and penalties, fitted together; and what they say."""
+    """Logistic regressions of all folds, inner splits and penalties, fitted together; and what they say.
+
+    Fits see a row by label, features and, in each fold, between which splits it lies; rows alike in these are one with their number as its weight.
+    """
 
     def __init__(self, table: DataFrame, features: list[str], folds: list[int]):
         """table: see `placed`; a checkpoint."""
         self.table, self.features, self.folds = table, features, folds
         sizes = table.agg(*[F.count(f"place_{k}").alias(f"n_{k}") for k in folds]).first()
         self.splits = {k: splits_of(sizes[f"n_{k}"]) for k in folds}
-        #: fold, place before which rows are fitted, split (-1: all training rows), penalty
-        self.of = [(k, upto, split, c) for k in folds for split, upto in [(-1, sizes[f"n_{k}"]), *enumerate(a for a, _ in self.splits[k])] for c in PENALTIES]
-        bounds = np.array([upto for _, upto, _, _ in self.of])
-        columns = [f"place_{k}" for k, _, _, _ in self.of]
+        #: fold, split (-1: all training rows), penalty
+        self.of = [(k, split, c) for k in folds for split in range(-1, len(self.splits[k])) for c in PENALTIES]
+        #: __part_<fold>: how many of the fold's splits a training row's place has reached, so split s is fitted to parts up to s and holds part s + 1 out; -1: no training row
+        parts = [F.when(F.col(f"place_{k}").isNull(), -1).otherwise(sum([(F.col(f"place_{k}") >= a).cast("int") for a, _ in self.splits[k]], F.lit(0))).alias(f"__part_{k}") for k in folds]
+        alike = ["y", *features, *[f"__part_{k}" for k in folds]]
+        self.alike = checkpointed(table.select("y", *features, *parts).groupBy(*alike).agg(F.count(F.lit(1)).alias("__rows")))
+        of = self.of
 
         def weigh(batch: pa.RecordBatch) -> np.ndarray:
-            place = {c: batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in set(columns)}
-            return np.stack([(place[c] >= 0) & (place[c] < b) for c, b in zip(columns, bounds, strict=True)]).astype(np.float64)
+            part = {k: batch.column(f"__part_{k}").to_numpy() for k in folds}
+            return np.stack([(part[k] >= 0) & ((s < 0) | (part[k] <= s)) for k, s, _ in of]) * batch.column("__rows").to_numpy().astype(np.float64)
 
-        self.fits = newton.fit(table, features, weigh, len(self.of), np.array([1 / c for *_, c in self.of]))
+        self.fits = newton.fit(self.alike, features, weigh, len(self.of), np.array([1 / c for *_, c in self.of]))
         self.chosen = self.tuned()
         self.full = {k: self.number(k, -1) for k in folds}
 
     def number(self, fold: int, split: int) -> int:
-        return next(i for i, (k, _, s, c) in enumerate(self.of) if (k, s, c) == (fold, split, self.chosen[fold]))
+        return next(i for i, (k, s, c) in enumerate(self.of) if (k, s, c) == (fold, split, self.chosen[fold]))
 
     def tuned(self) -> dict[int, float]:
         """The penalty of each fold with the least mean Brier loss over its inner splits; 1 without two of them."""
-        held = [i for i, (k, _, s, _) in enumerate(self.of) if s >= 0 and self.fits.usable[i]]
-        span = {i: self.splits[self.of[i][0]][self.of[i][2]] for i in held}
+        held = [i for i, (_, s, _) in enumerate(self.of) if s >= 0 and self.fits.usable[i]]
         fits, features, of = self.fits, self.features, self.of
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, n = np.zeros(len(of)), np.zeros(len(of))
             for batch in batches:
-                error = (fits.probabilities(newton.matrix(batch, features)) - batch.column("y").to_numpy(zero_copy_only=False)[:, None]) ** 2
+                rows = batch.column("__rows").to_numpy()
+                error = (fits.probabilities(newton.matrix(batch, features)) - batch.column("y").to_numpy(zero_copy_only=False)[:, None]) ** 2 * rows[:, None]
                 for i in held:
-                    place = batch.column(f"place_{of[i][0]}").fill_null(-1).to_numpy(zero_copy_only=False)
-                    mine = (place >= span[i][0]) & (place < span[i][1])
+                    mine = batch.column(f"__part_{of[i][0]}").to_numpy() == of[i][1] + 1
                     loss[i] += error[mine, i].sum()
-                    n[i] += mine.sum()
+                    n[i] += rows[mine].sum()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(of)), pa.int32()), pa.array(loss), pa.array(n)], names=["fit", "loss", "n"])
 
-        sums = {r["fit"]: r["loss"] / r["n"] for r in self.table.mapInArrow(run, "fit int, loss double, n double").groupBy("fit").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect() if r["n"]}
+        sums = {r["fit"]: r["loss"] / r["n"] for r in self.alike.mapInArrow(run, "fit int, loss double, n double").groupBy("fit").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect() if r["n"]}
         best = {}
         for k in self.folds:
-            means = {c: np.mean([sums[i] for i in held if of[i][0] == k and of[i][3] == c]) for c in PENALTIES if any(of[i][0] == k and of[i][3] == c for i in held)}
+            means = {c: np.mean([sums[i] for i in held if of[i][0] == k and of[i][2] == c]) for c in PENALTIES if any(of[i][0] == k and of[i][2] == c for i in held)}
             best[k] = min(means, key=means.get) if means else 1.0
         return best
 
-    def told(self) -> DataFrame:
-        """fold, split, id, y, p, z (log-odds), role: test rows by the fold's model (split -1) and its splits' models, and each split's held-out rows by that split's model."""
-        fits, features, of = self.fits, self.features, self.of
-        whole, parts = self.full, {(k, s): self.number(k, s) for k in self.folds for s in range(len(self.splits[k]))}
+    def told(self, inner: bool = True) -> DataFrame:
+        """fold, split, id, y, p, z (log-odds), role: test rows by the fold's model (split -1) and, if `inner`, its splits' models, and each split's held-out rows by that split's model."""
+        fits, features = self.fits, self.features
+        whole, parts = self.full, {(k, s): self.number(k, s) for k in self.folds for s in range(len(self.splits[k]) if inner else 0)}
         parts = {ks: i for ks, i in parts.items() if fits.usable[i]}
         spans = {ks: self.splits[ks[0]][ks[1]] for ks in parts}
         kind = self.table.schema["id"].dataType.simpleString()
         schema = f"fold int, split int, id {kind}, y double, p double, z double, role string"
+        asked = [*(((k, -1), i) for k, i in whole.items()), *parts.items()]
+        slope, intercept = (c[[i for _, i in asked]] for c in (fits.slope, fits.intercept))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = newton.matrix(batch, features), batch.column("y").to_numpy(zero_copy_only=False)
-                z = x @ fits.slope.T + fits.intercept
+                z = x @ slope.T + intercept
                 test = batch.column("test").fill_null(-1).to_numpy(zero_copy_only=False)
-                for (k, s), i in [*(((k, -1), i) for k, i in whole.items()), *parts.items()]:
+                for i, ((k, s), _) in enumerate(asked):
                     sets = [("test", test == k)]
                     if s >= 0:
                         place = batch.column(f"place_{k}").fill_null(-1).to_numpy(zero_copy_only=False)
@@ -217,8 +225,8 @@ def logistic_frame(rows: DataFrame, members: DataFrame, features: list[str], fol
 def out_of_fold(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], kind: str = "logistic", at: str = "at") -> DataFrame:
     """fold, id, y, p of each test row, predicted by a model that saw only its fold's training rows; the penalty of logistic regression is tuned on those too."""
     if kind == "logistic":
-        told = Logits(checkpointed(placed(rows, members, features, folds, at)), features, folds).told()
-        return told.where("split = -1").select("fold", "id", F.col("y").cast("int").alias("y"), "p")
+        told = Logits(checkpointed(placed(rows, members, features, folds, at)), features, folds).told(inner=False)
+        return told.select("fold", "id", F.col("y").cast("int").alias("y"), "p")
     sides = lambda fold, role: rows.join(members.where((F.col("fold") == fold) & (F.col("role") == role)), "id")
     out = None
     for fold, model in zip(folds, of_each(lambda fold: boosted(sides(fold, "train"), features), folds), strict=True):

@@ -350,3 +350,24 @@ def test_draws_of_a_day_are_the_same_and_faster(spark):
     values = {rep: [float("inf") if i == 1 else float(i) for _, i in of if i % 4] for rep, of in drawn.items()}
     got = {r["rep"]: r["mean"] for r in resample.within_day_permutation(rows, "day", "signal", ["n"], F.col("v"), 20, 3, F.col("n")).collect()}
     assert got == pytest.approx({rep: sum(v) / len(v) for rep, v in values.items()}) and len(set(got.values())) > 2
+
+
+def test_logistic_fits_see_rows_that_are_alike_once(spark):
+    """Weights of alike rows give what every row alone gives, and copies of a table add none."""
+    rng = np.random.default_rng(6)
+    data = [(i, i, float(a), int(v)) for i, (a, v) in enumerate(zip(rng.integers(0, 4, 400), rng.random(400) < 0.4, strict=True))]
+
+    def fitted(own):
+        rows = spark.createDataFrame(own, "id long, at long, a double, y int")
+        members = rows.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("fold"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("role"))
+        return models.Logits(checkpointed(models.placed(rows, members, ["a"], [1, 2], "at")), ["a"], [1, 2])
+
+    one, many = fitted(data), fitted([(i * 10 + k, at, a, y) for i, at, a, y in data for k in range(10)])
+    assert one.alike.count() <= 2 * 4 * 5 and one.alike.agg(F.sum("__rows")).first()[0] == 400 and many.alike.count() <= 2 * 4 * 5
+    x, y = np.array([a for i, _, a, _ in data if i % 5]), np.array([v for i, _, _, v in data if i % 5])
+    got = {ks: (one.fits.n[i], one.fits.positive[i]) for i, ks in enumerate(one.of) if ks[2] == 1.0}
+    assert got == {(k, s, 1.0): (u, y[:u].sum()) for k in (1, 2) for s, u in ((-1, 320), (0, 80), (1, 160), (2, 240))}
+    p = one.fits.probabilities(x[:, None])[:240, one.of.index((1, 2, 0.1))]
+    assert (p - y[:240]).sum() == pytest.approx(0, abs=1e-6)  # the intercept of the split's fit is free
+    told = one.told(inner=False).collect()
+    assert {(r["fold"], r["id"]) for r in told} == {(k, i) for k in (1, 2) for i in range(0, 400, 5) if k == 2} and {(r["split"], r["role"]) for r in told} == {(-1, "test")}
