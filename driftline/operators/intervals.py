@@ -182,8 +182,8 @@ def paired_differences(rows: DataFrame, left: str, right: str, reps: int = 1_000
 def coefficients(rows: DataFrame, features: list[str], c: float = 1.0, reps: int = 1_000, seed: int = 1) -> DataFrame:
     """feature, coefficient, low, high of a logistic regression with ridge penalty 1 / c on scaled features, refitted to resampled days.
 
-    All replicates take Newton steps together: a round is one pass, whose gradients and Hessians are
-    summed by tasks; the driver solves a small system a replicate. Every replicate scales by its own
+    All replicates take Newton steps together: a round is one pass over the rows, those alike in day,
+    label and features as one with a weight, whose gradients and Hessians are summed by tasks; the driver solves a small system a replicate. Every replicate scales by its own
     spread. Missing features are filled with the whole table's median. rows: y, day and the features;
     rows whose y is neither 0 nor 1 or whose day is null take no part; without rows there are none.
     """
@@ -195,9 +195,10 @@ def coefficients(rows: DataFrame, features: list[str], c: float = 1.0, reps: int
     if not days:
         return spark.createDataFrame([], schema)
     number = spark.createDataFrame(list(enumerate(days)), f"i int, day {fine.schema['day'].dataType.simpleString()}")
-    filled = checkpointed(fine.join(F.broadcast(number), "day").select("i", "y", *[F.coalesce(F.nanvl(f, F.lit(None).cast("double")), F.lit(medians[f] or 0.0)).alias(f) for f in features]))
+    filled = fine.join(F.broadcast(number), "day").select("i", "y", *[F.coalesce(F.nanvl(f, F.lit(None).cast("double")), F.lit(medians[f] or 0.0)).alias(f) for f in features])
+    alike = checkpointed(filled.groupBy("i", "y", *features).agg(F.count(F.lit(1)).alias("__rows")))
     w = weights(seed, reps, len(days))
-    found = newton.fit(filled, features, lambda batch: w[:, batch.column("i").to_numpy()], len(w), 1 / c)
+    found = newton.fit(alike, features, lambda batch: w[:, batch.column("i").to_numpy()] * batch.column("__rows").to_numpy(), len(w), 1 / c)
     drawn = found.beta[1:, :-1][found.usable[1:]]
     low, high = (np.quantile(drawn, q, axis=0) if len(drawn) else np.full(len(features), np.nan) for q in (0.025, 0.975))
     return spark.createDataFrame([(f, float(found.beta[0, j]), *(None if np.isnan(x[j]) else float(x[j]) for x in (low, high))) for j, f in enumerate(features)], schema)

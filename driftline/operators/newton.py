@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows times fits that a task works on at once.
-CELLS = 2_000_000
+#: Rows times fits that a task works on at once; a step holds some ten arrays of as many doubles.
+CELLS = 250_000
 Weigh = Callable[[pa.RecordBatch], np.ndarray]
 
 

@@ -182,3 +182,15 @@ def test_permutations_deal_every_value_once(spark):
     models.permutation_importance(lambda df: seen.append(df) or df.withColumn("p", F.col("a")), rows, ["a"], repeats=4)
     many = next(df for df in seen if "feature" in df.columns)
     assert sorted(r["a"] for r in many.collect()) == sorted(float(i) for i in range(101) for _ in range(4))
+
+
+def test_coefficients_see_rows_that_are_alike_once(spark, monkeypatch):
+    """Ten copies of a table are no more rows to Newton's steps, and a step's arrays stay below 2 MB each."""
+    from driftline.operators import newton
+
+    seen, fit = [], newton.fit
+    monkeypatch.setattr(newton, "fit", lambda rows, *a, **k: seen.append(rows.count()) or fit(rows, *a, **k))
+    data = [(i % 7, i % 3, int(i * i % 5 < 2)) for i in range(90)]
+    for own in (data, data * 10):
+        intervals.coefficients(spark.createDataFrame([(d, float(a), y) for d, a, y in own], "day int, a double, y int"), ["a"], reps=5)
+    assert seen == [len(set(data))] * 2 and newton.CELLS * 8 <= 2_000_000
