@@ -86,6 +86,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     release(spark)  # what finished stages left on the driver, which weighs where they had many tasks
     times = mixing.mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("repeats").cast("int").alias("repeats")).distinct()
+    release(spark)
     rows = docs.select(F.struct("*").alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source"))
     return rows.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select("row.*")

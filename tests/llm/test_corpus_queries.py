@@ -4,6 +4,7 @@ import html
 import os
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from driftline.llm import mixing, queries
+from driftline.session import release
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +93,26 @@ def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_released_driver_keeps_no_unused_native_memory(spark):
+    jvm = spark.sparkContext._jvm
+    own = jvm.java.lang.ProcessHandle.current().pid()
+
+    def native():
+        heap = jvm.java.lang.management.ManagementFactory.getMemoryMXBean().getHeapMemoryUsage().getCommitted() / 2**20
+        kept = int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{own}/smaps_rollup").read_text())[1]) / 1024
+        return kept, heap
+
+    found = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # each some 130 kB that the C library deals out
+    for i, x in enumerate(found):
+        if i % 50:
+            x.end()
+    jvm.System.gc()
+    before, heap = native()
+    release(spark)
+    after, heap_after = native()
+    assert before - after > 60 + max(0, heap - heap_after)
+
+
 def test_pipeline_keeps_texts_without_a_language_model(spark, docs):
     rows = docs.withColumn("lang", F.lit(None).cast("string"))
     got = corpus_pipeline.keep_known_languages(spark, rows, SF)
