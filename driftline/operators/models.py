@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,11 +18,13 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators import newton, stats
+from driftline.operators import boosting, newton, stats
 from driftline.session import checkpointed
 
 #: Penalties tried, the smallest first.
 PENALTIES = (0.01, 0.1, 1.0, 10.0)
+#: Rows that differ in label and features that a task of boosted trees gets; up to as many MLlib, too, takes thresholds from all of them.
+SHARE = 10_000
 
 
 def pipeline(features: list[str], kind: str = "logistic", c: float = 1.0, n: int = 100) -> Pipeline:
@@ -38,24 +41,71 @@ def pipeline(features: list[str], kind: str = "logistic", c: float = 1.0, n: int
 def boosted(train: DataFrame, features: list[str]) -> PipelineModel:
     """Medians and boosted trees of `pipeline(features, "boosting")`; rows that agree in label and filled features are one with their number as its weight.
 
-    Trees see a row by these only, so each round costs by how many of them differ.
+    Trees see a row by these only, so each round costs by how many of them differ; its jobs have as many tasks as these need, not as the session shuffles by.
     """
     imputer, assembler, trees = pipeline(features, "boosting").getStages()
     medians = imputer.fit(train)
     filled = imputer.getOutputCols()
     weighed = assembler.transform(medians.transform(train).groupBy("y", *filled).agg(F.count(F.lit(1)).cast("double").alias("weight__"))).select("y", "weight__", assembler.getOutputCol()).cache()
     try:
-        return PipelineModel([medians, assembler, trees.setWeightCol("weight__").fit(weighed)])
+        shares = math.ceil(weighed.count() / SHARE)
+        return PipelineModel([medians, assembler, trees.setWeightCol("weight__").fit(weighed.coalesce(max(1, shares)))])
     finally:
         weighed.unpersist()
 
 
+def sided(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int]) -> tuple[DataFrame, Callable]:
+    """id, y and features of the members, met with their folds once, and side(fold, role) of them; a row's sides are a character a fold: 1 train, 2 test, 3 both."""
+    code = F.when(F.col("role") == "train", 1).when(F.col("role") == "test", 2)
+    sides = members.groupBy("id").agg(F.concat(*[F.coalesce(F.bit_or(F.when(F.col("fold") == k, code)), F.lit(0)).cast("string") for k in folds]).alias("sides__"))
+    met = checkpointed(rows.join(sides, "id").select("id", "y", *features, "sides__"))
+    return met, lambda fold, role: met.where(F.substring("sides__", folds.index(fold) + 1, 1).isin("3", "1" if role == "train" else "2")).drop("sides__")
+
+
 def of_each(work: Callable, items: list) -> list:
     """work(item) of each item, side by side, as small jobs of one leave most tasks' places free."""
     with ThreadPoolExecutor(max(1, len(items))) as pool:
         return list(pool.map(inheritable_thread_target(work), items))
 
 
+def boosters(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int]) -> tuple[Callable, dict[int, Callable]]:
+    """side(fold, role), see `sided`, and of each fold what adds p, by medians and boosted trees of its training rows, to rows with the features.
+
+    Where a fold's training rows differ in at most SHARE ways, its 120 rounds are one task's work; such folds are fitted in one job. Others are `boosted` side by side, each level of a tree a job.
+    """
+    met, side = sided(rows, members, features, folds)
+    trees = pipeline(features, "boosting").getStages()[-1]
+    given = {f: F.nanvl(F.col(f).cast("double"), F.lit(None)) for f in features}
+    alike = met.groupBy("y", *[v.alias(f) for f, v in given.items()], "sides__").agg(F.count(F.lit(1)).alias("rows__"))
+    train = lambda k: F.substring("sides__", folds.index(k) + 1, 1).isin("1", "3")
+    parts = F.filter(F.array(*[F.when(train(k), k) for k in folds]), lambda k: k.isNotNull())
+    own = alike.select("*", F.explode(parts).alias("fold")).groupBy("fold", "y", *features).agg(F.sum("rows__").cast("double").alias("rows__"))
+    few = [r["fold"] for r in own.groupBy("fold").count().where(F.col("count") <= SHARE).collect()]
+    middle = met.agg(*[F.percentile_approx(F.when(train(k), v), 0.5, 1000).alias(f"{f}__{k}") for k in few for f, v in given.items()]).first() if few else {}
+    medians = {k: np.array([middle[f"{f}__{k}"] or 0.0 for f in features]) for k in few}
+    filled = lambda k, columns: np.column_stack([np.where(np.isnan(v), m, v) for v, m in zip(columns, medians[k], strict=True)])
+    sizes = trees.getMaxIter(), trees.getStepSize(), trees.getMaxDepth(), trees.getMaxBins()
+
+    def fit(table: pa.Table) -> pa.Table:
+        k = table.column("fold")[0].as_py()
+        x, y, n = filled(k, [table.column(f).to_numpy() for f in features]), table.column("y").to_numpy(), table.column("rows__").to_numpy()
+        rows, place = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)
+        found = boosting.fit(rows[:, :-1], rows[:, -1], np.bincount(place.ravel(), n), *sizes)
+        return pa.table({"fold": pa.array([k], pa.int32()), **{c: pa.array([getattr(found, c).ravel().tolist()]) for c in ("feature", "cut", "value")}})
+
+    def scorer(k: int, found: boosting.Trees) -> Callable:
+        said = F.pandas_udf(lambda *columns: pd.Series(found.probabilities(filled(k, columns))), "double")
+        return lambda df: df.withColumn("p", said(*given.values()))
+
+    shape = (sizes[0], -1)
+    fits = own.where(F.col("fold").isin(few)).groupBy("fold").applyInArrow(fit, "fold int, feature array<long>, cut array<double>, value array<double>").collect() if few else []
+    scores = {r["fold"]: scorer(r["fold"], boosting.Trees(*[np.reshape(r[c], shape) for c in ("feature", "cut", "value")])) for r in fits}
+    many = [k for k in folds if k not in scores]
+    for k, model in zip(many, of_each(lambda k: boosted(side(k, "train"), features), many), strict=True):
+        scores[k] = lambda df, m=model: m.transform(df).withColumn("p", vector_to_array("probability")[1])
+    return side, scores
+
+
 def splits_of(n: int) -> list[tuple[int, int]]:
     """Up to three inner splits by time of n training rows: how many rows a model is fitted to, and where its held-out rows end; none if there would be fewer than two."""
     count = min(3, max(0, n // 20 - 1))
@@ -227,11 +277,10 @@ def out_of_fold(rows: DataFrame, members: DataFrame, features: list[str], folds:
     if kind == "logistic":
         told = Logits(checkpointed(placed(rows, members, features, folds, at)), features, folds).told(inner=False)
         return told.select("fold", "id", F.col("y").cast("int").alias("y"), "p")
-    sides = lambda fold, role: rows.join(members.where((F.col("fold") == fold) & (F.col("role") == role)), "id")
+    side, scores = boosters(rows, members, features, folds)
     out = None
-    for fold, model in zip(folds, of_each(lambda fold: boosted(sides(fold, "train"), features), folds), strict=True):
-        scored = model.transform(sides(fold, "test"))
-        part = scored.select(F.lit(fold).alias("fold"), "id", "y", vector_to_array("probability")[1].alias("p"))
+    for fold in folds:
+        part = scores[fold](side(fold, "test")).select(F.lit(fold).alias("fold"), "id", "y", "p")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -265,11 +314,10 @@ def permutation_importance(score: Callable[[DataFrame], DataFrame], test: DataFr
 
 def boosting_importance(rows: DataFrame, members: DataFrame, features: list[str], folds: list[int], repeats: int = 10, seed: int = 1) -> DataFrame:
     """feature, importance of the boosted trees, averaged over the folds' test rows."""
+    side, scores = boosters(rows, members, features, folds)
     parts = None
     for fold in folds:
-        own = members.where(F.col("fold") == fold)
-        model = boosted(rows.join(own.where("role = 'train'"), "id"), features)
-        part = permutation_importance(lambda x, m=model: m.transform(x).withColumn("p", vector_to_array("probability")[1]), rows.join(own.where("role = 'test'"), "id"), features, repeats, seed)
+        part = permutation_importance(scores[fold], side(fold, "test"), features, repeats, seed)
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("feature").agg(F.avg("importance").alias("importance"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftline.operators import flow, models, resample, stats
+from driftline.operators import boosting, flow, models, resample, stats
 
 
 def bins_of(y, p, most=10):
@@ -76,3 +76,50 @@ def test_boosted_trees_see_equal_rows_as_one_with_a_weight(spark, monkeypatch):
     got = said(models.boosted(rows, ["a", "b"]))
     assert seen[0] <= 2 * 5 * 6
     assert got == pytest.approx(said(whole(["a", "b"], "boosting").setStages([*whole(["a", "b"], "boosting").getStages()[:-1], whole(["a", "b"], "boosting").getStages()[-1].setMaxIter(4)]).fit(rows)), abs=1e-9)
+
+
+def folded(spark):
+    """Rows with missing values and more different ones than bins, and two folds; one row is tested in both."""
+    rows = spark.range(900).selectExpr("id", "double(id * 37 % 101) AS a", "CASE WHEN id % 7 < 5 THEN double(id % 7) WHEN id % 7 = 5 THEN double('NaN') END AS b", "int(id * 37 % 101 + id * id % 60 > 70) AS y")
+    side = "SELECT id, 1 AS fold, CASE WHEN id < 400 THEN 'train' ELSE 'test' END AS role FROM {r} WHERE id < 601 UNION ALL SELECT id, 2, CASE WHEN id < 590 THEN 'train' ELSE 'test' END FROM {r} WHERE id < 590 OR id >= 600"
+    return rows, spark.sql(side, r=rows)
+
+
+def test_boosted_folds_of_few_different_rows_are_fitted_in_one_job(spark):
+    rows, members = folded(spark)
+    spark.sparkContext.setJobGroup("boosted folds", "")
+    got = models.out_of_fold(rows, members, ["a", "b"], [1, 2], "boosting").collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted folds")) < 40
+    assert sorted((r["fold"], r["id"]) for r in got) == [(1, i) for i in range(400, 601)] + [(2, i) for i in range(600, 900)]
+
+
+def test_boosted_folds_are_those_of_mllib_in_either_way(spark, monkeypatch):
+    whole, sizes = models.pipeline, []
+
+    def short(*args):
+        p = whole(*args)
+        trees = p.getStages()[-1].setMaxIter(6)
+        fit = trees.fit
+        trees.fit = lambda df: sizes.append(df.rdd.getNumPartitions()) or fit(df)
+        return p
+
+    monkeypatch.setattr(models, "pipeline", short)
+    rows, members = folded(spark)
+    said = lambda: {(r["fold"], r["id"]): r["p"] for r in models.out_of_fold(rows, members, ["a", "b"], [1, 2], "boosting").collect()}
+    few = said()
+    assert sizes == []
+    one = {}
+    for fold in (1, 2):
+        own = members.where(f"fold = {fold}")
+        model = models.boosted(rows.join(own.where("role = 'train'"), "id"), ["a", "b"])
+        one |= {(fold, r["id"]): r["probability"][1] for r in model.transform(rows.join(own.where("role = 'test'"), "id")).collect()}
+    assert few == pytest.approx(one, abs=1e-9) and sizes == [1, 1] and len(set(few.values())) > 10
+    monkeypatch.setattr(models, "SHARE", 50)
+    assert said() == pytest.approx(one, abs=1e-9) and len(sizes) == 4 and min(sizes[2:]) > 1
+
+
+@pytest.mark.parametrize("y", [0, 1])
+def test_boosted_trees_of_one_class_or_one_value_are_leaves(y):
+    found = boosting.fit(np.array([[1.0, 5.0], [1.0, 5.0], [1.0, 6.0]]), np.full(3, float(y)), np.array([2.0, 1.0, 4.0]), 5, 0.04, 2, 32)
+    assert (found.feature == -1).all() and np.isfinite(found.value).all()
+    assert ((found.probabilities(np.array([[0.0, 9.0]])) > 0.5) == y).all()
